@@ -5,25 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import rules
+
+    return rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bytespans import drop_repeated_bytes
 
     return drop_repeated_bytes(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_decode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=False)
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wordspans import drop_repeated_words
 
@@ -35,4 +55,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontam, quality
+
+    return {"op1_quality_rules": quality.sql(), "op3_decontamination": decontam.SQL}
