@@ -35,6 +35,18 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_bytes(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak import classify
+
+    return classify(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +62,18 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_words(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents")).drop("lang", "source", "n_chars")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 

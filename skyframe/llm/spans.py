@@ -194,7 +194,7 @@ def _packer(scheme: Scheme, n_buckets: int) -> Callable:
     return run
 
 
-def _byte_order(strings: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
+def _byte_order(strings: list[bytes], w: int, tags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array of a dictionary's strings, cut after w bytes: the windows in order, and the class of each of them."""
     buf = np.frombuffer(b"".join(strings), np.uint8)
     lens = np.array([len(s) for s in strings])
@@ -209,12 +209,12 @@ def _byte_order(strings: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(~same) - 1
 
 
-def _word_order(strings: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of w words in sorted order, and the class of each of them."""
+def _word_order(strings: list[bytes], w: int, tags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of w words, each after its string's tag, in sorted order, and the class of each of them."""
     wins: list[bytes] = []
-    for s in strings:
+    for s, tag in zip(strings, tags, strict=True):
         parts = s.split(b" ")
-        wins.extend(b" ".join(parts[i : i + w]) for i in range(len(parts) - w + 1))
+        wins.extend(tag + b" ".join(parts[i : i + w]) for i in range(len(parts) - w + 1))
     order = sorted(range(len(wins)), key=wins.__getitem__)
     classes, k, last = np.empty(len(wins), np.int64), -1, None
     for i, j in enumerate(order):
@@ -260,22 +260,22 @@ def _resolver(scheme: Scheme) -> Callable:
             entries.setdefault((k, bytes(blobs[p][s : s + z])), []).append(i)
         doc_l, unit_l, n_l = doc.tolist(), unit.tolist(), n.tolist()
         cover = lambda i: found.append((doc_l[i], unit_l[i], unit_l[i] + n_l[i] + w - 2))
-        by: dict[int, list[tuple[int, bytes, bool]]] = {}
+        by: dict[int, list[tuple[int, bytes, bool, bytes]]] = {}
         for (k, string), who in entries.items():
             if scheme.pages:
                 done = len({doc_l[i] for i in who}) > 1 or any(flag[i] for i in who)
                 if done:
                     for i in who:
                         cover(i)
-                    by.setdefault(k, []).append((who[0], string, True))
+                    by.setdefault(k, []).append((who[0], string, True, b"%08x" % k))
                 else:
-                    by.setdefault(k, []).extend((i, string, False) for i in who)
+                    by.setdefault(k, []).extend((i, string, False, b"%08x" % k) for i in who)
             else:
                 a = who[0]
                 for i in who[1:]:
                     if (doc_l[i], unit_l[i]) != (doc_l[a], unit_l[a]):
                         cover(i)
-                by.setdefault(k, []).append((a, string, False))
+                by.setdefault(k, []).append((a, string, False, b""))
         slab, total = [], 0
         for members in by.values():
             if len(members) > 1 or scheme.pages or n_l[members[0][0]] > loop:
@@ -292,7 +292,7 @@ def _resolver(scheme: Scheme) -> Callable:
 
     def of_slab(slab, doc_l, unit_l, n_l) -> list[np.ndarray]:
         slab = sorted(slab, key=lambda m: (doc_l[m[0]], unit_l[m[0]]))
-        order, classes = ordered([m[1] for m in slab], w)
+        order, classes = ordered([m[1] for m in slab], w, [m[3] for m in slab])
         many = np.array([n_l[m[0]] for m in slab], np.int64)
         owner = np.repeat(np.arange(len(slab)), many)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
