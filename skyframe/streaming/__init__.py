@@ -1,0 +1 @@
+"""Nothing here: the engine's inputs are catalogues and fields at rest, so every plan is a batch plan."""
