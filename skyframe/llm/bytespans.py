@@ -57,7 +57,7 @@ def _cutter(keep_text: bool):
     return run
 
 
-def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = 24, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Remove each byte covered by a `length`-byte string that also starts earlier in the corpus.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes;

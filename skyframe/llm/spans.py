@@ -24,7 +24,7 @@ from .common import NO_ID, U64, buckets, byte_hashes, doc_key, fold, groups_of,
 
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text hashed at once; bytes of text whose strings are packed together; windows in a string.
-CHUNK, FLUSH, RUN = 1 << 20, 8 << 20, 4096
+CHUNK, FLUSH, RUN = 1 << 20, 16 << 20, 4096
 PACKED = "bucket int, packed binary"
 COVERED = "doc_key long, first long, last long"
 
@@ -124,7 +124,7 @@ def _pack(strings: list[tuple[int, int, int, int, int, bytes]], known: list[tupl
 
     parts = [_HEAD.pack(len(strings), len(known)), col(strings, 0, "<u4"), col(strings, 1, "<i8"), col(strings, 2, "<i8"), col(strings, 3, "<u2"), col(strings, 4, "u1"), np.array([len(r[5]) for r in strings], "<u4").tobytes()]
     parts += [col(known, k, "<i8") for k in range(3)] + [r[5] for r in strings]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
 def _unpack(packed: bytes):

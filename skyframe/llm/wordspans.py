@@ -47,7 +47,7 @@ def _cutter(keep_text: bool):
     return run
 
 
-def drop_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int = 6, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+def drop_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Remove each word covered by a window of `window` words that also starts earlier in the corpus.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D.  Returns doc_id,
