@@ -64,6 +64,12 @@ class TestModel:
         return (-r * r * self.p[0] if n else F.lit(1.0)) * F.exp(-self.p[1] * r * r)
 
 
+def _transform(nodes: list[tuple[float, float]], order: int, r: Num) -> Column:
+    """Sum of weight * k**2 * j_order(k r) over (k, weight) nodes; a loop over an array, so the expression stays small."""
+    each = F.array(*(F.struct(F.lit(float(k)).alias("k"), F.lit(float(w * k * k)).alias("c")) for k, w in nodes))
+    return F.aggregate(each, F.lit(0.0), lambda s, n: s + n["c"] * bessel(order, n["k"] * col(r)))
+
+
 class _Bands:
     """Bands of k: explicit edges, or n equal ones of [kmin, kmax]."""
 
@@ -87,11 +93,9 @@ class _Bands:
     @staticmethod
     def band_xi(order: int, r: Num, a: float, b: float, points: int = 64) -> Column:
         """Integral of k**2 j_order(k r) / (2 pi**2) over a band of unit power, by Simpson's rule."""
-        h, total = (b - a) / points, F.lit(0.0)
-        for i in range(points + 1):
-            k = a + h * i
-            total = total + F.lit((1 if i in (0, points) else 4 if i % 2 else 2) * k * k) * bessel(order, F.lit(k) * col(r))
-        return total * F.lit(h / 3 / (2 * math.pi**2))
+        h = (b - a) / points
+        nodes = [(a + h * i, (1 if i in (0, points) else 4 if i % 2 else 2) * h / 3 / (2 * math.pi**2)) for i in range(points + 1)]
+        return _transform(nodes, order, r)
 
 
 @model("real")
@@ -164,12 +168,12 @@ class KnotModel(_Bands):
 
     def xi_deriv(self, n: int, r: Num, points: int = 64) -> Column:
         lo, mid, hi = self.knots[n : n + 3]
-        h, total = (hi - lo) / points, F.lit(0.0)
+        h, nodes = (hi - lo) / points, []
         for i in range(1, points):
             k = lo + h * i
             t = (k - lo) / (mid - lo) if k <= mid else (hi - k) / (hi - mid)
-            total = total + F.lit((4 if i % 2 else 2) * k * k * t) * bessel(0, F.lit(k) * col(r))
-        return total * F.lit(h / 3 / (2 * math.pi**2))
+            nodes.append((k, (4 if i % 2 else 2) * t * h / 3 / (2 * math.pi**2)))
+        return _transform(nodes, 0, r)
 
     def xi(self, r: Num) -> Column:
         return sum((self.param(n) * self.xi_deriv(n, r) for n in range(1, self.n_params)), self.param(0) * self.xi_deriv(0, r))
