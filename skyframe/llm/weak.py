@@ -25,7 +25,7 @@ SAMPLE = 4000
 KEEP = 0.5
 #: Abuse that a labeller looks for (fixed values).
 TOXIC = [b"clown", b"disgusting", b"idiot", b"loser", b"moron", b"pathetic", b"scum", b"stupid", b"trash", b"worthless"]
-LABELLERS = ["length", "symbols", "lines", "repeats", "word_length", "case", "abuse"]
+LABELLERS = ["length", "symbols", "lines", "repeats", "word_length", "case", "abuse", "marked_words", "repeated_windows"]
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"#*$%&|<>{}~^=_\\!")] = True
 _UPPER = np.zeros(256, bool)
@@ -38,14 +38,18 @@ def votes(text: bytes | None) -> tuple[list[int], np.ndarray]:
     start, end = word_spans(data)
     n = len(start)
     if not n:
-        return [-1, 0, 0, 0, 0, 0, 0], np.zeros(0, np.uint64)
+        return [-1, *[0] * (len(LABELLERS) - 1)], np.zeros(0, np.uint64)
     h = np.concatenate([slice_hashes(data[a:b], start[i:j] - a, end[i:j] - a) for i, j, a, b in _cuts(start, end)])
     chars = int((end - start).sum())
     marks = int(_MARKS[data].sum()) / chars
+    before = np.concatenate([[0], np.cumsum(_MARKS[data])])
+    marked = float((before[end] > before[start]).mean())
     upper = int(_UPPER[data].sum()) / chars
     lines = [x for x in text.split(b"\n") if x.strip()]
     again = 1 - len(set(lines)) / len(lines)
-    variety = len(np.unique(h)) / min(n, 400) if n <= 400 else len(np.unique(h[:400])) / 400
+    variety = _distinct(h) / n
+    three = h[2:] + U64(3) * h[1:-1] + U64(5) * h[:-2]  # wraps
+    fresh = _distinct(three) / len(three) if len(three) else 1.0
     mean = chars / n
     low = text.lower()
     abuse = sum(low.count(w) for w in TOXIC)
@@ -53,9 +57,18 @@ def votes(text: bytes | None) -> tuple[list[int], np.ndarray]:
     return [
         rule(n < 30, n >= 80), rule(marks > 0.10, marks < 0.02), rule(again > 0.3, again < 0.1 and len(lines) > 1), rule(variety < 0.4, variety > 0.55),
         rule(mean < 2.5 or mean > 12, 3.5 < mean < 10), rule(upper > 0.4, upper < 0.15), rule(abuse >= 3 and abuse > n / 400, False),
+        rule(marked > 0.25, marked < 0.10), rule(fresh < 0.7, fresh > 0.9),
     ], h
 
 
+def _distinct(h: np.ndarray, block: int = 400) -> int:
+    """Distinct values within each `block` consecutive ones, summed: a measure that long texts do not lower."""
+    at = np.arange(len(h)) // block
+    order = np.lexsort((h, at))
+    h, at = h[order], at[order]
+    return 1 + int(((h[1:] != h[:-1]) | (at[1:] != at[:-1])).sum())
+
+
 def _cuts(start: np.ndarray, end: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int, int, int]]:
     """Ranges of words and of their bytes, about `size` bytes each."""
     i = 0
