@@ -54,10 +54,16 @@ def _winnowed(df: DataFrame, words: str, window: int, k: int, short: list[int])
     return df.withColumn("prints", F.array_distinct(F.concat(low, *runs))).drop("hw", "grams")
 
 
+def _each_print(df: DataFrame) -> DataFrame:
+    """The prints, a row each; outer for the same reason as in _windows."""
+    return df.select(F.explode_outer("prints").alias("print")).where("print is not null")
+
+
 def _windows(df: DataFrame, words: str, lengths: list[int], keep: list[str]) -> DataFrame:
     """(keep, first, n, win): every run of the given lengths, joined by a space."""
     every = [F.transform(_starts(F.size(words), n), _run(words, n)) for n in lengths]
-    return df.select(*keep, F.inline(reduce(F.concat, every)))
+    # outer: an inner generator's inferred filter would be pushed below words and evaluate them again for each element
+    return df.select(*keep, F.inline_outer(reduce(F.concat, every))).where("win is not null")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -80,9 +86,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     bench = spool(bench, "bench")
     short = sorted(r[0] for r in bench.where(F.size("words") < window).select(F.size("words")).distinct().collect())
     whole = bench.where(F.size("words") >= window)
-    prints = _winnowed(whole, "words", window, gram, []).select(F.explode("prints").alias("print"))
+    prints = _each_print(_winnowed(whole, "words", window, gram, []))
     for n in short:
-        prints = prints.union(_winnowed(bench.where(F.size("words") == n), "words", window, gram, [n]).select(F.explode("prints").alias("print")))
+        prints = prints.union(_each_print(_winnowed(bench.where(F.size("words") == n), "words", window, gram, [n])))
     prints = spool(prints.distinct().withColumn("known", F.lit(True)), "bench-prints")
     wins = _windows(whole, "words", [window], ["item"]).select("item", "win").union(bench.where(F.size("words") < window).select("item", F.array_join("words", " ").alias("win")))
     wins = spool(wins.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items")), "bench-windows")
