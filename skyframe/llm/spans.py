@@ -64,6 +64,12 @@ def _pieces(docs: list[tuple[int, bytes, int]], scheme: Scheme) -> Iterator[list
 
 def _runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
     """The runs of windows with one owner: owner, piece, first unit in the piece, number of windows, start and end byte in the joined data."""
+    blob, runs = _marked_runs(pieces, scheme)
+    return blob, (r[:6] for r in runs)
+
+
+def _marked_runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
+    """_runs, and whether the owner occurs more than once in the run: no other run repeats a window of its own."""
     blob = b" ".join(p[2] for p in pieces)
     data = np.frombuffer(blob, np.uint8)
     lens = np.array([len(p[2]) for p in pieces], np.int64)
@@ -108,13 +114,19 @@ def _runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
             break
         piece[wrong] -= 1
     last = first + long + w - 2
+    # the leftmost smallest gram of the first window and the rightmost one of the last; places break ties, for a few bits of the hash
+    place, mask = np.arange(len(v), dtype=np.uint64), U64((1 << len(v).bit_length()) - 1)
+    leftmost = slide_min(v & ~mask | place, w - g + 1)[first] & mask
+    rightmost = mask - (slide_min(v & ~mask | (mask - place), w - g + 1)[first + long - 1] & mask)
     begin, end = (first, last + 1) if left is None else (left[first], right[last])
     salts = np.array([p[3] for p in pieces], np.int64).view(np.uint64)[piece]
     own = mix(own[begins] ^ salts)
-    return blob, zip(own.tolist(), piece.tolist(), (first - base[piece]).tolist(), long.tolist(), begin.tolist(), end.tolist(), strict=True)
+    return blob, zip(own.tolist(), piece.tolist(), (first - base[piece]).tolist(), long.tolist(), begin.tolist(), end.tolist(), (leftmost != rightmost).tolist(), strict=True)
 
 
 _HEAD = struct.Struct("<II")
+#: Flags of a string: it occurs in two documents (pages only); its owner occurs in it more than once.
+SHARED, RECURS = 1, 2
 
 
 def _pack(strings: list[tuple[int, int, int, int, int, bytes]], known: list[tuple[int, int, int]]) -> bytes:
@@ -148,15 +160,15 @@ def _packer(scheme: Scheme, n_buckets: int) -> Callable:
         twins: dict[int, list[tuple[int, int, int]]] = {}
         known: list[tuple[int, int, int]] = []
         for pieces in _pieces(docs, scheme):
-            blob, runs = _runs(pieces, scheme)
-            for own, piece, unit, n, begin, end in runs:
+            blob, runs = _marked_runs(pieces, scheme)
+            for own, piece, unit, n, begin, end, recurs in runs:
                 doc, unit = pieces[piece][0], pieces[piece][1] + unit
                 key = own & 0xFFFFFFFF
                 string = blob[begin:end]
                 tag = (key, string) if scheme.pages else string
                 k = seen.setdefault(tag, len(strings))
                 if k == len(strings):
-                    strings.append([key, doc, unit, n, 0, string])
+                    strings.append([key, doc, unit, n, RECURS * recurs, string])
                     homes.append((own >> 32) % n_buckets)
                     continue
                 first = strings[k]
@@ -168,14 +180,14 @@ def _packer(scheme: Scheme, n_buckets: int) -> Callable:
                     else:
                         known.append((doc, unit, unit + n + w - 2))
                 else:
-                    first[4] |= first[1] != doc
+                    first[4] |= SHARED * (first[1] != doc)
                     twins.setdefault(k, []).append((doc, unit, n))
         for k, rest in twins.items():
             key, doc, unit, n, flag, string = strings[k]
-            if flag:
+            if flag & SHARED:
                 known.extend((d, u, u + m + w - 2) for d, u, m in [(doc, unit, n), *rest])
             else:
-                strings.extend([key, d, u, m, 0, string] for d, u, m in rest)
+                strings.extend([key, d, u, m, flag, string] for d, u, m in rest)
                 homes.extend([homes[k]] * len(rest))
         by: dict[int, list] = {}
         for home, s in zip(homes, strings, strict=True):
@@ -230,7 +242,6 @@ SLAB = 150_000
 
 def _resolver(scheme: Scheme) -> Callable:
     w = scheme.window
-    loop = w - scheme.gram + 1  # a run of more windows holds its smallest gram twice, and may repeat a window
     ordered = _byte_order if scheme.unit == "byte" else _word_order
 
     def of_bucket(packs: list[bytes]) -> list[np.ndarray]:
@@ -250,7 +261,7 @@ def _resolver(scheme: Scheme) -> Callable:
         pack = np.repeat(np.arange(len(ends)), ends)
         start = np.concatenate([np.concatenate([[0], np.cumsum(c[5].astype(np.int64))[:-1]]) for c in cols])
         _, where, count = np.unique(key, return_inverse=True, return_counts=True)
-        some = np.flatnonzero((count[where] > 1) | (flag > 0) | (n > loop))
+        some = np.flatnonzero((count[where] > 1) | (flag > 0))
         if not len(some):
             return out
         some = some[np.lexsort((unit[some], doc[some]))]
@@ -263,7 +274,7 @@ def _resolver(scheme: Scheme) -> Callable:
         by: dict[int, list[tuple[int, bytes, bool, bytes]]] = {}
         for (k, string), who in entries.items():
             if scheme.pages:
-                done = len({doc_l[i] for i in who}) > 1 or any(flag[i] for i in who)
+                done = len({doc_l[i] for i in who}) > 1 or any(flag[i] & SHARED for i in who)
                 if done:
                     for i in who:
                         cover(i)
@@ -278,7 +289,7 @@ def _resolver(scheme: Scheme) -> Callable:
                 by.setdefault(k, []).append((a, string, False, b""))
         slab, total = [], 0
         for members in by.values():
-            if len(members) > 1 or scheme.pages or n_l[members[0][0]] > loop:
+            if len(members) > 1 or scheme.pages or flag[members[0][0]] & RECURS:
                 slab.extend(members)
                 total += sum(n_l[m[0]] for m in members)
             if total > SLAB:

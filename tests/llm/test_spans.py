@@ -104,3 +104,14 @@ def test_pages_scheme_needs_two_documents(spark):
     got = {(r["doc_key"], r["first"], r["last"]) for r in spans.covered(df, spans.Scheme("word", 10, 4, pages=True), salt_col="host").collect()}
     assert {d for d, _, _ in got} == {1, 2}
     assert spans.merged([(a, b) for d, a, b in got if d == 2]) == [(1, 31)]
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_repeats_inside_of_one_run(spark, copies):
+    words = {n: f"w{n} " * n for n in range(21, 41)} | {n: " ".join(f"v{n} x{n} y{n}".split() * n)[: n * 4] for n in range(50, 56)}
+    raw = {n: chr(65 + n % 50) * n for n in range(101, 181)} | {n: f"{n}-ab" * 30 for n in range(200, 206)}
+    for docs, drop, units_of, w in ((words, drop_repeated_words, lambda t: t.encode().split(), 20), (raw, drop_repeated_bytes, lambda t: t.encode(), 100)):
+        docs = {d + 1000 * c: t for d, t in docs.items() for c in range(copies)}
+        want = brute(units_of, docs, w)
+        got = {r["doc_id"]: r["n_removed"] for r in drop(spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)).collect()}
+        assert got == {d: sum(want[d]) for d in docs}
