@@ -175,8 +175,8 @@ def _packer(scheme: Scheme, n_buckets: int) -> Callable:
                 if first[1] == doc and first[2] == unit:
                     continue  # a repeated row
                 if not scheme.pages:
-                    if known and known[-1][0] == doc and known[-1][2] >= unit - 1:
-                        known[-1] = (doc, known[-1][1], unit + n + w - 2)
+                    if known and known[-1][0] == doc and known[-1][1] <= unit <= known[-1][2] + 1:
+                        known[-1] = (doc, known[-1][1], max(known[-1][2], unit + n + w - 2))
                     else:
                         known.append((doc, unit, unit + n + w - 2))
                 else:

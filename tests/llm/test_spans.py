@@ -115,3 +115,16 @@ def test_repeats_inside_of_one_run(spark, copies):
         want = brute(units_of, docs, w)
         got = {r["doc_id"]: r["n_removed"] for r in drop(spark.createDataFrame(list(docs.items()), "doc_id long, text string").coalesce(1)).collect()}
         assert got == {d: sum(want[d]) for d in docs}
+
+
+def test_repeated_row_with_two_known_passages(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 45), ("b", 60)))
+    # of so many words before b, some begin a run at its first window
+    docs = {0: a, 1: b} | {d: f"{a} {' '.join(f'q{d}x{i}' for i in range(25))} {b} r{d}" for d in range(2, 200)}
+    for drop, units_of, w in ((drop_repeated_words, lambda t: t.encode().split(), 20), (drop_repeated_bytes, lambda t: t.encode(), 100)):
+        want = brute(units_of, docs, w)
+        got = drop(spark.createDataFrame([(d, t) for d, t in docs.items() for _ in range(3 if d > 1 else 1)], "doc_id long, text string").coalesce(1)).collect()
+        assert {(r["doc_id"], r["n_removed"]) for r in got} == {(d, sum(g)) for d, g in want.items()}
+        for r in got:
+            kept = [u for u, g in zip(units_of(docs[r["doc_id"]]), want[r["doc_id"]], strict=True) if not g]
+            assert bytes(r["kept"]) == (bytes(kept) if w == 100 else b" ".join(kept))
