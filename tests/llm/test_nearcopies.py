@@ -85,3 +85,16 @@ def test_run_on_documents(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {r[0] for r in brute(list(left.items()), items) if r[5]}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == left.keys() - bad
+
+
+def test_rows_with_null_or_shared_ids(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(100))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t + " end"
+    rows = [(None, a), (None, b), (None, b), (None, near(b)), (None, c), (4, near(a)), (5, a), (6, d), (6, e), (6, e), (7, near(e)), (8, f), (2, near(f))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    one = [t for i, t in got if i is None and t in (b, near(b))]
+    assert len(one) == 1
+    assert sorted(got, key=str) == sorted([(None, a), (None, one[0]), (None, c), (6, d), (6, e), (2, near(f))], key=str)
