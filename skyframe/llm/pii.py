@@ -62,6 +62,17 @@ def luhn_digit(digits: str) -> str:
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTH = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for c in names.split()
+}
+
+
 class Masker:
     """Replaces personal data in texts with one key."""
 
@@ -174,6 +185,16 @@ class Masker:
         body = self._digits("card", d[:-1])
         return self._fill(m[0], body + luhn_digit(body))
 
+    @staticmethod
+    def _values(kind: str, pattern: re.Pattern, m: re.Match) -> Iterator[re.Match]:
+        """The match, and for kinds with a check sum the shorter ones that end at a separator inside of it: neighbours may have joined it."""
+        yield m
+        if kind in ("card", "iban"):
+            ends = [x.start() for x in re.finditer("[ -]", m[0])][::-1]
+            if kind == "iban":
+                ends.sort(key=lambda e: len(m[0][:e].replace(" ", "")) != IBAN_LENGTH.get(m[0][:2]))
+            yield from filter(None, (pattern.fullmatch(m.string, m.start(), m.start() + e) for e in ends))
+
     def mask(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many values of each kind it held.  Each place is replaced once, by the first rule that takes it."""
         found: list[tuple[int, int, str, str]] = []
@@ -182,14 +203,21 @@ class Masker:
         for kind, pattern, make in self.rules:
             if kind == "email" and "@" not in text or kind not in ("email", "secret") and not has_digit:
                 continue
-            spans = []
-            for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b in taken):
-                    continue
-                new = make(m)
-                if new is not None:
-                    spans.append(m.span())
-                    found.append((*m.span(), kind, new))
+            spans, at = [], 0
+            while whole := pattern.search(text, at):
+                at = whole.end()
+                for m in self._values(kind, pattern, whole):
+                    if any(a < m.end() and m.start() < b for a, b in taken):
+                        continue
+                    new = make(m)
+                    if new is not None:
+                        spans.append(m.span())
+                        found.append((*m.span(), kind, new))
+                        at = m.end()
+                        break
+                else:  # a value may begin after the first group
+                    if kind in ("card", "iban"):
+                        at = whole.start() + len(re.match("[^ -]+", whole[0])[0])
             taken += spans
         if not found:
             return text, {}

@@ -62,3 +62,17 @@ def test_frame(spark):
     docs = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
     m = pii.Masker(pii.KEY)
     assert all(len(m.mask(t)[0]) >= len(t) - 8 * 12 for t in random.Random(0).sample(docs, 50))
+
+
+def test_check_sums_beside_neighbours():
+    m = pii.Masker(b"key")
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    for before, value, after, kind in [
+        ("", "4111111111111111", " 123 Main", "card"), ("", card, " 12/27", "card"), ("pay ", card, " 01/02/2025", "card"), ("", card, " 10.0.0.1", "card"), ("no 12 ", card, " 123", "card"), ("", "4222222222222", " 123456 x", "card"),
+        ("", iban, " BIC NWBK", "iban"), ("", iban, " AB CD EF", "iban"), ("", "GB82WEST12345698765432", " BIC NWBKGB2L", "iban"), ("REF1 AB12 ", iban, " X", "iban"), ("AB12 ", iban, "", "iban"),
+    ]:
+        out, n = m.mask(before + value + after)
+        assert n.get(kind) == 1 and value not in out, (before, value, after)
+        alone = m.mask(value)[0]
+        assert out.startswith(before + alone), (before, value, after)
+    assert m.mask("1234567890123 456 789")[0] == "1234567890123 456 789"
