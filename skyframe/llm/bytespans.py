@@ -1,17 +1,11 @@
-"""Suffix-array dedup of byte strings by prefix-free parsing.
+"""Dedup of repeated byte strings, by the engine of word windows with bytes as units.
 
-Triggers of a rolling hash cut every text into phrases that overlap by one
-string length, so no phrase is a proper prefix of what follows another
-trigger and every string lies whole in one phrase.  The distinct phrases are
-the dictionary; the parse is the list of their occurrences.  A trigger's
-bucket sorts the suffixes of its phrases (a suffix array cut after one string
-length); equal neighbours are equal strings, and the parse order within a
-class of equals tells the first occurrence, for any number of copies.
-
-The phrase boundary is the smallest rolling hash of a window instead of a hash
-that is 0 modulo p: then no phrase is longer than the text needs, whatever the
-text is.  The suffix arrays are kept by trigger, since strings that are equal
-have equal triggers; no task ever needs the suffix array of the corpus.
+Runs of strings with one trigger (the smallest rolling hash inside them) go to
+the trigger's bucket, where the strings are sorted (suffixes, cut after one
+string length); equal neighbours are equal strings, and the first of them in
+the corpus stays.  Strings that are equal have equal triggers, so no task ever
+needs the suffix array of the corpus.  There is no prefix-free parse and no
+suffix array of one.
 """
 
 from __future__ import annotations
