@@ -19,12 +19,14 @@ NO_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; an own one where that is unset and Spark is one process (tests)."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skyframe-"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
@@ -46,6 +48,11 @@ def doc_key(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 
 
+def tie_of(text_col: str = "text") -> Column:
+    """32 bits of a hash of the text: they order rows with one id and different texts, and tell them apart.  Null is as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  lower() does so too where a text is pure ASCII, and is faster."""
     up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -115,6 +122,21 @@ def slide_min(v: np.ndarray, length: int) -> np.ndarray:
     return np.minimum(v[: len(v) - rest], v[rest:]) if 0 < rest < len(v) else v[:0] if rest else v
 
 
+def prefix_ranks(values: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the sequences values[i:end[i]] by their first `length` values, by doubling.
+
+    A sequence that ends is smaller than any that goes on.  Equal ranks: equal first values, and equal ends.
+    """
+    at, size = np.arange(len(values)), 1
+    rank = np.unique(values, return_inverse=True)[1]
+    while size < length:
+        step = min(size, length - size)
+        nxt = at + step
+        rank = np.unique(rank * (len(values) + 1) + np.where(nxt < end, rank[np.minimum(nxt, len(values) - 1)] + 1, 0), return_inverse=True)[1]
+        size += step
+    return rank
+
+
 def byte_hashes(data: np.ndarray) -> np.ndarray:
     return _BYTE_HASH[data]
 

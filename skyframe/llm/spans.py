@@ -5,7 +5,11 @@ equal owners.  Consecutive windows with one owner travel as one packed string
 to the owner's bucket; there all strings of an owner meet and their windows are
 compared exactly.  Strings that are equal within a map task travel once, and
 for all but the first of them the answer is known at once, so a passage that
-fills a third of the corpus reaches its bucket at most once from each task.
+fills a third of the corpus reaches its bucket at most once from each flush.
+
+A gram that many different texts contain would make one owner too large for a
+task.  A census counts the windows of each owner first; the windows of hot
+owners travel one by one, by a digest of their own, and so spread evenly.
 """
 
 from __future__ import annotations
@@ -16,17 +20,39 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, U64, buckets, byte_hashes, doc_key, fold, groups_of, mix, rows_of, slice_hashes, slide_min
+from .common import U64, buckets, byte_hashes, doc_key, fold, groups_of, mix, rows_of, slice_hashes, slide_min, spool, tie_of
 
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text hashed at once; bytes of text whose strings are packed together; windows in a string.
 CHUNK, FLUSH, RUN = 1 << 20, 16 << 20, 4096
+#: Bytes of text whose strings make one bucket, about.
+BUCKET = 32 << 20
+#: An owner is hot with this many windows, and this share of all of them (as a shift): so at most 2 ** 20 owners are hot.
+HOT, SHARE = 200_000, 20
+#: Windows of an owner in one flush that are counted: of fewer, no flush tells.
+TOLD = 64
 PACKED = "bucket int, packed binary"
-COVERED = "doc_key long, first long, last long"
+COVERED = "doc_key long, tie long, first long, last long"
+
+
+def sorted_order(strings: list[bytes], w: int, tags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of w words, each after its string's tag, in sorted order, and the class of each of them."""
+    wins: list[bytes] = []
+    for s, tag in zip(strings, tags, strict=True):
+        parts = s.split(b" ")
+        wins.extend(tag + b" ".join(parts[i : i + w]) for i in range(len(parts) - w + 1))
+    order = sorted(range(len(wins)), key=wins.__getitem__)
+    classes, k, last = np.empty(len(wins), np.int64), -1, None
+    for i, j in enumerate(order):
+        if wins[j] != last:
+            last, k = wins[j], k + 1
+        classes[i] = k
+    return np.array(order, np.int64), classes
 
 
 @dataclass(frozen=True)
@@ -35,22 +61,28 @@ class Scheme:
 
     pages=False: a window counts where an equal one starts earlier (smaller
     doc_id, or the same document and an earlier start).  pages=True: it counts
-    everywhere if it occurs in two different documents.
+    everywhere if it occurs in two different documents.  order: brings the
+    windows of strings into an order in which equal ones are neighbours.
     """
 
     unit: str
     window: int
     gram: int
     pages: bool = False
+    order: Callable = sorted_order
 
 
 def normal_words(text: bytes) -> bytes:
     return b" ".join(text.split())
 
 
-def _pieces(docs: list[tuple[int, bytes, int]], scheme: Scheme) -> Iterator[list[tuple[int, int, bytes, int]]]:
+#: A document: its id and a hash of its text, for rows with one id and different texts.
+Doc = tuple[int, int]
+
+
+def _pieces(docs: list[tuple[Doc, bytes, int]], scheme: Scheme) -> Iterator[list[tuple[Doc, int, bytes, int]]]:
     """Lists of (doc, first unit, bytes, salt) of about CHUNK bytes; a longer text is cut, with window - 1 units of overlap."""
-    cut: list[tuple[int, int, bytes, int]] = []
+    cut: list[tuple[Doc, int, bytes, int]] = []
     for doc, text, salt in docs:
         if len(text) <= CHUNK:
             cut.append((doc, 0, text, salt))
@@ -62,14 +94,30 @@ def _pieces(docs: list[tuple[int, bytes, int]], scheme: Scheme) -> Iterator[list
     return groups_of(iter(cut), lambda p: len(p[2]) + 1, CHUNK)
 
 
-def _runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
-    """The runs of windows with one owner: owner, piece, first unit in the piece, number of windows, start and end byte in the joined data."""
-    blob, runs = _marked_runs(pieces, scheme)
-    return blob, (r[:6] for r in runs)
+@dataclass
+class _Runs:
+    """Runs of windows with one owner: columns, and the joined data with the word bounds in it (None for bytes)."""
+
+    blob: bytes
+    own: np.ndarray
+    piece: np.ndarray
+    first: np.ndarray  # window, in units of the joined data
+    unit: np.ndarray  # the same within the piece
+    n: np.ndarray
+    begin: np.ndarray  # bytes of the joined data
+    end: np.ndarray
+    recurs: np.ndarray | None
+    left: np.ndarray | None
+    right: np.ndarray | None
+
+    def bounds(self, k: int, w: int) -> Iterator[tuple[int, int]]:
+        """The bytes of each window of run k."""
+        for u in range(int(self.first[k]), int(self.first[k] + self.n[k])):
+            yield (u, u + w) if self.left is None else (int(self.left[u]), int(self.right[u + w - 1]))
 
 
-def _marked_runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
-    """_runs, and whether the owner occurs more than once in the run: no other run repeats a window of its own."""
+def _runs(pieces: list[tuple[Doc, int, bytes, int]], scheme: Scheme, marked: bool = True) -> _Runs | None:
+    """marked: also whether the owner occurs more than once in the run; no other run repeats a window of its own."""
     blob = b" ".join(p[2] for p in pieces)
     data = np.frombuffer(blob, np.uint8)
     lens = np.array([len(p[2]) for p in pieces], np.int64)
@@ -86,7 +134,7 @@ def _marked_runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
         width = np.searchsorted(left, at + lens) - base
     w, g = scheme.window, scheme.gram
     if len(units) < w:
-        return blob, []
+        return None
     v = mix(fold(units, g))
     for b, n in zip(base.tolist(), width.tolist(), strict=True):
         v[max(b, b + n - g + 1) : b + n] = TOP
@@ -97,7 +145,7 @@ def _marked_runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
             good[b : b + n - w + 1] = True
     idx = np.flatnonzero(good)
     if not len(idx):
-        return blob, []
+        return None
     own = low[idx]
     new = np.ones(len(idx), bool)
     new[1:] = (own[1:] != own[:-1]) | (idx[1:] != idx[:-1] + 1)
@@ -114,167 +162,217 @@ def _marked_runs(pieces: list[tuple[int, int, bytes, int]], scheme: Scheme):
             break
         piece[wrong] -= 1
     last = first + long + w - 2
-    # the leftmost smallest gram of the first window and the rightmost one of the last; places break ties, for a few bits of the hash
-    place, mask = np.arange(len(v), dtype=np.uint64), U64((1 << len(v).bit_length()) - 1)
-    leftmost = slide_min(v & ~mask | place, w - g + 1)[first] & mask
-    rightmost = mask - (slide_min(v & ~mask | (mask - place), w - g + 1)[first + long - 1] & mask)
+    recurs = None
+    if marked:
+        # the leftmost smallest gram of the first window and the rightmost one of the last; places break ties, for a few bits of the hash
+        place, mask = np.arange(len(v), dtype=np.uint64), U64((1 << len(v).bit_length()) - 1)
+        leftmost = slide_min(v & ~mask | place, w - g + 1)[first] & mask
+        recurs = leftmost != mask - (slide_min(v & ~mask | (mask - place), w - g + 1)[first + long - 1] & mask)
     begin, end = (first, last + 1) if left is None else (left[first], right[last])
     salts = np.array([p[3] for p in pieces], np.int64).view(np.uint64)[piece]
-    own = mix(own[begins] ^ salts)
-    return blob, zip(own.tolist(), piece.tolist(), (first - base[piece]).tolist(), long.tolist(), begin.tolist(), end.tolist(), (leftmost != rightmost).tolist(), strict=True)
+    return _Runs(blob, mix(own[begins] ^ salts), piece, first, first - base[piece], long, begin, end, recurs, left, right)
 
 
-_HEAD = struct.Struct("<II")
+def _census(scheme: Scheme) -> Callable:
+    """(own, n, size): windows of the owners that have TOLD of them in a flush, counting equal strings once; own is null for all windows and bytes of the flush."""
+    def flush(docs: list[tuple[Doc, bytes, int]]) -> pa.RecordBatch:
+        own, name, n = [], [], []
+        for pieces in _pieces(docs, scheme):
+            r = _runs(pieces, scheme, marked=False)
+            if r:
+                own.append(r.own)
+                name.append(slice_hashes(np.frombuffer(r.blob, np.uint8), r.begin, r.end) ^ r.own)
+                n.append(r.n)
+        told, many, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        if own:
+            _, some = np.unique(np.concatenate(name), return_index=True)
+            windows = np.concatenate(n)[some]
+            told, at = np.unique(np.concatenate(own)[some], return_inverse=True)
+            many, total = np.bincount(at, windows).astype(np.int64), int(windows.sum())
+            told, many = told[many >= TOLD], many[many >= TOLD]
+        ids = pa.array([None, *told.view(np.int64).tolist()], pa.int64())
+        return pa.record_batch([ids, pa.array([total, *many.tolist()], pa.int64()), pa.array([sum(len(d[1]) for d in docs), *[0] * len(many)], pa.int64())], names=["own", "n", "size"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(flush, groups_of(_rows(batches, scheme), lambda r: len(r[1]), FLUSH))
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[tuple[Doc, bytes, int]]:
+    clean = normal_words if scheme.unit == "word" else lambda t: t
+    return (((d, e), clean(t), s) for d, e, t, s in rows_of(batches, "doc_key", "tie", "body", "salt") if t)
+
+
+_HEAD = struct.Struct("<III")
+#: Columns of strings (key, doc, tie, unit, windows, flag, bytes), of answered ranges (doc, tie, first, last), and of single windows (two parts of the digest, doc, tie, unit, flag).
+_LAYOUT = (("<u4", "<i8", "<u4", "<i8", "<u2", "u1", "<u4"), ("<i8", "<u4", "<i8", "<i8"), ("<u8", "<u4", "<i8", "<u4", "<i8", "u1"))
 #: Flags of a string: it occurs in two documents (pages only); its owner occurs in it more than once.
 SHARED, RECURS = 1, 2
 
 
-def _pack(strings: list[tuple[int, int, int, int, int, bytes]], known: list[tuple[int, int, int]]) -> bytes:
-    """strings: (key, doc, first unit, windows, flag, bytes); known: (doc, first, last unit) that are answered."""
-    def col(rows, k, dtype):
-        return np.array([r[k] for r in rows], dtype).tobytes()
-
-    parts = [_HEAD.pack(len(strings), len(known)), col(strings, 0, "<u4"), col(strings, 1, "<i8"), col(strings, 2, "<i8"), col(strings, 3, "<u2"), col(strings, 4, "u1"), np.array([len(r[5]) for r in strings], "<u4").tobytes()]
-    parts += [col(known, k, "<i8") for k in range(3)] + [r[5] for r in strings]
-    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
+def _pack(strings: list[list], known: list[tuple], singles: list[list]) -> bytes:
+    """strings: [key, doc, first unit, windows, flag, bytes]; known: (doc, first, last unit) that are answered; singles: [digest, doc, unit, flag]."""
+    rows = (
+        [(key, *doc, unit, n, flag, len(string)) for key, doc, unit, n, flag, string in strings],
+        [(*doc, a, b) for doc, a, b in known],
+        [(int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:12], "little"), *doc, unit, flag) for digest, doc, unit, flag in singles],
+    )
+    parts = [_HEAD.pack(*map(len, rows))]
+    for part, kinds in zip(rows, _LAYOUT, strict=True):
+        parts += [np.array([r[k] for r in part], kind).tobytes() for k, kind in enumerate(kinds)]
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([*parts, *(s[5] for s in strings)]))
 
 
-def _unpack(packed: bytes):
+def _unpack(packed: bytes) -> tuple[list[list[np.ndarray]], memoryview]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
-    n, m = _HEAD.unpack_from(raw)
-    at, cols = _HEAD.size, []
-    for dtype, count in (("<u4", n), ("<i8", n), ("<i8", n), ("<u2", n), ("u1", n), ("<u4", n), ("<i8", m), ("<i8", m), ("<i8", m)):
-        cols.append(np.frombuffer(raw, dtype, count, at))
-        at += cols[-1].nbytes
-    return cols[:6], cols[6:], memoryview(raw)[at:]
+    at, out = _HEAD.size, []
+    for count, kinds in zip(_HEAD.unpack_from(raw), _LAYOUT, strict=True):
+        out.append([])
+        for kind in kinds:
+            out[-1].append(np.frombuffer(raw, kind, count, at))
+            at += out[-1][-1].nbytes
+    return out, memoryview(raw)[at:]
 
 
-def _packer(scheme: Scheme, n_buckets: int) -> Callable:
+def _packer(scheme: Scheme, n_buckets: int, hot: np.ndarray) -> Callable:
+    """hot: the hot owners, sorted."""
     w = scheme.window
 
-    def flush(docs: list[tuple[int, bytes, int]], turn: int) -> pa.RecordBatch:
+    def flush(docs: list[tuple[Doc, bytes, int]]) -> pa.RecordBatch:
         docs.sort(key=lambda d: d[0])
-        seen: dict[bytes, int] = {}
+        seen: dict[bytes | tuple, int] = {}
         strings: list[list] = []
         homes: list[int] = []
-        twins: dict[int, list[tuple[int, int, int]]] = {}
-        known: list[tuple[int, int, int]] = []
+        twins: dict[int, list[tuple]] = {}
+        known: list[tuple] = []
+        single: dict[bytes, list] = {}  # digest: [digest, doc, unit, flag]
+
+        def answered(doc: Doc, first: int, last: int) -> None:
+            if known and known[-1][0] == doc and known[-1][1] <= first <= known[-1][2] + 1:
+                known[-1] = (doc, known[-1][1], max(known[-1][2], last))
+            else:
+                known.append((doc, first, last))
+
+        def alone(digest: bytes, doc: Doc, unit: int) -> None:
+            """A window of a hot owner."""
+            was = single.get(digest)
+            if was is None:
+                single[digest] = [digest, doc, unit, 0]
+            elif scheme.pages:
+                if was[1] != doc:
+                    if not was[3]:
+                        known.append((was[1], was[2], was[2] + w - 1))
+                        was[3] = SHARED
+                    answered(doc, unit, unit + w - 1)
+                elif was[3]:
+                    answered(doc, unit, unit + w - 1)
+                else:  # again in one document: another row, as it may be shared elsewhere
+                    single[digest + unit.to_bytes(8, "little")] = [digest, doc, unit, 0]
+            elif was[1] != doc or was[2] != unit:
+                answered(doc, unit, unit + w - 1)
+
         for pieces in _pieces(docs, scheme):
-            blob, runs = _marked_runs(pieces, scheme)
-            for own, piece, unit, n, begin, end, recurs in runs:
+            r = _runs(pieces, scheme)
+            if r is None:
+                continue
+            warm = np.isin(r.own, hot).tolist() if len(hot) else [False] * len(r.own)
+            for k, (own, piece, unit, n, begin, end, recurs) in enumerate(zip(r.own.tolist(), r.piece.tolist(), r.unit.tolist(), r.n.tolist(), r.begin.tolist(), r.end.tolist(), r.recurs.tolist(), strict=True)):
                 doc, unit = pieces[piece][0], pieces[piece][1] + unit
                 key = own & 0xFFFFFFFF
-                string = blob[begin:end]
+                string = r.blob[begin:end]
+                if warm[k] and scheme.pages:
+                    for i, (a, b) in enumerate(r.bounds(k, w)):
+                        alone(xxhash.xxh3_128_digest(r.blob[a:b], key), doc, unit + i)
+                    continue
                 tag = (key, string) if scheme.pages else string
-                k = seen.setdefault(tag, len(strings))
-                if k == len(strings):
+                at = seen.setdefault(tag, len(strings))
+                if at == len(strings):
                     strings.append([key, doc, unit, n, RECURS * recurs, string])
-                    homes.append((own >> 32) % n_buckets)
+                    homes.append(-1 if warm[k] else (own >> 32) % n_buckets)
+                    if warm[k]:
+                        for i, (a, b) in enumerate(r.bounds(k, w)):
+                            alone(xxhash.xxh3_128_digest(r.blob[a:b]), doc, unit + i)
+                        strings[at][5] = b""  # kept for its place only
                     continue
-                first = strings[k]
+                first = strings[at]
                 if first[1] == doc and first[2] == unit:
                     continue  # a repeated row
                 if not scheme.pages:
-                    if known and known[-1][0] == doc and known[-1][1] <= unit <= known[-1][2] + 1:
-                        known[-1] = (doc, known[-1][1], max(known[-1][2], unit + n + w - 2))
-                    else:
-                        known.append((doc, unit, unit + n + w - 2))
+                    answered(doc, unit, unit + n + w - 2)
                 else:
                     first[4] |= SHARED * (first[1] != doc)
-                    twins.setdefault(k, []).append((doc, unit, n))
-        for k, rest in twins.items():
-            key, doc, unit, n, flag, string = strings[k]
+                    twins.setdefault(at, []).append((doc, unit, n))
+        for at, rest in twins.items():
+            key, doc, unit, n, flag, string = strings[at]
             if flag & SHARED:
                 known.extend((d, u, u + m + w - 2) for d, u, m in [(doc, unit, n), *rest])
             else:
                 strings.extend([key, d, u, m, flag, string] for d, u, m in rest)
-                homes.extend([homes[k]] * len(rest))
-        by: dict[int, list] = {}
+                homes.extend([homes[at]] * len(rest))
+        by: dict[int, tuple[list, list, list]] = {}
         for home, s in zip(homes, strings, strict=True):
-            by.setdefault(home, []).append(s)
-        if known:  # what is answered rides along to any bucket
-            by.setdefault(turn % n_buckets, [])
-        out = [(home, _pack(rows, known if known and home == turn % n_buckets else [])) for home, rows in by.items()]
+            if home >= 0:
+                by.setdefault(home, ([], [], []))[0].append(s)
+        for s in single.values():
+            by.setdefault(int.from_bytes(s[0][12:], "little") % n_buckets, ([], [], []))[2].append(s)
+        for k in known:  # what is answered goes to the document's bucket, and is spread so
+            by.setdefault(home_of(k[0], n_buckets), ([], [], []))[1].append(k)
+        out = [(home, _pack(*rows)) for home, rows in by.items()]
         return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clean = (lambda t: normal_words(t)) if scheme.unit == "word" else (lambda t: t)
-        rows = ((d, clean(t), s) for d, t, s in rows_of(batches, "doc_key", "body", "salt") if t)
-        for docs in groups_of(rows, lambda r: len(r[1]), FLUSH):
-            yield flush(docs, hash((docs[0][0], len(docs), len(docs[0][1]))) & 0x7FFFFFFF)
+        for docs in groups_of(_rows(batches, scheme), lambda r: len(r[1]), FLUSH):
+            yield flush(docs)
 
     return run
 
 
-def _byte_order(strings: list[bytes], w: int, tags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix array of a dictionary's strings, cut after w bytes: the windows in order, and the class of each of them."""
-    buf = np.frombuffer(b"".join(strings), np.uint8)
-    lens = np.array([len(s) for s in strings])
-    start = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    n = lens - w + 1
-    at = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    cut = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, w)[at])
-    text = cut.view(f"S{w}").ravel()
-    order = np.argsort(text, kind="stable")
-    same = np.zeros(len(order), bool)
-    same[1:] = (cut[order[1:]] == cut[order[:-1]]).all(axis=1)
-    return order, np.cumsum(~same) - 1
-
-
-def _word_order(strings: list[bytes], w: int, tags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The windows of w words, each after its string's tag, in sorted order, and the class of each of them."""
-    wins: list[bytes] = []
-    for s, tag in zip(strings, tags, strict=True):
-        parts = s.split(b" ")
-        wins.extend(tag + b" ".join(parts[i : i + w]) for i in range(len(parts) - w + 1))
-    order = sorted(range(len(wins)), key=wins.__getitem__)
-    classes, k, last = np.empty(len(wins), np.int64), -1, None
-    for i, j in enumerate(order):
-        if wins[j] != last:
-            last, k = wins[j], k + 1
-        classes[i] = k
-    return np.array(order, np.int64), classes
+def home_of(doc: Doc, n_buckets: int) -> int:
+    return ((doc[0] * 0x9E3779B97F4A7C15 + doc[1]) * 0xD6E8FEB86659FD93 >> 20 & 0x7FFFFFFF) % n_buckets
 
 
-#: Windows sorted at once.
+#: Windows ordered at once.
 SLAB = 150_000
 
 
-def _resolver(scheme: Scheme) -> Callable:
+def _resolver(scheme: Scheme, n_buckets: int) -> Callable:
+    """Covered ranges of a bucket's packs, with the bucket of their document."""
     w = scheme.window
-    ordered = _byte_order if scheme.unit == "byte" else _word_order
 
     def of_bucket(packs: list[bytes]) -> list[np.ndarray]:
-        """Covered units as arrays of (doc, first, last)."""
-        out, cols, blobs, ends = [], [], [], []
-        for p in packs:
-            c, known, blob = _unpack(p)
-            if len(known[0]):
-                out.append(np.stack(known, axis=1))
-            if len(c[0]):
-                cols.append(c)
-                blobs.append(blob)
-                ends.append(len(c[0]))
-        if not cols:
+        """Columns doc, tie, first, last of covered units."""
+        parts = [_unpack(p) for p in packs]
+        cols, answered, single = ([np.concatenate([p[0][part][k] for p in parts]) for k in range(len(kinds))] for part, kinds in enumerate(_LAYOUT))
+        blobs = [p[1] for p in parts]
+        out = [np.stack([c.astype(np.int64) for c in answered], axis=1)] if len(answered[0]) else []
+        if len(single[0]):
+            out += alone(*single)
+        key, doc, tie, unit, n, flag, size = cols
+        if not len(key):
             return out
-        key, doc, unit, n, flag, size = (np.concatenate([c[k] for c in cols]) for k in range(6))
+        ends = [len(p[0][0][0]) for p in parts]
         pack = np.repeat(np.arange(len(ends)), ends)
-        start = np.concatenate([np.concatenate([[0], np.cumsum(c[5].astype(np.int64))[:-1]]) for c in cols])
+        start = np.concatenate([np.concatenate([[0], np.cumsum(p[0][0][6].astype(np.int64))[:-1]]) if len(p[0][0][6]) else np.zeros(0, np.int64) for p in parts])
         _, where, count = np.unique(key, return_inverse=True, return_counts=True)
         some = np.flatnonzero((count[where] > 1) | (flag > 0))
         if not len(some):
             return out
-        some = some[np.lexsort((unit[some], doc[some]))]
+        some = some[np.lexsort((unit[some], tie[some], doc[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (doc[some][1:] != doc[some][:-1]) | (tie[some][1:] != tie[some][:-1])
+        # documents as places in corpus order
+        docs = np.stack([doc[some][new], tie[some][new].astype(np.int64)], axis=1)
+        who_l, unit_l, n_l, flag_l = (np.cumsum(new) - 1).tolist(), unit[some].tolist(), n[some].tolist(), flag[some].tolist()
         found: list[tuple[int, int, int]] = []
         entries: dict[tuple[int, bytes], list[int]] = {}
-        for i, k, p, s, z in zip(some.tolist(), key[some].tolist(), pack[some].tolist(), start[some].tolist(), size[some].tolist(), strict=True):
+        for i, (k, p, s, z) in enumerate(zip(key[some].tolist(), pack[some].tolist(), start[some].tolist(), size[some].tolist(), strict=True)):
             entries.setdefault((k, bytes(blobs[p][s : s + z])), []).append(i)
-        doc_l, unit_l, n_l = doc.tolist(), unit.tolist(), n.tolist()
-        cover = lambda i: found.append((doc_l[i], unit_l[i], unit_l[i] + n_l[i] + w - 2))
+        cover = lambda i: found.append((who_l[i], unit_l[i], unit_l[i] + n_l[i] + w - 2))
         by: dict[int, list[tuple[int, bytes, bool, bytes]]] = {}
         for (k, string), who in entries.items():
             if scheme.pages:
-                done = len({doc_l[i] for i in who}) > 1 or any(flag[i] & SHARED for i in who)
+                done = len({who_l[i] for i in who}) > 1 or any(flag_l[i] & SHARED for i in who)
                 if done:
                     for i in who:
                         cover(i)
@@ -284,75 +382,99 @@ def _resolver(scheme: Scheme) -> Callable:
             else:
                 a = who[0]
                 for i in who[1:]:
-                    if (doc_l[i], unit_l[i]) != (doc_l[a], unit_l[a]):
+                    if (who_l[i], unit_l[i]) != (who_l[a], unit_l[a]):
                         cover(i)
                 by.setdefault(k, []).append((a, string, False, b""))
+        ranges = [np.array(found, np.int64)] if found else []
         slab, total = [], 0
         for members in by.values():
-            if len(members) > 1 or scheme.pages or flag[members[0][0]] & RECURS:
+            if len(members) > 1 or scheme.pages or flag_l[members[0][0]] & RECURS:
                 slab.extend(members)
                 total += sum(n_l[m[0]] for m in members)
             if total > SLAB:
-                out.extend(of_slab(slab, doc_l, unit_l, n_l))
+                ranges += of_slab(slab, who_l, unit_l, n_l)
                 slab, total = [], 0
         if slab:
-            out.extend(of_slab(slab, doc_l, unit_l, n_l))
-        if found:
-            out.append(np.array(found, np.int64))
+            ranges += of_slab(slab, who_l, unit_l, n_l)
+        if ranges:
+            rows = np.concatenate(ranges)
+            out.append(np.concatenate([docs[rows[:, 0]], rows[:, 1:]], axis=1))
         return out
 
-    def of_slab(slab, doc_l, unit_l, n_l) -> list[np.ndarray]:
-        slab = sorted(slab, key=lambda m: (doc_l[m[0]], unit_l[m[0]]))
-        order, classes = ordered([m[1] for m in slab], w, [m[3] for m in slab])
+    def alone(a, b, doc, tie, unit, flag) -> list[np.ndarray]:
+        """Windows of hot owners: equal digests are equal windows."""
+        order = np.lexsort((unit, tie, doc, b, a))
+        a, b, doc, tie, unit, flag = (c[order] for c in (a, b, doc, tie, unit, flag))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        if scheme.pages:
+            edge = np.flatnonzero(new)
+            other = np.zeros(len(a), bool)
+            other[1:] = ~new[1:] & ((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))
+            hit = np.logical_or.reduceat(other | (flag > 0), edge)[np.cumsum(new) - 1]
+        else:
+            at = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))  # the first of each class
+            hit = (doc != doc[at]) | (tie != tie[at]) | (unit != unit[at])
+        doc, tie, unit = doc[hit], tie[hit].astype(np.int64), unit[hit]
+        return [np.stack([doc, tie, unit, unit + w - 1], axis=1)] if len(doc) else []
+
+    def of_slab(slab, who_l, unit_l, n_l) -> list[np.ndarray]:
+        slab = sorted(slab, key=lambda m: m[0])  # in corpus order
+        order, classes = scheme.order([m[1] for m in slab], w, [m[3] for m in slab])
         many = np.array([n_l[m[0]] for m in slab], np.int64)
         owner = np.repeat(np.arange(len(slab)), many)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-        doc = np.array([doc_l[m[0]] for m in slab], np.int64)[owner]
+        who = np.array([who_l[m[0]] for m in slab], np.int64)[owner]
         unit = np.array([unit_l[m[0]] for m in slab], np.int64)[owner] + step
+        edge = np.flatnonzero(np.diff(classes, prepend=-1))
         if scheme.pages:
-            d, done = doc[order], np.array([m[2] for m in slab])[owner][order]
-            edge = np.flatnonzero(np.diff(classes, prepend=-1))
+            d, done = who[order], np.array([m[2] for m in slab])[owner][order]
             wide = (np.minimum.reduceat(d, edge) != np.maximum.reduceat(d, edge)) | np.logical_or.reduceat(done, edge)
             hit = order[wide[classes] & ~done]
-        else:  # windows are numbered in corpus order and the sort is stable: the first of a class starts earliest
-            again = np.zeros(len(order), bool)
-            again[1:] = classes[1:] == classes[:-1]
-            hit = order[again]
+        else:  # windows are numbered in corpus order: the smallest of a class starts earliest
+            hit = order[order != np.minimum.reduceat(order, edge)[classes]]
         if not len(hit):
             return []
         hit.sort()
-        doc, unit = doc[hit], unit[hit]
+        who, unit = who[hit], unit[hit]
         new = np.ones(len(hit), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (unit[1:] > unit[:-1] + w)
+        new[1:] = (who[1:] != who[:-1]) | (unit[1:] > unit[:-1] + w)
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(hit)) - 1
-        return [np.stack([doc[begin], unit[begin], unit[end] + w - 1], axis=1)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs = [p for b in batches for p in b.column(b.schema.get_field_index("packed")).to_pylist()]
-        out = of_bucket(packs)
-        if out:
-            rows = np.concatenate(out)
-            yield pa.record_batch([pa.array(rows[:, k]) for k in range(3)], names=["doc_key", "first", "last"])
+        return [np.stack([who[begin], unit[begin], unit[end] + w - 1], axis=1)]
 
     def table(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(iter(group.to_batches()))), schema=pa.schema([("doc_key", pa.int64()), ("first", pa.int64()), ("last", pa.int64())]))
+        out = of_bucket(group.column("packed").to_pylist())
+        rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+        home = [home_of((d, t), n_buckets) for d, t in rows[:, :2].tolist()]
+        return pa.table([pa.array(home, pa.int32()), *(pa.array(rows[:, k]) for k in range(4))], names=["bucket", "doc_key", "tie", "first", "last"])
 
     return table
 
 
-def covered(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", salt_col: str | None = None) -> DataFrame:
-    """(doc_key, first, last): units of documents, ends included, that lie in a repeated window; ranges may overlap.
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("doc_key"), tie_of(text_col).alias("tie"), F.col(text_col).cast("binary").alias("body"))
+
+
+def covered(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", salt_col: str | None = None) -> tuple[DataFrame, int]:
+    """(bucket, doc_key, tie, first, last): units of documents, ends included, that lie in a repeated window; ranges may overlap.  And the number of buckets.
 
-    salt_col: only windows of documents with equal values of it are compared.
-    A null id counts as the smallest id; rows that repeat a document are that document.
+    A document is a row's id and text (tie: 32 bits of a hash of the text, the
+    order of rows with one id); rows that repeat a document are that document.
+    A null id counts as the smallest id.  salt_col: only windows of documents
+    with equal values of it are compared.
     """
     spark = docs.sparkSession
-    n = buckets(spark)
     salt = F.xxhash64(F.col(salt_col)) if salt_col else F.lit(0).cast("long")
-    rows = docs.select(doc_key(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("body"), salt.alias("salt"))
-    packed = rows.mapInArrow(_packer(scheme, n), PACKED)
-    return packed.groupBy("bucket").applyInArrow(_resolver(scheme), COVERED)
+    rows = docs.select(doc_key(id_col).alias("doc_key"), tie_of(text_col).alias("tie"), F.col(text_col).cast("binary").alias("body"), salt.alias("salt"))
+    told = rows.mapInArrow(_census(scheme), "own long, n long, size long").groupBy("own").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    told = spool(told.where(F.col("own").isNull() | (F.col("n") >= HOT)), "census")
+    total = told.where("own is null").first()
+    windows, size = (total["n"], total["size"]) if total else (0, 0)
+    hot = [r[0] for r in told.where(F.col("own").isNotNull() & (F.col("n") >= max(HOT, windows >> SHARE))).select("own").collect()]  # at most 2 ** SHARE
+    n = max(buckets(spark, 2), size // BUCKET)
+    packed = rows.mapInArrow(_packer(scheme, n, np.sort(np.array(hot, np.int64).view(np.uint64))), PACKED)
+    return packed.groupBy("bucket").applyInArrow(_resolver(scheme, n), f"bucket int, {COVERED}"), n
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -366,11 +488,45 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, body, firsts, lasts) of every row of docs; the small side is hashed, so that texts are not sorted."""
-    lists = found.groupBy("doc_key").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("doc_key"), F.col(text_col).cast("binary").alias("body"))
-    return rows.join(lists.hint("shuffle_hash"), "doc_key", "left").select("doc_id", "body", "firsts", "lasts")
+_ROW = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("null", "u1"), ("size", "<i8")])
 
 
-__all__ = ["NO_ID", "Scheme", "covered", "merged", "normal_words", "with_spans"]
+def _text_packer(n_buckets: int) -> Callable:
+    """Whole texts by bucket, compressed together."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = rows_of(batches, "doc_id", "doc_key", "tie", "body")
+        for held in groups_of(rows, lambda r: len(r[3] or b"") + 32, FLUSH):
+            by: dict[int, list[tuple]] = {}
+            for doc_id, key, tie, body in held:
+                by.setdefault(home_of((key, tie), n_buckets), []).append((key, tie, doc_id is None, body or b""))
+            z = zstandard.ZstdCompressor(level=3)
+            packs = [z.compress(b"".join([struct.pack("<I", len(r)), np.array([(k, t, null, len(b)) for k, t, null, b in r], _ROW).tobytes(), *(x[3] for x in r)])) for r in by.values()]
+            yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "packed"])
+
+    return run
+
+
+def rebuild(docs: DataFrame, scheme: Scheme, make: Callable[[int | None, bytes, list[tuple[int, int]]], tuple], out: pa.Schema, ddl: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """make(id, text, disjoint covered ranges) of every row of docs, as rows of out.
+
+    Texts travel once, compressed by bucket, and meet the ranges of their bucket.
+    """
+    found, n = covered(docs, scheme, id_col, text_col)
+    texts = _named(docs, id_col, text_col).mapInArrow(_text_packer(n), PACKED)
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for d, t, a, b in zip(*(right.column(c).to_pylist() for c in ("doc_key", "tie", "first", "last")), strict=True):
+            spans.setdefault((d, t), []).append((a, b))
+        made: list[tuple] = []
+        for packed in left.column("packed").to_pylist():
+            raw = zstandard.ZstdDecompressor().decompress(packed)
+            (count,) = struct.unpack_from("<I", raw)
+            rows = np.frombuffer(raw, _ROW, count, 4)
+            at = 4 + rows.nbytes
+            for doc, tie, null, size in rows.tolist():
+                made.append(make(None if null else doc, raw[at : at + size], merged(spans.get((doc, tie), []))))
+                at += size
+        return pa.table([pa.array([m[k] for m in made], f.type) for k, f in enumerate(out)], schema=out)
+
+    return texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(join, ddl)

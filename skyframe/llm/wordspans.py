@@ -8,43 +8,15 @@ where the windows are sorted and counted exactly.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import rows_of
-from .spans import Scheme, covered, merged, with_spans
+from .spans import Scheme, rebuild
 
 WINDOW = 20
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
-
-
-def _cutter(keep_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), OUT, strict=True)], schema=OUT)
-
-        for doc_id, body, firsts, lasts in rows_of(batches, "doc_id", "body", "firsts", "lasts"):
-            words = (body or b"").split()
-            at, parts = 0, []
-            for a, b in merged(list(zip(firsts or [], lasts or [], strict=True))):
-                parts += words[at:a]
-                at = b
-            parts += words[at:]
-            kept = b" ".join(parts)
-            held.append((doc_id, len(words), len(words) - len(parts), kept if keep_text else None, hashlib.sha256(kept).hexdigest()))
-            size += len(kept) * keep_text + 100
-            if size > 1 << 22 or len(held) >= 5000:
-                yield batch()
-                held, size = [], 0
-        if held:
-            yield batch()
-
-    return run
+DDL = "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string"
 
 
 def drop_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int = 4, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -55,9 +27,18 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int =
     keep_text) and kept_sha256 for each row of docs.  Null and empty texts
     have no words; texts of fewer than `window` words keep all.  A null doc_id
     counts as the smallest.  Rows that repeat a document are that document,
-    each returned; rows with one id and different texts share their removed
-    ranges.  Other columns are ignored.
+    each returned; of rows with one id and different texts, the one with the
+    smaller hash comes first.  Other columns are ignored.
     """
-    found = covered(docs, Scheme("word", window, min(minimiser, window)), id_col, text_col)
-    out = with_spans(docs, found, id_col, text_col).mapInArrow(_cutter(keep_text), "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")
+    def make(doc_id: int | None, body: bytes, spans: list[tuple[int, int]]) -> tuple:
+        words = body.split()
+        at, parts = 0, []
+        for a, b in spans:
+            parts += words[at:a]
+            at = b
+        parts += words[at:]
+        kept = b" ".join(parts)
+        return doc_id, len(words), len(words) - len(parts), kept if keep_text else None, hashlib.sha256(kept).hexdigest()
+
+    out = rebuild(docs, Scheme("word", window, min(minimiser, window)), make, OUT, DDL, id_col, text_col)
     return out if keep_text else out.drop("kept")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 
 from skyframe.llm import weak
-from skyframe.llm.html import blocks, main_text
+from skyframe.llm.html import DROP, KEEP, OPEN, blocks, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- <p>gone</p> --><div class="ad">Buy</div><div id="cookie-notice">We use</div>
@@ -14,15 +14,68 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section id="comments"><p>great post</p></section><footer>&copy; x</footer></body></html>"""
 
 
+def kept(page):
+    return [b for said, b in blocks(page) if said == KEEP]
+
+
 def test_structure():
-    got, sure = blocks(PAGE)
-    assert sure and got == ["Head & tail", "One two", "Three four five <x> 5 < 6", "six", "li one", "li two", "last €"]
-    assert blocks(None) == ([], False) and blocks("") == ([], False) and blocks("<p") == ([], False)
-    assert blocks("plain\n text") == (["plain text"], False)
-    assert blocks('<div><p>a<script>if (1<2) "</p>"') == (["a"], False)
-    assert blocks("<main><p>x</p></main><p>y</p>") == (["x"], True)
-    assert blocks("<p " + "a=\"" * 50_000)[1] is False
-    assert blocks("<div>" * 20_000 + "deep") == (["deep"], False)
+    got = blocks(PAGE)
+    assert kept(PAGE) == ["Head & tail", "One two", "Three four five <x> 5 < 6", "six", "li one", "li two", "last €"]
+    assert not [b for said, b in got if said == OPEN] and {"Site", "A", "Buy", "We use", "hush", "side", "Tweet", "first!", "great post", "© x"} <= {b for said, b in got if said == DROP}
+    assert blocks(None) == [] and blocks("") == [] and blocks("<p") == []
+    assert blocks("plain\n text") == [(OPEN, "plain text")]
+    assert blocks('<div><p>a<script>if (1<2) "</p>"') == [(OPEN, "a")]
+    assert kept("<main><p>x</p></main><p>y</p>") == ["x"]
+    assert not kept("<p " + "a=\"" * 50_000)
+    assert blocks("<div>" * 20_000 + "deep" + "</div>" * 20_000) == [(OPEN, "deep")]
+    many = "<main><article><p>one</p></article><article><p>two, longer</p></article></main>"
+    assert kept(many) == ["one", "two, longer"]
+    assert blocks('<article><p>a</p><div class="related">b</div><p class="warning">c</p></article>') == [(KEEP, "a"), (OPEN, "b"), (OPEN, "c")]
+
+
+def plain_host(pages, repeat):
+    """Brute force of the host stage on (id, host, stream): the token places in substrings of `repeat` tokens that two pages of the host have."""
+    at = {}
+    for i, host, stream in pages:
+        t = stream.split()
+        for k in range(len(t) - repeat + 1):
+            at.setdefault((host, *t[k : k + repeat]), set()).add((i, k))
+    gone = {i: set() for i, _, _ in pages}
+    for hits in at.values():
+        if len({i for i, _ in hits}) > 1:
+            for i, k in hits:
+                gone[i].update(range(k, k + repeat))
+    return gone
+
+
+def test_host_stage_against_brute_force(spark):
+    rng = random.Random(4)
+    pool = [" ".join(f"m{k}x{i}" for i in range(rng.randrange(6, 14))) for k in range(6)]
+    rows, streams = [], []
+    for i in range(120):
+        host = f"h{rng.randrange(3)}"
+        parts = [rng.choice(pool) if rng.random() < 0.5 else " ".join(rng.choice("abcdefgh") + str(rng.randrange(40)) for _ in range(rng.randrange(1, 25))) for _ in range(rng.randrange(1, 6))]
+        inside = i % 3 == 0
+        own = f"own{i} text"
+        body = f"<article><p>{own}</p>" + "".join(f'<div class="related">{p}</div>' for p in parts) + "</article>" if inside else "".join(f"<div>{p}</div>" for p in parts)
+        rows.append((i, f"http://{host}/{i}", body))
+        streams.append((i, host, parts, own if inside else None))
+    gone = plain_host([(i, h, " ".join(p)) for i, h, p, _ in streams], 8)
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows + rows[:5], "page_id long, url string, html string").repartition(5)).collect()}
+    some = 0
+    for i, _, parts, own in streams:
+        want, at = [own] if own else [], 0
+        for p in parts:
+            w = p.split()
+            k = [x for j, x in enumerate(w, at) if j not in gone[i]]
+            at += len(w)
+            some += len(k) < len(w)
+            if not own:
+                want += [" ".join(k)] if k else []
+            elif 2 * len(k) > len(w):
+                want.append(p)
+        assert got[i] == "\n".join(want), i
+    assert some > 50
 
 
 def test_tables_pages(spark):

@@ -3,10 +3,13 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skyframe.llm import spans
+from skyframe.llm import bytespans, spans
 from skyframe.llm.bytespans import drop_repeated_bytes
+from skyframe.llm.html import host_order
 from skyframe.llm.wordspans import drop_repeated_words
 
 
@@ -78,15 +81,93 @@ def test_long_text_is_cut(monkeypatch):
     text = " ".join(f"w{i % 150}" for i in range(900)).encode()
     for scheme, units in ((spans.Scheme("word", 20, 6), text.split()), (spans.Scheme("byte", 100, 24), list(text))):
         starts = set()
-        for pieces in spans._pieces([(5, text, 0)], scheme):
-            blob, runs = spans._runs(pieces, scheme)
-            for _, piece, unit, n, begin, end in runs:
-                starts.update(range(pieces[piece][1] + unit, pieces[piece][1] + unit + n))
+        for pieces in spans._pieces([((5, 0), text, 0)], scheme):
+            r = spans._runs(pieces, scheme)
+            for k, (piece, unit, n, begin, end) in enumerate(zip(r.piece, r.unit, r.n, r.begin, r.end, strict=True)):
+                at = pieces[piece][1] + unit
+                starts.update(range(at, at + n))
                 if scheme.unit == "word":
-                    assert blob[begin:end].split() == units[pieces[piece][1] + unit :][: n + 19]
+                    assert r.blob[begin:end].split() == units[at:][: n + 19]
+                    assert [r.blob[a:b].split() for a, b in r.bounds(k, 20)] == [units[i : i + 20] for i in range(at, at + n)]
         assert starts == set(range(len(units) - scheme.window + 1))
 
 
+@pytest.mark.parametrize("pages", [False, True])
+def test_hot_owners(spark, pages, monkeypatch):
+    """A line that all documents have: its windows travel one by one."""
+    monkeypatch.setattr(spans, "HOT", 50)
+    monkeypatch.setattr(spans, "SHARE", 8)
+    monkeypatch.setattr(spans, "TOLD", 1)
+    monkeypatch.setattr(spans, "FLUSH", 3000)
+    rng = random.Random(5)
+    line = "this text is under the licence of all who read it"
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    docs = {d: " ".join([*(word() for _ in range(rng.randrange(40))), line, *(word() for _ in range(rng.randrange(40)))]) for d in range(80)}
+    docs |= {d + 100: docs[d] for d in range(0, 80, 9)} | {d + 200: f"{docs[d]} {docs[d]}" for d in range(0, 80, 17)}
+    df = frame(spark, docs)
+    if not pages:
+        for drop, units_of, w in ((drop_repeated_words, lambda t: t.encode().split(), 20), (drop_repeated_bytes, lambda t: t.encode(), 100)):
+            want = brute(units_of, docs, w)
+            assert {r["doc_id"]: r["n_removed"] for r in drop(df).collect() if r["doc_id"] in docs} == {d: sum(g) for d, g in want.items()}
+        return
+    found, _ = spans.covered(df.withColumn("host", F.lit("h")), spans.Scheme("word", 8, 3, pages=True, order=host_order), salt_col="host")
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["doc_key"], set()).update(range(r["first"], r["last"] + 1))
+    at = {}
+    for d, t in docs.items():
+        u = t.split()
+        for i in range(len(u) - 7):
+            at.setdefault(tuple(u[i : i + 8]), set()).add((d, i))
+    want = {}
+    for hits in at.values():
+        if len({d for d, _ in hits}) > 1:
+            for d, i in hits:
+                want.setdefault(d, set()).update(range(i, i + 8))
+    assert got == want
+
+
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(100))
+    t1, t2, t3 = text(), text(), text()
+    df = spark.createDataFrame([(0, t1), (7, t1), (7, t2), (None, t3), (None, t2 + " x"), (9, t3)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in drop_repeated_words(df).collect()) == [("0", 100, 0), ("7", 100, 100), ("7", 100, 100), ("9", 100, 100), ("None", 100, 0), ("None", 101, 0)]
+    lone = spark.createDataFrame([(0, t1), (7, t1), (7, t2)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in drop_repeated_bytes(lone).collect()) == [(0, 0), (7, 0), (7, len(t1))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_prefix_free_order(seed, monkeypatch):
+    """The windows come in the order of their bytes, whatever the phrases."""
+    rng = random.Random(seed)
+    for w, period, letters in ((5, 2, "ab"), (20, 4, "a\0b"), (100, 32, "abcdefgh"), (100, 4, "\0"), (20, 2, "abc")):
+        monkeypatch.setattr(bytespans, "PERIOD", period)
+        draw = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
+        base = draw(400)
+        strings = []
+        for _ in range(30):
+            i = rng.randrange(300)
+            s = draw(rng.choice([0, 30])) + base[i : i + rng.randrange(1, 200)] + draw(rng.randrange(150))
+            strings.append((s + draw(w))[: max(w, len(s))].encode())
+        order, classes = bytespans.prefix_free_order(strings, w, [])
+        wins = [s[i : i + w] for s in strings for i in range(len(s) - w + 1)]
+        assert sorted(order.tolist()) == list(range(len(wins)))
+        ranked = [wins[i] for i in order]
+        assert ranked == sorted(wins)
+        assert classes.tolist() == [sorted(set(wins)).index(x) for x in ranked]
+
+
+def test_phrases_are_prefix_free():
+    text = bytes(random.Random(7).choices(b"ab", k=4000))
+    buf = np.frombuffer(text, np.uint8)
+    begin, end, string = bytespans.phrases(buf, np.array([0, 1500]), np.array([1500, 4000]))
+    assert len(begin) > 20 and b"".join(text[a : b if z else b - bytespans.TRIGGER] for a, b, z in zip(begin, end, np.append(string[1:] != string[:-1], True), strict=True)) == text
+    inner = {text[a:b] for a, b, z in zip(begin, end, np.append(string[1:] != string[:-1], True), strict=True) if not z}
+    suffixes = {p[i:] for p in inner for i in range(len(p) - bytespans.TRIGGER)}
+    assert not [s for s in suffixes for k in range(bytespans.TRIGGER + 1, len(s)) if s[:k] in suffixes]
+
+
 def test_empty_null_and_repeated_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert drop_repeated_bytes(none).count() == 0 and drop_repeated_words(none).count() == 0
@@ -101,9 +182,10 @@ def test_empty_null_and_repeated_rows(spark):
 def test_pages_scheme_needs_two_documents(spark):
     t = " ".join(f"u{i}" for i in range(30))
     df = spark.createDataFrame([(1, t, "h"), (2, "x " + t, "h"), (3, t, "g"), (4, f"{t} {t}".replace("u", "q"), "h")], "doc_id long, text string, host string")
-    got = {(r["doc_key"], r["first"], r["last"]) for r in spans.covered(df, spans.Scheme("word", 10, 4, pages=True), salt_col="host").collect()}
-    assert {d for d, _, _ in got} == {1, 2}
-    assert spans.merged([(a, b) for d, a, b in got if d == 2]) == [(1, 31)]
+    for order in (spans.sorted_order, host_order):
+        got = {(r["doc_key"], r["first"], r["last"]) for r in spans.covered(df, spans.Scheme("word", 10, 4, pages=True, order=order), salt_col="host")[0].collect()}
+        assert {d for d, _, _ in got} == {1, 2}
+        assert spans.merged([(a, b) for d, a, b in got if d == 2]) == [(1, 31)]
 
 
 @pytest.mark.parametrize("copies", [1, 2])
