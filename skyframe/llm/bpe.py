@@ -299,7 +299,15 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
+        was = gc.isenabled()
         gc.disable()  # a large cache of what lives on makes each collection slow; only forgotten states need one
+        try:
+            yield from coded(c, batches)
+        finally:
+            if was:
+                gc.enable()
+
+    def coded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for doc_id, body in rows_of(batches, "doc_id", "body"):

@@ -44,6 +44,31 @@ def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, in any case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+#: Rows that are broadcast at most (8 to 16 bytes each, but for the windows of a benchmark); beyond that, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def bounded_sample(df: DataFrame, hashed: Column, n: int, total: int) -> DataFrame:
+    """The rows of df with the smallest hashes: n of them at most, however many rows (total, as counted) there are."""
+    key = fresh(df, "_h")
+    few = min(1.0, 2.0 * n / max(1, total))
+    rows = df.withColumn(key, hashed.bitwiseAND(F.lit(2**62 - 1))).where(F.col(key) < F.lit(int(few * 2**62)))
+    return rows.orderBy(key).limit(n).drop(key)
+
+
 def doc_key(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
 

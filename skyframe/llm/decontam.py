@@ -2,9 +2,9 @@
 
 A window of `window` words has window - k + 1 grams of k words; its smallest
 gram hash is its fingerprint.  Equal windows have equal fingerprints, so every
-shared span of `window` words is found: first the fingerprints of documents
-and items are joined, then the hits are extended to whole windows, word by
-word, in the documents that have any.
+shared span of `window` words is found: the fingerprints of documents and items
+are joined, and from the places in the documents where a joined fingerprint
+stands the hits are extended to the windows around it, compared word by word.
 """
 
 from __future__ import annotations
@@ -14,11 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, spool
+from .common import ascii_lower, small, spool
 
 WINDOW, GRAM = 10, 5
-#: Rows of fingerprints or documents that are broadcast at most (8 to 16 bytes each); beyond that, both sides are shuffled.
-BROADCAST_ROWS = 500_000
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -59,19 +57,31 @@ def _each_print(df: DataFrame) -> DataFrame:
     return df.select(F.explode_outer("prints").alias("print")).where("print is not null")
 
 
-def _windows(df: DataFrame, words: str, lengths: list[int], keep: list[str]) -> DataFrame:
-    """(keep, first, n, win): every run of the given lengths, joined by a space."""
-    every = [F.transform(_starts(F.size(words), n), _run(words, n)) for n in lengths]
-    # outer: an inner generator's inferred filter would be pushed below words and evaluate them again for each element
-    return df.select(*keep, F.inline_outer(reduce(F.concat, every))).where("win is not null")
+def _around(df: DataFrame, words: str, window: int, k: int, short: list[int], prints: str) -> DataFrame:
+    """df with the starts of the runs of `window` words that hold a gram with one of the prints (s0), and of the runs of the lengths in short that have one (s1 ...)."""
+    df = df.withColumn("hw", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.withColumn("grams", _hashes(F.col("hw"), k)).withColumn("n", F.size(words))
+    here = F.filter(_starts(F.size("grams"), 1), lambda i: F.array_contains(prints, F.get("grams", i)))
+    spans = F.transform(here, lambda i: F.sequence(F.greatest(F.lit(0), i - (window - k)), F.least(i, F.col("n") - window)))
+    df = df.withColumn("s0", F.when(F.col("n") >= window, F.array_distinct(F.flatten(spans))).otherwise(F.array().cast("array<int>")))
+    for at, n in enumerate(short, 1):
+        df = df.withColumn(f"r{at}", F.transform(_hashes(F.col("hw"), n), _tagged(n)))
+        df = df.withColumn(f"s{at}", F.filter(_starts(F.size(f"r{at}"), 1), _one_of(f"r{at}", prints)))
+    return df
+
 
+def _one_of(runs: str, prints: str):
+    return lambda i: F.array_contains(prints, F.get(runs, i))
 
-def _small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+def _windows(df: DataFrame, words: str, starts: dict[int, Column], keep: list[str]) -> DataFrame:
+    """(keep, first, n, win): the runs of each length at its starts, joined by a space."""
+    every = [F.transform(at, _run(words, n)) for n, at in starts.items()]
+    # outer: an inner generator's inferred filter would be pushed below words and evaluate them again for each element
+    return df.select(*keep, F.inline_outer(reduce(F.concat, every))).where("win is not null")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", with_hash: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated for each row of docs.
 
     A window is `window` consecutive words of an item; an item of fewer words,
@@ -80,7 +90,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     windows, sorted as strings and joined by commas.  Null and empty texts have
     no words; items without words or with a null id have no windows.  Repeated
     items and rows change nothing but that each row of docs is returned; null
-    ids are kept.  Other columns are ignored.
+    ids are kept.  Other columns are ignored.  with_hash: also text_hash, which
+    tells rows with one id and different texts apart.
     """
     bench = items.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where("item is not null and size(words) > 0")
     bench = spool(bench, "bench")
@@ -90,20 +101,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     for n in short:
         prints = prints.union(_each_print(_winnowed(bench.where(F.size("words") == n), "words", window, gram, [n])))
     prints = spool(prints.distinct().withColumn("known", F.lit(True)), "bench-prints")
-    wins = _windows(whole, "words", [window], ["item"]).select("item", "win").union(bench.where(F.size("words") < window).select("item", F.array_join("words", " ").alias("win")))
+    wins = _windows(whole, "words", {window: _starts(F.size("words"), window)}, ["item"]).select("item", "win").union(bench.where(F.size("words") < window).select("item", F.array_join("words", " ").alias("win")))
     wins = spool(wins.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items")), "bench-windows")
 
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     read = base.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), words_of(F.col("body")).alias("words"))
     marked = _winnowed(read, "words", window, gram, short).select("doc_id", "text_hash", "row", F.size("words").cast("long").alias("n_words"), F.explode_outer("prints").alias("print"))
-    # a document's prints lie in one task, so the partial maximum leaves one row of it to shuffle
-    rows = marked.join(_small(prints), "print", "left").groupBy("row", "doc_id", "text_hash", "n_words").agg(F.max(F.coalesce("known", F.lit(False))).alias("some"))
+    # a document's prints lie in one task, so the partial set leaves one row of it to shuffle
+    rows = marked.join(small(prints), "print", "left").groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_set(F.when(F.col("known"), F.col("print"))).alias("hits"))
     rows = spool(rows.drop("row"), "decontam")
 
-    found = rows.where("some").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-    some = base.join(_small(found), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left_semi")
-    some = some.select("doc_id", "text_hash", words_of(F.col("body")).alias("words"))
-    near = _windows(some, "words", [*short, window], ["doc_id", "text_hash"]).join(_small(wins), "win")
+    found = rows.where("size(hits) > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "hits").dropDuplicates(["hit_id", "hit_hash"])
+    some = base.select("doc_id", "text_hash", "body").join(small(found), F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")))
+    some = _around(some.select("doc_id", "text_hash", "hits", words_of(F.col("body")).alias("words")), "words", window, gram, short, "hits")
+    starts = {window: F.col("s0")} | {n: F.col(f"s{at}") for at, n in enumerate(short, 1)}
+    near = _windows(some, "words", starts, ["doc_id", "text_hash"]).join(small(wins), "win")
     spans = F.array_sort(F.collect_set(F.struct("first", (F.col("first") + F.col("n")).alias("last"))))
     hits = near.groupBy("doc_id", "text_hash").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
@@ -112,7 +124,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    extra = ["text_hash"] if with_hash else []
+    return out.select("doc_id", *extra, "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 SQL = r"""

@@ -12,13 +12,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import fresh, rows_of
 
-#: Documents used to fit the classifier at most, in expectation, shared evenly by the languages.
-SAMPLE = 2400
+#: Documents used to fit the classifier at most, shared evenly by the languages; and languages learned at most, the most frequent ones.
+SAMPLE, LANGUAGES = 2400, 400
 DIMS = 1 << 13
 UNKNOWN = "und"
 #: Characters hashed at once.
@@ -143,11 +143,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Fit on labelled documents that are not held out; those with a null id are not learned from."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # a row for each language
-    share = sample / max(1, len(sizes))
-    picked = F.lit(False)
-    for lang, n in sizes.items():
-        picked = picked | ((F.col(lang_col) == lang) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1_000_000)) < min(1_000_000, int(1e6 * share / n) + 1)))
+    counted = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r[0]: r[1] for r in counted.collect()}
+    share = sample // max(1, len(sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, lang, body in rows_of(batches, "id", "lang", "body"):
@@ -156,8 +154,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 at = np.flatnonzero(n)
                 yield pa.record_batch([pa.array([str(doc_id)]), pa.array([lang]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n[at].astype("<u4").tobytes()], pa.binary())], names=["id", "lang", "at", "n"])
 
-    rows = known.where(picked).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("body"))
-    got = sorted(rows.mapInArrow(run, "id string, lang string, at binary, n binary").collect())  # at most `sample` rows in expectation
+    rows = known.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("body"))
+    by = Window.partitionBy("lang").orderBy("h", "id", "body")
+    low = F.xxhash64("id", F.lit(11)).bitwiseAND(F.lit(2**62 - 1))
+    few = F.lit(0)  # hashes up to twice the share of each language; of these, the share is taken
+    for lang, n in sizes.items():
+        few = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2.0 * share / n) * 2**62))).otherwise(few)
+    rows = rows.withColumn("h", low).where(F.col("h") < few).withColumn("at", F.row_number().over(by)).where(F.col("at") <= share).drop("at", "h")
+    got = sorted(rows.mapInArrow(run, "id string, lang string, at binary, n binary").collect())  # at most `sample` rows
     full = []
     for _, lang, at, n in got:
         row = np.zeros(DIMS, np.int64)
@@ -187,5 +191,6 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
 
 def _with(docs: DataFrame, out: Column, said: Column) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    df = docs.select(*rest, out.alias("held_out"), said.alias("_said"))
-    return df.select(*rest, "held_out", "_said.lang_pred", "_said.score")
+    name = fresh(docs, "said")
+    df = docs.select(*rest, out.alias("held_out"), said.alias(name))
+    return df.select(*rest, "held_out", f"{name}.lang_pred", f"{name}.score")

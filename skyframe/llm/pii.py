@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms for personal data.
 
 A value that passes its check (a Luhn or mod-97 sum, a real date, a valid
-address) is permuted within the values of its format by a keyed Feistel
+address) is permuted within the valid values of its format by a keyed Feistel
 network: equal values get equal pseudonyms in all documents, different ones
-stay different, and separators, lengths and check sums stay valid.
+stay different, and separators and check sums stay valid.  Lengths stay too,
+but for numbers without leading zeros (parts of an address, months and days
+of one digit), which may gain or lose digits.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import datetime
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -32,7 +35,7 @@ class Feistel:
         bits = max(2, (size - 1).bit_length())
         self.low = bits // 2
         self.high = bits - self.low
-        self.mac = hmac.new(key, f"{kind}/{size}".encode(), hashlib.sha256)
+        self.mac = hmac.new(key, kind.encode() + b"/" + size.to_bytes(bits // 8 + 1, "big"), hashlib.sha256)
 
     def _once(self, x: int) -> int:
         a, b, wa, wb = x >> self.low, x & ((1 << self.low) - 1), self.high, self.low
@@ -58,8 +61,29 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
-#: Days of the range that dates are permuted in.
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: First days of the ranges that dates are permuted in, and the day after the last.
+DAYS = [datetime.date(y, 1, 1).toordinal() for y in (1, 1000, 1900, 2100)] + [datetime.date.max.toordinal() + 1]
+#: Characters of a mixed value that are permuted at once.
+BLOCK = 64
+
+
+def issued(digits: str) -> bool:
+    """Whether card numbers of this length begin so (fixed values: issuer ranges)."""
+    two, three, four = int(digits[:2]), int(digits[:3]), int(digits[:4])
+    n = len(digits)
+    return (
+        n in (13, 16, 19) and digits[0] == "4"
+        or n == 16 and (51 <= two <= 55 or 2221 <= four <= 2720)
+        or n == 15 and two in (34, 37)
+        or 14 <= n and (two in (36, 38, 39) or 300 <= three <= 305)
+        or 16 <= n and (two in (62, 65) or 644 <= three <= 649 or four == 6011 or 3528 <= four <= 3589)
+        or two in (50, 56, 57, 58, 63, 67)
+    )
+
+
+def assigned(d: str) -> bool:
+    """Whether a social security number can be one."""
+    return not (d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000")
 
 
 #: Characters of an IBAN by country.
@@ -78,41 +102,59 @@ class Masker:
 
     def __init__(self, key: bytes):
         self.key = key
-        self.cache: dict[tuple[str, str], str] = {}
         self.rules: list[tuple[str, re.Pattern, Callable[[re.Match], str | None]]] = [
             ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9_%+-][\w.%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), self._email),
-            ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), self._iban),
+            ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), self._iban),
             ("secret", re.compile(r"(?i)(?<![a-z])(?:api[_-]?key|access[_-]?key|token|secret|password|passwd)(\s{0,3}[=:]\s{0,3}[\"']?)([A-Za-z0-9_+/.-]{8,})"), self._secret),
-            ("date", re.compile(r"(?<![\d./-])(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?![\d/-]|\.\d)"), self._date),
-            ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"), self._ip),
-            ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), self._ssn),
-            ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{2,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,13}(?!\w)|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])"), self._phone),
-            ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"), self._card),
+            ("date", re.compile(r"(?<![\d./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![\d/-]|\.\d)"), self._date),
+            ("ip", re.compile(r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?\d)"), self._ip),
+            ("ssn", re.compile(r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-])"), self._ssn),
+            ("phone", re.compile(r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}[ .-][0-9]{3,4}(?!\w)|(?<![\w+])\+[0-9]{1,3}(?:[ .-]?[0-9]){7,13}(?!\w)|(?<![\w+.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"), self._phone),
+            ("card", re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"), self._card),
         ]
 
     @lru_cache(maxsize=4096)  # noqa: B019 a masker lives as long as its process
     def _cipher(self, kind: str, size: int) -> Feistel:
         return Feistel(self.key, kind, size)
 
-    def _digits(self, kind: str, digits: str) -> str:
-        return f"{self._cipher(kind, 10 ** len(digits))(int(digits)):0{len(digits)}d}"
+    def _digits(self, kind: str, digits: str, ok: Callable[[str], bool] = lambda d: True) -> str:
+        """A permutation of the digit strings that are ok: of all, walking on from those that are not."""
+        cipher = self._cipher(kind, 10 ** len(digits))
+        while True:
+            digits = f"{cipher(int(digits)):0{len(digits)}d}"
+            if ok(digits):
+                return digits
 
     def _mixed(self, kind: str, text: str) -> str:
-        """Each digit stays a digit and each letter a letter of its case; the whole is one number of mixed radix."""
-        radix = [10 if "0" <= c <= "9" else 26 if c.isascii() and c.isalpha() else 1 for c in text]
+        """Each digit stays a digit and each letter a letter of its case.  Blocks are numbers of mixed radix; the permutation of one depends on all before it."""
+        shape = "".join("d" if "0" <= c <= "9" else "l" if c.isascii() and c.isalpha() else "." for c in text)
+        out, before = [], hashlib.sha256()
+        for at in range(0, len(text), BLOCK):
+            part, form = text[at : at + BLOCK], shape[at : at + BLOCK]
+            if len(text) <= BLOCK:
+                out.append(self._block(lambda size: self._cipher(kind + form, size), part, form))  # noqa: B023
+            else:
+                name = f"{kind}{shape if len(shape) <= 256 else hashlib.sha256(shape.encode()).hexdigest()}/{at}/{before.hexdigest()}"
+                out.append(self._block(lambda size: Feistel(self.key, name, size), part, form))  # noqa: B023
+                before.update(part.encode())
+        return "".join(out)
+
+    @staticmethod
+    def _block(cipher: Callable[[int], Feistel], text: str, form: str) -> str:
         value, size = 0, 1
-        for c, r in zip(text, radix, strict=True):
-            if r > 1:
-                value, size = value * r + (int(c) if r == 10 else ord(c.lower()) - 97), size * r
+        for c, f in zip(text, form, strict=True):
+            if f != ".":
+                r = 10 if f == "d" else 26
+                value, size = value * r + (int(c) if f == "d" else ord(c.lower()) - 97), size * r
         if size == 1:
             return text
-        value, out = self._cipher(kind + "".join("d" if r == 10 else "l" if r > 1 else "." for r in radix), size)(value), []
-        for c, r in zip(reversed(text), reversed(radix), strict=True):
-            if r == 1:
+        value, out = cipher(size)(value), []
+        for c, f in zip(reversed(text), reversed(form), strict=True):
+            if f == ".":
                 out.append(c)
                 continue
-            value, d = divmod(value, r)
-            out.append(str(d) if r == 10 else chr(d + (65 if c.isupper() else 97)))
+            value, d = divmod(value, 10 if f == "d" else 26)
+            out.append(str(d) if f == "d" else chr(d + (65 if c.isupper() else 97)))
         return "".join(reversed(out))
 
     @staticmethod
@@ -149,13 +191,12 @@ class Masker:
                 at = datetime.date(y, month, day).toordinal()
             except ValueError:
                 continue
-            if not FIRST_DAY <= at <= LAST_DAY:
-                return None
-            new = datetime.date.fromordinal(FIRST_DAY + self._cipher("date", LAST_DAY - FIRST_DAY + 1)(at - FIRST_DAY))
+            first, end = next((a, b) for a, b in zip(DAYS, DAYS[1:], strict=False) if a <= at < b)
+            new = datetime.date.fromordinal(first + self._cipher("date", end - first)(at - first))
             if m[1]:
-                return f"{new.year}{shape}{new.month:0{min(2, len(m[3]))}d}{shape}{new.day:0{min(2, len(m[4]))}d}"
+                return f"{new.year:04d}{shape}{new.month:0{min(2, len(m[3]))}d}{shape}{new.day:0{min(2, len(m[4]))}d}"
             x, z = (new.day, new.month) if (month, day) == (b, a) else (new.month, new.day)
-            return f"{x:0{min(2, len(m[5]))}d}{shape}{z:0{min(2, len(m[7]))}d}{shape}{new.year}"
+            return f"{x:0{min(2, len(m[5]))}d}{shape}{z:0{min(2, len(m[7]))}d}{shape}{new.year:04d}"
         return None
 
     def _ip(self, m: re.Match) -> str | None:
@@ -167,9 +208,7 @@ class Masker:
 
     def _ssn(self, m: re.Match) -> str | None:
         d = m[0].replace("-", "")
-        if d[:3] in ("000", "666") or d[0] == "9" or d[3:5] == "00" or d[5:] == "0000":
-            return None
-        return self._fill(m[0], self._digits("ssn", d))
+        return self._fill(m[0], self._digits("ssn", d, assigned)) if assigned(d) else None
 
     def _phone(self, m: re.Match) -> str | None:
         d = re.sub(r"\D", "", m[0])
@@ -180,9 +219,9 @@ class Masker:
 
     def _card(self, m: re.Match) -> str | None:
         d = re.sub(r"\D", "", m[0])
-        if luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
+        if luhn_digit(d[:-1]) != d[-1] or not issued(d):
             return None
-        body = self._digits("card", d[:-1])
+        body = self._digits("card", d[:-1], lambda b: issued(b + "0"))
         return self._fill(m[0], body + luhn_digit(body))
 
     @staticmethod
@@ -198,7 +237,12 @@ class Masker:
     def mask(self, text: str) -> tuple[str, dict[str, int]]:
         """The text with pseudonyms, and how many values of each kind it held.  Each place is replaced once, by the first rule that takes it."""
         found: list[tuple[int, int, str, str]] = []
-        taken: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # sorted and disjoint
+
+        def free(m: re.Match) -> bool:
+            at = bisect_left(taken, (m.end(), 0))
+            return not at or taken[at - 1][1] <= m.start()
+
         has_digit = any(c in text for c in "0123456789")
         for kind, pattern, make in self.rules:
             if kind == "email" and "@" not in text or kind not in ("email", "secret") and not has_digit:
@@ -207,7 +251,7 @@ class Masker:
             while whole := pattern.search(text, at):
                 at = whole.end()
                 for m in self._values(kind, pattern, whole):
-                    if any(a < m.end() and m.start() < b for a, b in taken):
+                    if not free(m):
                         continue
                     new = make(m)
                     if new is not None:
@@ -218,7 +262,7 @@ class Masker:
                 else:  # a value may begin after the first group
                     if kind in ("card", "iban"):
                         at = whole.start() + len(re.match("[^ -]+", whole[0])[0])
-            taken += spans
+            taken = sorted(taken + spans)
         if not found:
             return text, {}
         found.sort()
@@ -236,16 +280,18 @@ def masker(key: bytes) -> Masker:
 
 
 KINDS = ["email", "iban", "secret", "date", "ip", "ssn", "phone", "card"]
-#: The key of tests and of the registered query; a real run passes its own.
-KEY = b"public test key"
+#: The key of tests and of the registered query; a real run sets its own, as KEY_CONF or as an argument.
+KEY, KEY_CONF = b"public test key", "spark.skyframe.pii.key"
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None, text_col: str = "text") -> DataFrame:
     """docs with pseudonyms in the text, and n_<kind> (long) for each kind of personal data found in it.
 
-    A null text stays null and holds none; columns named n_<kind> are replaced,
+    key: by default the session's setting KEY_CONF, and where that is unset the
+    published KEY, with which anyone can undo the pseudonyms.  A null text stays null and holds none; columns named n_<kind> are replaced,
     other columns and all rows are kept; the whole text is searched.
     """
+    key = key or docs.sparkSession.conf.get(KEY_CONF, KEY.decode()).encode()
     names = [f"n_{k}" for k in KINDS]
     rest = [c for c in docs.columns if c not in names]
     df = docs.select(*rest)

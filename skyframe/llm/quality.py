@@ -1,14 +1,15 @@
 """Quality rules with risk-controlled cutoffs, on DataFrame functions only.
 
 A rule rejects a document whose score is over a cutoff.  The labelled good
-documents are the holdout: nothing but the choice of cutoffs depends on them.
+texts that pass the base rules are the holdout, each text counted once however
+many copies it has: nothing but the choice of cutoffs depends on them.
 A cutoff is admissible in a stratum (a language) if the exact binomial test
-rules out that it rejects more than alpha / rules of the good documents there:
+rules out that it rejects more than alpha / rules of the good texts there:
 P(Bin(n, alpha / rules) <= k) <= delta / tests for k of n rejected, with all
 strata, rules and cutoffs counted as tests (Bonferroni).  So with probability
-1 - delta, no stratum loses more than alpha of its good documents, whichever
+1 - delta, no stratum loses more than alpha of its good texts, whichever
 admissible cutoffs are taken.  Of these the one with the most bad less good
-labelled documents rejected is taken, the highest among equals; without an
+labelled texts rejected is taken, the highest among equals; without an
 admissible cutoff that rejects more bad than good ones, the rule rejects none.
 """
 
@@ -85,9 +86,11 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff) of the admissible cutoffs taken; scored has doc_id, stratum and a column for each score."""
+    """(stratum, rule, cutoff) of the admissible cutoffs taken; scored has doc_id, stratum, text_hash and a column for each score."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.max("quality") >= 1).alias("good"))
-    held = scored.join(known, "doc_id").select("stratum", "good", F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("score"), F.array(*map(F.lit, CUTOFFS[r])).alias("tried")) for r in SCORES))))
+    # equal texts are one draw
+    once = scored.join(known, "doc_id").groupBy("stratum", "text_hash").agg(F.max("good").alias("good"), *(F.max(r).alias(r) for r in SCORES))
+    held = once.select("stratum", "good", F.inline(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("score"), F.array(*map(F.lit, CUTOFFS[r])).alias("tried")) for r in SCORES))))
     # by the number of cutoffs that a score exceeds: a few rows for each stratum and rule, however many labels there are
     over = F.size(F.filter("tried", lambda t: F.col("score") > t))
     counts = held.groupBy("stratum", "rule", over.alias("over")).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
@@ -115,9 +118,10 @@ def rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
     stratum is one stratum.  A document labelled more than once is good if any
     label is; labels without a document or a quality count for nothing, and
     without labels the method's rules reject none.  Rows that repeat are each
-    returned (and count as often in the holdout).  Other columns are ignored.
+    returned, and count once in the holdout, as do copies of a text.  Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("body"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit("="), F.col(stratum_col).cast("string")).alias("stratum"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("body"))
+    base = base.withColumn("stratum", F.coalesce("stratum", F.lit("")))  # null is no language, and not the empty one
     base = features(base, "body").drop("body")
     base = base.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     for rule, score in SCORES.items():
@@ -137,16 +141,16 @@ def rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
 def sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
     """The same over the tables documents and labels, for DuckDB."""
     tried = ", ".join(f"('{r}', {c})" for r, cs in CUTOFFS.items() for c in cs)
-    scores = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {SCORES[r].replace(' div ', ' // ')} AS score FROM f WHERE NOT base_failed" for r in SCORES)
+    scores = " UNION ALL ".join(f"SELECT doc_id, stratum, text_hash, '{r}' AS rule, {SCORES[r].replace(' div ', ' // ')} AS score FROM f WHERE NOT base_failed" for r in SCORES)
     return rf"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM documents),
+WITH t AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS stratum, coalesce(text, '') AS text, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 0) + 1)) AS i FROM t))),
 r AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM g WHERE n > 1) GROUP BY doc_id),
-b AS (SELECT t.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN r USING (doc_id)),
+b AS (SELECT t.doc_id, stratum, sha256(text) AS text_hash, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 s AS ({scores}),
 k AS (SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-h AS (SELECT stratum, rule, score, good FROM s JOIN k USING (doc_id)),
+h AS (SELECT stratum, rule, text_hash, max(score) AS score, bool_or(good) AS good FROM s JOIN k USING (doc_id) GROUP BY stratum, rule, text_hash),
 e AS (SELECT stratum, h.rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND score > cutoff) AS k, count(*) FILTER (NOT good AND score > cutoff) AS bad FROM h JOIN (VALUES {tried}) AS c(rule, cutoff) ON h.rule = c.rule GROUP BY ALL),
 p AS (SELECT *, (SELECT count(*) FROM e) AS tests, CASE WHEN k >= n * {alpha / len(SCORES)!r} THEN 1.0 ELSE list_sum([exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({alpha / len(SCORES)!r}) + (n - i) * ln({1 - alpha / len(SCORES)!r})) FOR i IN range(0, k + 1)]) END AS tail FROM e),
 o AS (SELECT stratum, rule, cutoff FROM p WHERE bad > k AND tail <= {delta!r} / tests QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, cutoff DESC) = 1),

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, doc_key, rows_of, slice_hashes, spool, word_spans
+from .common import U64, bounded_sample, doc_key, rows_of, slice_hashes, spool, word_spans
 
 DIMS = 1 << 16
-#: Documents whose posteriors train the scorer at most, in expectation.
+#: Documents whose posteriors train the scorer at most.
 SAMPLE = 4000
 KEEP = 0.5
 #: Abuse that a labeller looks for (fixed values).
@@ -150,7 +150,7 @@ def classify(docs: DataFrame, keep: float = KEEP, sample: int = SAMPLE, id_col:
     total = sum(r[1] for r in counts)
     prior, p = fit_accuracies(patterns, np.array([r[1] for r in counts], float))
 
-    picked = rows.where(F.pmod(F.xxhash64("doc_key", F.lit(5)), F.lit(1_000_000)) < min(1_000_000, int(1e6 * sample / total) + 1))
+    picked = bounded_sample(rows, F.xxhash64("doc_key", "body", F.lit(5)), sample, total)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, body in rows_of(batches, "doc_key", "body"):

@@ -58,12 +58,12 @@ def test_against_brute_force(spark):
 
 
 def test_without_broadcast_and_empty(spark, monkeypatch):
-    from skyframe.llm import decontam
+    from skyframe.llm import common
 
     docs, items = case(3, True)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, contamination(df, it).collect()), key=str) == brute(docs, items)
     assert sorted(map(tuple, contamination(df, it.limit(0)).collect()), key=str) == brute(docs, [])
     assert contamination(df.limit(0), it).count() == 0

@@ -133,3 +133,33 @@ def test_weak_edges(spark):
     got = weak.classify(df).collect()
     assert len(got) == 3 and all(0 <= r["score"] <= 1 for r in got)
     assert weak.classify(df.limit(0)).count() == 0
+
+
+def test_posterior_against_brute_force(spark):
+    """The posteriors are those of EM over every row's votes, one by one; the scorer learns from a bounded sample."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(9999, None), (9999, None), (None, "")], "doc_id long, text string"))
+    rows = df.collect()
+    v = np.array([weak.votes(r["text"].encode() if r["text"] else None)[0] for r in rows])
+    prior, p = weak.fit_accuracies(v, np.ones(len(v)))
+    want = sorted(zip((str(r["doc_id"]) for r in rows), weak.posterior(v, prior, p).round(6).tolist(), strict=True))
+    got = sorted((str(r["doc_id"]), round(r["posterior"], 6)) for r in weak.classify(df).collect())
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=2e-6)
+
+
+def test_query_against_structure(spark):
+    """op5 on whole pages: all of them have articles, and their text is that of the articles' blocks."""
+    from skyframe.llm.queries import op5_html
+
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in op5_html(spark, "/root/testdata/sf0.01").collect()}
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert len(got) == len(pages)
+    for r in pages:
+        text = "\n".join(kept(r["html"]))
+        assert got[r["page_id"]] == (text, len(text))
+
+
+def test_long_and_repeated_pages(spark):
+    words = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, "http://a/1", f"<article><p>{words}</article>"), (2, "http://a/2", f"<div>{words}</div>"), (2, "http://a/2", f"<div>{words}</div>"), (3, "http://b/1", f"<div>{words}</div>")]
+    got = sorted((r["page_id"], r["n_chars"]) for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, len(words)), (2, len(words)), (2, len(words)), (3, len(words))]

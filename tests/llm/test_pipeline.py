@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 import pytest
 import tiktoken
@@ -5,7 +7,7 @@ import tiktoken
 from skyframe.llm import bpe, langid, pii
 from tests.conftest import SF
 from tests.llm.test_decontam import brute
-from tests.llm.test_simhash import closure, plain
+from tests.llm.test_nearcopies import grams, groups_of
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -15,7 +17,7 @@ def test_run_against_brute_force(spark):
     said = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     left = {i: r["text"] for i, r in said.items() if r["lang_pred"] != "und" and r["score"] >= corpus_pipeline.SURE}
     assert len(left) >= 0.98 * len(said)
-    groups = closure({i: plain(t) for i, t in left.items()}, 4)
+    groups = groups_of({i: grams(t) for i, t in left.items()})
     left = {i: left[i] for i in left if groups[i] == i}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {r[0] for r in brute(list(left.items()), items) if r[5]}
@@ -46,3 +48,40 @@ def test_stages_keep_columns_and_edges(spark):
             assert 50 not in ids and 51 not in ids and len(ids) == 22
         if name == "near_duplicates":
             assert len(ids) == len(set(ids))
+
+
+def test_shared_ids_and_clashing_columns(spark):
+    """Rows with null or equal ids are judged by their texts, whatever the other columns are called."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    item = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][0]
+    a, b, c, d = (text() for _ in range(4))
+    bad = f"{text()} {item}"
+    rows = [(None, a), (None, b), (None, bad), (5, c), (5, d), (5, bad + " x"), (6, a), (7, d), (8, None), (9, "")]
+    names = ["_key", "_node", "_bad", "_said", "at", "node", "bad", "hash", "root", "stays", "n", "doc_key", "text_hash", "said", "lang_pred", "n_words", "body", "tie"]
+    df = spark.createDataFrame([(*r, "en", 1, *(str(k) for k in range(len(names)))) for r in rows], f"doc_id long, text string, lang string, n_chars int, {', '.join(n + ' string' for n in names)}").repartition(3)
+    near = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert near.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in near.collect()), key=str)
+    want = [(None, a), (None, b), (5, c), (5, d), (8, None)]
+    assert [g for g in got if g in want] == sorted(want, key=str) and len(got) == 6 and (None, bad) in got
+    clean = corpus_pipeline.decontamination(spark, df, SF)
+    assert clean.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=str) == sorted(((i, t) for i, t in rows if t is None or item not in t), key=str)
+    for r in clean.collect() + near.collect():
+        assert [r[n] for n in names] == [str(k) for k in range(len(names))]
+    for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[3:]:
+        out = stage(spark, df, SF)
+        assert name == "tokens" or out.columns == df.columns
+        out.collect()
+
+
+def test_repeated_and_long_rows(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    t = " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    rows = [(1, long), (1, long), (2, long + " end"), (3, t), (3, t), (3, t), (4, t)]
+    df = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted((r["doc_id"], len(r["text"])) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == [(1, len(long)), (3, len(t))]
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, df, SF).count() == len(rows)
