@@ -31,7 +31,7 @@ TOP = U64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text hashed at once; bytes of text whose strings are packed together; windows in a string.
 CHUNK, FLUSH, RUN = 1 << 20, 16 << 20, 4096
 #: Bytes of text whose strings make one bucket, about.
-BUCKET = 32 << 20
+BUCKET = 8 << 20
 #: An owner is hot with this many windows, and this share of all of them (as a shift): so at most 2 ** 20 owners are hot.
 HOT, SHARE = 200_000, 20
 #: Windows of an owner in one flush that are counted: of fewer, no flush tells.
@@ -472,7 +472,7 @@ def covered(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: s
     total = told.where("own is null").first()
     windows, size = (total["n"], total["size"]) if total else (0, 0)
     hot = [r[0] for r in told.where(F.col("own").isNotNull() & (F.col("n") >= max(HOT, windows >> SHARE))).select("own").collect()]  # at most 2 ** SHARE
-    n = max(buckets(spark, 2), size // BUCKET)
+    n = max(buckets(spark, 4), size // BUCKET)
     packed = rows.mapInArrow(_packer(scheme, n, np.sort(np.array(hot, np.int64).view(np.uint64))), PACKED)
     return packed.groupBy("bucket").applyInArrow(_resolver(scheme, n), f"bucket int, {COVERED}"), n
 
