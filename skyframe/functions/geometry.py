@@ -19,6 +19,12 @@ def col(x: Num | str) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(make, **values: Column) -> Column:
+    """make(*values) with each value computed once, however often make uses it (expressions are trees: nested ones would grow without bound)."""
+    bound = F.array(F.struct(*(v.alias(k) for k, v in values.items())))
+    return F.transform(bound, lambda r: make(*(r[k] for k in values)))[0]
+
+
 def axis_index(x: Num, lo: float, hi: float, n: int) -> Column:
     """Bin of x in n equal half-open bins of [lo, hi), or -1 outside."""
     d = F.floor((col(x) - F.lit(float(lo))) * F.lit(float(n)) / F.lit(float(hi) - float(lo)))

@@ -113,6 +113,8 @@ class RealModel(_Bands):
 class KaiserModel(_Bands):
     """Band powers of the multipoles 0, 2 and 4 along one line of sight: three parameters a band."""
 
+    anisotropic = True
+
     def __init__(self, config: dict[str, str]):
         super().__init__(config)
         self.f = float(config.get("f", 0.5))

@@ -1,7 +1,12 @@
 """Equal-area sky pixels (12 base faces, nside**2 pixels each), in ring and nested order, as column expressions.
 
-After Gorski et al. 2005: an equatorial belt with lines of constant latitude
-and two polar caps.  Nested numbers interleave the bits of a face's (x, y).
+Everything is derived from the projection of Calabretta & Roukema (2007).  In
+quarter turns, a point (mu, phi) of the belt |mu| <= 2/3 lies at U = phi, V =
+3 mu / 4, one of a polar cap at U = c + (phi - c) s, |V| = 1 - s / 2, with s =
+sqrt(3 (1 - |mu|)) and c the middle of its quarter.  The faces are squares
+turned by 45 degrees: with S and T the rounded U + V and U - V, S - T is 1 on
+the northern, 0 on the equatorial and -1 on the southern faces.  A pixel is
+its face's (S, T) and its row and column (x, y) on the face.
 """
 
 from __future__ import annotations
@@ -11,12 +16,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import Num, col
+from .geometry import Num, col, let
 
 HALF_PI = math.pi / 2
-#: Ring and longitude offset of each base face (fixed values).
-FACE_RING = [2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4]
-FACE_LON = [1, 3, 5, 7, 0, 2, 4, 6, 1, 3, 5, 7]
 
 
 def npix(nside: int) -> int:
@@ -30,88 +32,117 @@ def nside_of(pixels: int) -> int:
     return n
 
 
-def _quarter(phi: Num) -> Column:
-    """phi in quarter turns, within [0, 4)."""
-    t = F.pmod(col(phi), F.lit(2 * math.pi)) / F.lit(HALF_PI)
-    return F.when(t >= 4, t - 4).otherwise(t)
+def _long(x: Column) -> Column:
+    return F.floor(x).cast("long")
 
 
-def ring_pixel(nside: int, mu: Num, phi: Num) -> Column:
-    z, t, n = col(mu), _quarter(phi), nside
-    za = F.abs(z)
-    up, down = F.floor(n * (0.5 + t) - n * z * 0.75), F.floor(n * (0.5 + t) + n * z * 0.75)
-    ring = n + 1 + up - down
-    shift = 1 - ring % 2
-    at = F.floor((up + down - n + shift + 1) / 2) % (4 * n)
-    belt = 2 * n * (n - 1) + (ring - 1) * 4 * n + at
-    part = t - F.floor(t)
-    wide = n * F.sqrt(3 * (1 - za))
-    p, m = F.floor(part * wide), F.floor((1 - part) * wide)
-    cap = p + m + 1
-    turn = F.floor(t * cap) % (4 * cap)
-    polar = F.when(z > 0, 2 * cap * (cap - 1) + turn).otherwise(npix(n) - 2 * cap * (cap + 1) + turn)
-    return F.when(za <= F.lit(2.0 / 3.0), belt).otherwise(polar).cast("long")
+def _place(n: int, mu: Num, phi: Num) -> Column:
+    """(s, t, x, y): the pixel that a point lies in."""
+    inside = lambda x: F.greatest(F.lit(0).cast("long"), F.least(F.lit(n - 1).cast("long"), x))
+
+    def plane(z: Column, t: Column, quarter: Column, s: Column, polar: Column) -> Column:
+        u = F.when(polar, quarter + 0.5 + (t - quarter - 0.5) * s).otherwise(t)
+        v = F.when(polar, F.signum(z) * (1 - s / 2)).otherwise(0.75 * z)
+        return let(face, a=u + v + 0.5, b=u - v + 0.5, z=z, quarter=quarter, polar=polar)
+
+    def face(a: Column, b: Column, z: Column, quarter: Column, polar: Column) -> Column:
+        s = F.when(polar, quarter + (z > 0).cast("long")).otherwise(_long(a))
+        t = F.when(polar, quarter + (z < 0).cast("long")).otherwise(_long(b))
+        return let(lambda a, b, s, t: F.struct(s.alias("s"), t.alias("t"), inside(_long((a - s) * n)).alias("x"), inside(n - 1 - _long((b - t) * n)).alias("y")), a=a, b=b, s=s, t=t)
+
+    def turn(z: Column, t: Column) -> Column:
+        return let(plane, z=z, t=t, quarter=F.least(_long(t), F.lit(3).cast("long")), s=F.sqrt(F.greatest(3 * (1 - F.abs(z)), F.lit(0.0))), polar=F.abs(z) > F.lit(2.0 / 3.0))
+
+    return let(turn, z=col(mu).cast("double"), t=F.pmod(col(phi) / F.lit(HALF_PI), F.lit(4.0)))
+
+
+def _ring_of(n: int, s: Column, t: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """(ring from 1 in the north, place from 0 in it) of a pixel: from V and U of its centre."""
+    ring = n * (3 - (s - t)) - x - y - 1
+    belt = F.pmod(_long((n * (s + t) + x - y) / F.lit(2.0)), F.lit(4 * n))
+    north = t * ring + n - 1 - y
+    south = s * (4 * n - ring) + x
+    return ring, F.when(ring < n, north).when(ring > 3 * n, south).otherwise(belt)
+
+
+def _before(n: int, ring: Column) -> Column:
+    """Pixels of the rings before one."""
+    m = 4 * n - ring
+    return F.when(ring < n, 2 * ring * (ring - 1)).when(ring > 3 * n, npix(n) - 2 * m * (m + 1)).otherwise(2 * n * (n - 1) + (ring - n) * 4 * n)
+
+
+def _angles(n: int, ring: Column, place: Column) -> Column:
+    """(mu, phi) of the centre of a place in a ring."""
+    m = F.least(ring, 4 * n - ring, F.lit(n).cast("long"))
+    cap = 1 - m * m / F.lit(3.0 * n * n)
+    mu = F.when(ring < n, cap).when(ring > 3 * n, -cap).otherwise((2 * n - ring) * 2 / F.lit(3.0 * n))
+    shift = F.when((m == n) & ((ring - n) % 2 == 1), 0.0).otherwise(0.5)
+    return F.struct(mu.alias("mu"), ((place + shift) / m * F.lit(HALF_PI)).alias("phi"))
+
 
+def _weave(n: int, x: Column, y: Column) -> Column:
+    """Bits of x at the even places and of y at the odd ones."""
+    bit = lambda c, b: F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("long")), 2 * b)
+    bits = range(n.bit_length() - 1)
+    even = sum((bit(x, b) for b in bits), F.lit(0).cast("long"))
+    return even + 2 * sum((bit(y, b) for b in bits), F.lit(0).cast("long"))
 
-def _spread(x: Column) -> Column:
-    """Bits of x at the even places (through binary digits: x is written once, so expressions stay small)."""
-    return F.conv(F.regexp_replace(F.bin(x), "(.)", "0$1"), 2, 10).cast("long")
 
+def _part(n: int, w: Column) -> Column:
+    """The bits at the even places."""
+    return sum((F.shiftleft(F.shiftright(w, 2 * b).bitwiseAND(F.lit(1).cast("long")), b) for b in range(n.bit_length() - 1)), F.lit(0).cast("long"))
 
-def _gather(x: Column) -> Column:
-    """The bits at the even places of x."""
-    return F.conv(F.regexp_replace(F.lpad(F.bin(x), 62, "0"), "(.)(.)", "$2"), 2, 10).cast("long")
+
+def _power_of_two(n: int) -> None:
+    if n & (n - 1):
+        raise ValueError(f"nested order needs a power of 2, not {n}")
+
+
+def ring_pixel(nside: int, mu: Num, phi: Num) -> Column:
+    def of(place: Column) -> Column:
+        ring, at = _ring_of(nside, *(place[k] for k in "stxy"))
+        return let(lambda ring, at: (_before(nside, ring) + at).cast("long"), ring=ring, at=at)
+
+    return let(of, place=_place(nside, mu, phi))
 
 
 def nest_pixel(nside: int, mu: Num, phi: Num) -> Column:
-    z, t, n = col(mu), _quarter(phi), nside
-    za = F.abs(z)
-    up, down = F.floor(n * (0.5 + t) - n * z * 0.75), F.floor(n * (0.5 + t) + n * z * 0.75)
-    fu, fd = F.floor(up / n), F.floor(down / n)
-    belt_face = F.when(fu == fd, fu % 4 + 4).otherwise(F.when(fu < fd, fu % 4).otherwise(fd % 4 + 8))
-    belt_x, belt_y = down % n, n - up % n - 1
-    quarter = F.least(F.floor(t), F.lit(3).cast("long"))
-    part = t - quarter
-    wide = n * F.sqrt(3 * (1 - za))
-    p = F.least(F.floor(part * wide), F.lit(n - 1).cast("long"))
-    m = F.least(F.floor((1 - part) * wide), F.lit(n - 1).cast("long"))
-    face = F.when(za <= F.lit(2.0 / 3.0), belt_face).otherwise(F.when(z >= 0, quarter).otherwise(quarter + 8))
-    x = F.when(za <= F.lit(2.0 / 3.0), belt_x).otherwise(F.when(z >= 0, n - m - 1).otherwise(p))
-    y = F.when(za <= F.lit(2.0 / 3.0), belt_y).otherwise(F.when(z >= 0, n - p - 1).otherwise(m))
-    return face * n * n + _spread(x.cast("long")) + 2 * _spread(y.cast("long"))
+    _power_of_two(nside)
+
+    def of(place: Column) -> Column:
+        s, t = place["s"], place["t"]
+        face = F.when(s > t, t % 4).when(s < t, 8 + s % 4).otherwise(4 + s % 4)
+        return (face * (nside * nside) + _weave(nside, place["x"], place["y"])).cast("long")
+
+    return let(of, place=_place(nside, mu, phi))
+
+
+def _centre(make, **values: Column) -> tuple[Column, Column]:
+    both = let(make, **values)
+    return both["mu"], both["phi"]
 
 
 def ring_centre(nside: int, pixel: Num) -> tuple[Column, Column]:
     """(mu, phi) of a pixel's centre."""
-    n, p, total = nside, col(pixel).cast("long"), npix(nside)
+    n, p = nside, col(pixel).cast("long")
+    # 2 r (r - 1) <= p < 2 r (r + 1) in the northern cap, and so from the end in the southern
+    root = lambda q: _long((1 + F.sqrt(1 + 2.0 * q)) / 2)
     cap = 2 * n * (n - 1)
-    north = F.floor((1 + F.sqrt(1.0 + 2 * p)) / 2)
-    q = total - p
-    south = F.floor((1 + F.sqrt(2.0 * q - 1)) / 2)
-    belt = p - cap
-    ring = F.floor(belt / (4 * n)) + n
-    half = F.when((ring + n) % 2 == 1, 1.0).otherwise(0.5)
-    mu = F.when(p < cap, 1 - north * north / (3.0 * n * n)).when(p < total - cap, (2 * n - ring) * 2 / (3.0 * n)).otherwise(south * south / (3.0 * n * n) - 1)
-    phi = (
-        F.when(p < cap, (p + 1 - 2 * north * (north - 1) - 0.5) * HALF_PI / north)
-        .when(p < total - cap, (belt % (4 * n) + 1 - half) * HALF_PI / n)
-        .otherwise((4 * south + 1 - (q - 2 * south * (south - 1)) - 0.5) * HALF_PI / south)
-    )
-    return mu, phi
+    ring = F.when(p < cap, root(p)).when(p >= npix(n) - cap, 4 * n - root(npix(n) - 1 - p)).otherwise(_long((p - cap) / (4 * n)) + n)
+    return _centre(lambda ring, p: _angles(n, ring, p - _before(n, ring)), ring=ring, p=p)
 
 
 def nest_centre(nside: int, pixel: Num) -> tuple[Column, Column]:
+    _power_of_two(nside)
     n, p = nside, col(pixel).cast("long")
-    face, within = F.floor(p / (n * n)), p % (n * n)
-    x, y = _gather(within), _gather(F.shiftright(within, 1))
-    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (face + 1).cast("int"))
-    ring = at(FACE_RING) * n - x - y - 1
-    wide = F.when(ring < n, ring).when(ring > 3 * n, 4 * n - ring).otherwise(F.lit(n))
-    mu = F.when(ring < n, 1 - ring * ring / (3.0 * n * n)).when(ring > 3 * n, (4 * n - ring) * (4 * n - ring) / (3.0 * n * n) - 1).otherwise((2 * n - ring) * 2 / (3.0 * n))
-    shift = F.when((ring < n) | (ring > 3 * n), F.lit(0)).otherwise((ring - n) % 2)
-    turn = F.floor((at(FACE_LON) * wide + x - y + 1 + shift) / 2)
-    turn = F.when(turn > 4 * n, turn - 4 * n).when(turn < 1, turn + 4 * n).otherwise(turn)
-    return mu, (turn - (shift + 1) * 0.5) * HALF_PI / wide
+
+    def of(k: Column, face: Column, x: Column, y: Column) -> Column:
+        ring, place = _ring_of(n, F.when(face < 4, k + 1).otherwise(k), F.when(face >= 8, k + 1).otherwise(k), x, y)
+        return let(lambda ring, place: _angles(n, ring, place), ring=ring, place=place)
+
+    within = p % (n * n)
+    face = _long(p / (n * n))
+    return _centre(of, k=face % 4, face=face, x=_part(n, within), y=_part(n, F.shiftright(within, 1)))
 
 
 def to_vector(mu: Num, phi: Num) -> tuple[Column, Column, Column]:

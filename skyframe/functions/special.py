@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .geometry import Num, col
+from .geometry import Num, col, let
 
 
 def bessel(order: int, x: Num) -> Column:
@@ -132,19 +133,27 @@ def spline_frame(spark: SparkSession, table: list[tuple[float, ...]]) -> DataFra
     return spark.createDataFrame(table, "lo double, hi double, c0 double, c1 double, c2 double, c3 double")
 
 
-def lookup(df: DataFrame, x: str, spline: DataFrame, out: str, bins: int = 64) -> DataFrame:
-    """df with the spline's value at x; 0 outside of [first lo, last hi).
+#: Intervals of a spline that are broadcast at most (48 bytes each).
+BROADCAST_INTERVALS = 1_000_000
+
+
+def lookup(df: DataFrame, x: str, spline: DataFrame, out: str, bins: int | None = None, order: int = 0) -> DataFrame:
+    """df with the spline's value at x, or its derivative of an order up to 2; 0 outside of [first lo, last hi).
 
     A range join by equality: intervals are dealt to equal bins that they
-    touch, points to theirs.  The spline's bounds are two numbers.
+    touch, about one to a bin, and points to theirs.  A spline of more than
+    BROADCAST_INTERVALS is joined by shuffle.  Its bounds are two numbers.
     """
-    lo, hi = spline.agg(F.min("lo"), F.max("hi")).first()
+    lo, hi, many = spline.agg(F.min("lo"), F.max("hi"), F.count("*")).first()
+    bins = bins or max(64, min(2 * many, 1 << 30))
+    small = F.broadcast if many <= BROADCAST_INTERVALS else lambda d: d
     at = lambda v: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((v - F.lit(lo)) * F.lit(bins / (hi - lo))).cast("int")))
     parts = spline.withColumn("_bin", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
     inside = (F.col(x) >= lo) & (F.col(x) < hi)
     d = F.col(x) - F.col("lo")
-    joined = df.withColumn("_bin", F.when(inside, at(F.col(x)))).alias("l").join(F.broadcast(parts.alias("s")), (F.col("l._bin") == F.col("s._bin")) & (F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi")), "left")
-    value = F.coalesce(F.col("c0") + d * (F.col("c1") + d * (F.col("c2") + d * F.col("c3"))), F.lit(0.0))
+    joined = df.withColumn("_bin", F.when(inside, at(F.col(x)))).alias("l").join(small(parts.alias("s")), (F.col("l._bin") == F.col("s._bin")) & (F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi")), "left")
+    c = [F.col(f"c{k}") for k in range(4)]
+    value = F.coalesce({0: c[0] + d * (c[1] + d * (c[2] + d * c[3])), 1: c[1] + d * (2 * c[2] + 3 * d * c[3]), 2: 2 * c[2] + 6 * d * c[3]}[order], F.lit(0.0))
     return joined.select(*(F.col(f"l.{c}") for c in df.columns), value.alias(out))
 
 
@@ -153,6 +162,35 @@ def qspline_nodes(n1: int, n2: int, x1: float, x2: float) -> list[float]:
     return [x1 * i / n1 for i in range(n1)] + [x1 * (x2 / x1) ** (i / (n2 - 1)) for i in range(n2)]
 
 
+def tabled(table: list[tuple[float, ...]], n1: int, n2: int, x1: float, x2: float) -> Callable[[Num], Column]:
+    """The spline of qspline_nodes(n1, n2, x1, x2) as a function of a column: the interval follows from x, so nothing is joined; 0 outside."""
+    lo, *c = (F.lit([r[k] for r in table]) for k in (0, 2, 3, 4, 5))
+    step, rate = n1 / x1, (n2 - 1) / math.log(x2 / x1)
+
+    def at(x: Column, i: Column) -> Column:
+        d = x - F.get(lo, i)
+        return F.when((x < 0) | (x >= x2), 0.0).otherwise(F.get(c[0], i) + d * (F.get(c[1], i) + d * (F.get(c[2], i) + d * F.get(c[3], i))))
+
+    def of(x: Num) -> Column:
+        x = col(x)
+        place = F.when(x < x1, F.floor(x * step)).otherwise(n1 + F.floor(F.log(F.greatest(x, F.lit(x1)) / F.lit(x1)) * rate))
+        return let(at, x=x, i=F.greatest(F.lit(0), F.least(F.lit(len(table) - 1), place)).cast("int"))
+
+    return of
+
+
+def spline_maximum(spline: DataFrame) -> DataFrame:
+    """One row (x, y): where a cubic or linear spline is largest, among its ends and the places where its derivative vanishes."""
+    h, b, c, d = F.col("hi") - F.col("lo"), F.col("c1"), F.col("c2"), F.col("c3")
+    root = F.sqrt(F.greatest(c * c - 3 * b * d, F.lit(0.0)))
+    # the smaller root by the stable form; without curvature there is none
+    turns = [F.try_divide(-c - root, 3 * d), F.try_divide(-c + root, 3 * d), F.when(F.abs(d) < 1e-300, F.try_divide(-b, 2 * c))]
+    each = spline.select("lo", "c0", "c1", "c2", "c3", h.alias("h"), F.explode(F.array(F.lit(0.0), h, *turns)).alias("d")).where("d >= 0 and d <= h")
+    y = F.col("c0") + F.col("d") * (b + F.col("d") * (c + F.col("d") * d))
+    best = each.agg(F.max(F.struct(y.alias("y"), (-(F.col("lo") + F.col("d"))).alias("x"))).alias("m"))
+    return best.select((-F.col("m.x")).alias("x"), F.col("m.y").alias("y"))
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """A number in (0, 1) that depends on the seed and the key only, not on the partitioning."""
     return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
@@ -181,14 +219,27 @@ def exponential(u: Column, rate: Num) -> Column:
     return -F.log(1 - u) / col(rate)
 
 
-def poisson(u: Column, mean: Column, top: int = 60) -> Column:
-    """Inverse of the Poisson distribution function; from a mean of 30 by the normal approximation with its first correction."""
-    zero = F.struct(F.exp(-mean).alias("p"), F.exp(-mean).alias("sum"), F.lit(0).alias("k"))
-    step = lambda s, i: F.when(s["sum"] >= u, s).otherwise(F.struct((s["p"] * mean / i).alias("p"), (s["sum"] + s["p"] * mean / i).alias("sum"), i.alias("k")))
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(top)), zero, step, lambda s: s["k"]).cast("long")
-    z = normal(u)
-    large = F.greatest(F.floor(mean + F.sqrt(mean) * z + (z * z - 1) / 6 + 0.5), F.lit(0).cast("long"))
-    return F.when(mean < 30, small).otherwise(large)
+def poisson(u: Column, mean: Column) -> Column:
+    """Inverse of the Poisson distribution function, by its terms, for any mean.
+
+    From a mean of 100 the sum starts ten deviations below it (what lies before
+    is under 1e-22), at a term from Stirling's series.
+    """
+    def start(m: Column) -> Column:
+        k = F.when(m < 100, F.lit(0)).otherwise(F.floor(m - 10 * F.sqrt(m))).cast("long")
+        n = F.greatest(k, F.lit(1).cast("long")).cast("double")
+        # ln n!: exact to 1e-16 from 10 on; 0 terms are taken without it
+        factorial = n * F.log(n) - n + F.log(F.lit(2 * math.pi) * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * F.pow(n, F.lit(5.0))) - 1 / (1680 * F.pow(n, F.lit(7.0)))
+        p = F.exp(F.when(k == 0, -m).otherwise(k * F.log(m) - m - factorial))
+        return F.struct(k.alias("k"), p.alias("p"))
+
+    def walk(u: Column, m: Column, first: Column) -> Column:
+        zero = F.struct(first["p"].alias("p"), first["p"].alias("sum"), first["k"].alias("k"))
+        step = lambda s, i: F.when(s["sum"] >= u, s).otherwise(F.struct((s["p"] * m / i).alias("p"), (s["sum"] + s["p"] * m / i).alias("sum"), i.alias("k")))
+        last = F.ceil(m + 12 * F.sqrt(m) + 12)
+        return F.aggregate(F.sequence(first["k"] + 1, last), zero, step, lambda s: s["k"]).cast("long")
+
+    return let(lambda u, m: let(walk, u=u, m=m, first=start(m)), u=u, m=mean)
 
 
 def ramp(u: Column, f0: Column, f1: Column) -> Column:
@@ -197,6 +248,36 @@ def ramp(u: Column, f0: Column, f1: Column) -> Column:
     return F.coalesce(F.try_divide(u * (f0 + f1), f0 + root), u)
 
 
+def trilinear_draw(corners: dict[tuple[int, int, int], Column], u: tuple[Column, Column, Column]) -> Column:
+    """(t1, t2, t3): a point of the unit cube from a density that is trilinear between its corners, from three uniform numbers.
+
+    Axis by axis: the density summed over the axes to come is linear along one.
+    """
+    def first(*c: Column) -> Column:
+        g = dict(zip(sorted(corners), c[:8], strict=True))
+        face = [g[a, 0, 0] + g[a, 0, 1] + g[a, 1, 0] + g[a, 1, 1] for a in (0, 1)]
+        return let(second, t1=ramp(c[8], *face), **{f"c{k}": x for k, x in enumerate(c[:8])}, u2=c[9], u3=c[10])
+
+    def second(t1: Column, *c: Column) -> Column:
+        g = dict(zip(sorted(corners), c[:8], strict=True))
+        side = {(b, e): g[0, b, e] * (1 - t1) + g[1, b, e] * t1 for b in (0, 1) for e in (0, 1)}
+        return let(third, t1=t1, t2=ramp(c[8], side[0, 0] + side[0, 1], side[1, 0] + side[1, 1]), **{f"s{b}{e}": v for (b, e), v in side.items()}, u3=c[9])
+
+    def third(t1: Column, t2: Column, s00: Column, s01: Column, s10: Column, s11: Column, u3: Column) -> Column:
+        return F.struct(t1.alias("t1"), t2.alias("t2"), ramp(u3, s00 * (1 - t2) + s10 * t2, s01 * (1 - t2) + s11 * t2).alias("t3"))
+
+    return let(first, **{f"c{k}": corners[key] for k, key in enumerate(sorted(corners))}, u1=u[0], u2=u[1], u3=u[2])
+
+
+#: Degree, coefficients and first odd values of the polynomials of the dimensions after the first (Joe & Kuo; fixed values).
+SOBOL = [(1, 0, [1]), (2, 1, [1, 3]), (3, 1, [1, 3, 1]), (3, 2, [1, 1, 1]), (4, 1, [1, 1, 3, 3]), (4, 4, [1, 3, 5, 13]), (5, 2, [1, 1, 5, 5, 17]), (5, 4, [1, 1, 5, 5, 5]), (5, 7, [1, 1, 7, 11, 19])]
+
+
+def sobol(index: Column, dims: int) -> list[Column]:
+    """The coordinates of Sobol's point number index (skipping is counting), up to 10 dimensions."""
+    return [sobol_column(index, sobol_directions(*p)) for p in [(0, 0, []), *SOBOL][:dims]]
+
+
 def sobol_column(index: Column, directions: list[int]) -> Column:
     """Coordinate of a Sobol point: xor of the direction numbers at the bits of the index's Gray code, over 2**32."""
     gray = index.bitwiseXOR(F.shiftright(index, 1))

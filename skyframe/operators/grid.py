@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +43,16 @@ def number_cells(cells: DataFrame) -> DataFrame:
     """Drop empty cells and number the rest 0, 1, ... in grid order.
 
     Two passes in place of one sort in one task: cells per slab are counted,
-    and a slab's cells are numbered from the sum of the slabs before.
+    and a slab's cells are numbered from the sum of the slabs before (a table
+    with a row for each bin of one axis).
     """
-    full = cells.where("nbar > 0")
-    slabs = [(r[0], r[1]) for r in full.groupBy("d1").count().orderBy("d1").collect()]  # a row for each bin of one axis
-    start = dict(zip([s for s, _ in slabs], np.cumsum([0, *(n for _, n in slabs)]).tolist(), strict=False))
     from pyspark.sql import Window
 
-    first = F.element_at(F.create_map(*(F.lit(x) for kv in start.items() for x in kv)), F.col("d1")) if start else F.lit(0)
-    return full.withColumn("a", (F.row_number().over(Window.partitionBy("d1").orderBy("g")) - 1 + first).cast("long"))
+    full = cells.where("nbar > 0")
+    slabs = full.groupBy("d1").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("d1", "n"))).alias("slabs"))
+    before = F.aggregate(F.filter("slabs", lambda s: s["d1"] < F.col("d1")), F.lit(0).cast("long"), lambda t, s: t + s["n"])
+    placed = full.withColumn("_at", F.row_number().over(Window.partitionBy("d1").orderBy("g")) - 1)
+    return placed.crossJoin(F.broadcast(slabs)).withColumn("a", (F.col("_at") + before).cast("long")).drop("_at", "slabs")  # slabs is one row
 
 
 def cell_counts(points: DataFrame, cells: DataFrame, grid: Grid, xyz: tuple[str, str, str] = ("x", "y", "z"), weight: str = "w") -> DataFrame:
@@ -105,22 +106,36 @@ def interpolate(points: DataFrame, field: DataFrame, n: int, size: float, value:
     return each.select(id_col, *node, share.alias("s")).join(field, ["ix", "iy", "iz"]).groupBy(id_col).agg(F.sum(F.col("s") * F.col(value)).alias(value))
 
 
-def _along(axis: str, n: int, inverse: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        line = np.zeros(n, complex)
-        line[pdf[axis].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        out = np.fft.ifft(line) if inverse else np.fft.fft(line)
-        keep = {c: pdf[c].iloc[0] for c in ("ix", "iy", "iz") if c != axis}
-        return pd.DataFrame({**keep, axis: np.arange(n), "re": out.real, "im": out.imag})[["ix", "iy", "iz", "re", "im"]]
+#: Values that one group of a transform holds, about.
+SLAB = 1 << 21
+
+
+def _over(axes: tuple[str, ...], n: int, inverse: bool, thick: int):
+    def run(group: pa.Table) -> pa.Table:
+        fixed = next(c for c in ("ix", "iy", "iz") if c not in axes)
+        at = [group.column(c).to_numpy() for c in ("ix", "iy", "iz")]
+        start = int(at["ix iy iz".split().index(fixed)][0]) // thick * thick
+        shape = [thick if c == fixed else n for c in ("ix", "iy", "iz")]
+        place = [x - start if c == fixed else x for c, x in zip(("ix", "iy", "iz"), at, strict=True)]
+        cube = np.zeros(shape, complex)
+        cube[tuple(place)] = group.column("re").to_numpy() + 1j * group.column("im").to_numpy()
+        over = [("ix", "iy", "iz").index(c) for c in axes]
+        cube = (np.fft.ifftn if inverse else np.fft.fftn)(cube, axes=over)
+        out = np.indices(shape)
+        cut = ("ix", "iy", "iz").index(fixed)
+        out[cut] += start
+        keep = out[cut].ravel() < n
+        return pa.table([*(pa.array(x.ravel()[keep]) for x in out), pa.array(cube.real.ravel()[keep]), pa.array(cube.imag.ravel()[keep])], names=["ix", "iy", "iz", "re", "im"])
 
     return run
 
 
 def fft(field: DataFrame, n: int, inverse: bool = False) -> DataFrame:
-    """3-D discrete Fourier transform of (ix, iy, iz, re, im): a pass along each axis, a line of n values at a time."""
-    for axis in ("iz", "iy", "ix"):
-        rest = [c for c in ("ix", "iy", "iz") if c != axis]
-        field = field.groupBy(*rest).applyInPandas(_along(axis, n, inverse), "ix long, iy long, iz long, re double, im double")
+    """3-D discrete Fourier transform of (ix, iy, iz, re, im), in two shuffles: over (y, z) in slabs of planes, then along x in slabs of lines."""
+    thick = max(1, min(n, SLAB // (n * n)))
+    for axes, cut in ((("iy", "iz"), "ix"), (("ix",), "iy")):
+        slab = F.floor(F.col(cut) / thick)
+        field = field.groupBy(slab.alias("slab")).applyInArrow(_over(axes, n, inverse, thick), "ix long, iy long, iz long, re double, im double")
     return field
 
 
@@ -128,10 +143,12 @@ def frequency(i: str, n: int) -> Column:
     return F.when(F.col(i) > n // 2, F.col(i) - n).otherwise(F.col(i))
 
 
-def power(modes: DataFrame, n: int, size: float, bins: int, kmax: float, shot: float = 0.0, deconvolve: bool = True) -> DataFrame:
+def power(modes: DataFrame, n: int, size: float, bins: int, kmax: float, shot: float = 0.0, deconvolve: bool = True, half: bool = False) -> DataFrame:
     """(bin, n_modes, pk) of modes (ix, iy, iz, re, im) in equal bins of |k|; the zero mode counts for nothing.
 
-    With deconvolve, each mode is divided by its window of the mass deposit.
+    With deconvolve, each mode is divided by its window of the mass deposit;
+    shot is the noise 1 / density taken off.  half: only iz <= n / 2 is given
+    (a real field), and modes with a mirror outside of it count twice.
     """
     from ..functions.special import cic_window
 
@@ -141,8 +158,29 @@ def power(modes: DataFrame, n: int, size: float, bins: int, kmax: float, shot: f
     w = cic_window(*(x * F.lit(unit * size / n) for x in f)) if deconvolve else F.lit(1.0)
     p = (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (w * w) * F.lit(size**3 / float(n) ** 6) - F.lit(shot)
     at = g.axis_index(k, 0.0, kmax, bins)
+    many = F.when((F.col("iz") > 0) & (2 * F.col("iz") != n), 2).otherwise(1) if half else F.lit(1)
     some = modes.where(~((F.col("ix") == 0) & (F.col("iy") == 0) & (F.col("iz") == 0)))
-    return some.select(at.alias("bin"), p.alias("p")).where("bin >= 0").groupBy("bin").agg(F.count("*").alias("n_modes"), F.avg("p").alias("pk"))
+    some = some.select(at.alias("bin"), p.alias("p"), many.cast("long").alias("many")).where("bin >= 0")
+    return some.groupBy("bin").agg(F.sum("many").alias("n_modes"), (F.sum(F.col("p") * F.col("many")) / F.sum("many")).alias("pk"))
+
+
+def rebinned(pk: DataFrame, lo: float, hi: float, bins: int, m: int = 2, log: bool = False) -> DataFrame:
+    """(bin, p): means of P(k) with weights k**m, in equal bins of k, or of its logarithm."""
+    k = F.col("k")
+    at = g.axis_index(F.log(k), float(np.log(lo)), float(np.log(hi)), bins) if log else g.axis_index(k, lo, hi, bins)
+    weight = F.pow(k, F.lit(float(m)))
+    return pk.select(at.alias("bin"), weight.alias("w"), "p").where("bin >= 0").groupBy("bin").agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
+
+
+def overlapping(df: DataFrame, value: str, weight: str, bins: DataFrame) -> DataFrame:
+    """(bin, n, total, mean) of the rows in each bin (bin, lo, hi) of a short table; bins are half-open and may overlap or leave gaps."""
+    each = df.select(F.col(value).alias("x"), F.col(weight).cast("double").alias("w"))
+    # the bins' edges cut the line into pieces that lie wholly in or out of each bin: rows are summed by piece before they meet the bins
+    edges = bins.select(F.explode(F.array("lo", "hi")).alias("e")).agg(F.array_sort(F.collect_set("e")).alias("edges"))
+    piece = F.size(F.filter("edges", lambda e: e <= F.col("x")))
+    sums = each.crossJoin(F.broadcast(edges)).groupBy(piece.alias("piece"), F.get("edges", piece - 1).alias("from")).agg(F.count("*").alias("n"), F.sum("w").alias("total"))  # edges is one row
+    got = sums.join(F.broadcast(bins), (F.col("from") >= F.col("lo")) & (F.col("from") < F.col("hi")))
+    return got.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).withColumn("mean", F.col("total") / F.col("n"))
 
 
 def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -150,5 +188,3 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int) -> Dat
     counts = df.select(g.axis_index(value, lo, hi, bins).alias("bin")).where("bin >= 0").groupBy("bin").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.crossJoin(F.broadcast(total)).select("bin", (F.col("n") / (F.col("total") * F.lit((hi - lo) / bins))).alias("density"))  # total is one row
-
-

@@ -2,16 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Protocol
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def multiply(a: DataFrame, b: DataFrame, left: str = "N", right: str = "N") -> DataFrame:
-    """Product of two (i, j, v) matrices; left and right: 'T' takes the transpose."""
-    a = a.select(*(F.col(c).alias(n) for c, n in zip(("i", "j", "v") if left == "N" else ("j", "i", "v"), ("i", "k", "x"), strict=True)))
-    b = b.select(*(F.col(c).alias(n) for c, n in zip(("i", "j", "v") if right == "N" else ("j", "i", "v"), ("k", "j", "y"), strict=True)))
-    return a.join(b, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+#: Order of the dense blocks that products are taken in.
+BLOCK = 256
+
+
+def _blocks(df: DataFrame, row: str, col: str, value: str, size: int) -> DataFrame:
+    """(r, c, i, j, v): the entries of each block of order `size`, as arrays; a block's rows never leave one task once combined."""
+    place = lambda x: F.floor(F.col(x) / size)
+    cell = F.struct((F.col(row) % size).cast("int").alias("i"), (F.col(col) % size).cast("int").alias("j"), F.col(value).cast("double").alias("v"))
+    each = df.groupBy(place(row).alias("r"), place(col).alias("c")).agg(F.collect_list(cell).alias("e"))
+    return each.select("r", "c", F.col("e.i").alias("i"), F.col("e.j").alias("j"), F.col("e.v").alias("v"))
+
+
+def _dense(i, j, v, size: int) -> tuple[np.ndarray, np.ndarray]:
+    values, there = np.zeros((size, size)), np.zeros((size, size), np.float32)
+    np.add.at(values, (i, j), v)
+    there[i, j] = 1
+    return values, there
+
+
+def multiply(a: DataFrame, b: DataFrame, left: str = "N", right: str = "N", size: int = BLOCK) -> DataFrame:
+    """Product of two (i, j, v) matrices; left and right: 'T' takes the transpose.
+
+    Entries meet by blocks of order `size`, so the join has a row for each pair
+    of blocks and not for each product; a product exists where a pair of
+    entries does.  Partial products are summed block by block.
+    """
+    ai, ak = ("i", "j") if left == "N" else ("j", "i")
+    bk, bj = ("i", "j") if right == "N" else ("j", "i")
+    p = _blocks(a, ai, ak, "v", size).select("r", F.col("c").alias("k"), *(F.col(x).alias(f"a{x}") for x in "ijv"))
+    q = _blocks(b, bk, bj, "v", size).select(F.col("r").alias("k"), "c", *(F.col(x).alias(f"b{x}") for x in "ijv"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r, c, *e = (batch.column(k)[at] for k in range(8))
+                e = [x.values.to_numpy(zero_copy_only=False) for x in e]
+                (x, y), (u, w) = _dense(*e[:3], size), _dense(*e[3:], size)
+                out, there = x @ u, y @ w > 0
+                yield pa.record_batch([pa.array([r.as_py()]), pa.array([c.as_py()]), pa.array([out.tobytes()], pa.binary()), pa.array([np.packbits(there).tobytes()], pa.binary())], names=["r", "c", "v", "there"])
+
+    def total(group: pa.Table) -> pa.Table:
+        r, c = group.column("r")[0].as_py(), group.column("c")[0].as_py()
+        out, there = np.zeros((size, size)), np.zeros((size, size), bool)
+        for v, t in zip(group.column("v").to_pylist(), group.column("there").to_pylist(), strict=True):
+            out += np.frombuffer(v).reshape(size, size)
+            there |= np.unpackbits(np.frombuffer(t, np.uint8), count=size * size).reshape(size, size) > 0
+        i, j = np.nonzero(there)
+        return pa.table([pa.array(i + r * size), pa.array(j + c * size), pa.array(out[i, j])], names=["i", "j", "v"])
+
+    both = p.join(q, "k").select("r", "c", "ai", "aj", "av", "bi", "bj", "bv")
+    parts = both.mapInArrow(products, "r long, c long, v binary, there binary")
+    return parts.groupBy("r", "c").applyInArrow(total, "i long, j long, v double")
 
 
 def apply_to(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -100,40 +151,176 @@ def estimate(f: np.ndarray, q: np.ndarray, b: np.ndarray, kind: str = "inverse")
     return {"phat": m @ (q - b), "cov": m @ f @ m.T, "fisher": f, "window": m @ f, "mixing": m, "q": q, "bias": b}
 
 
+#: Entries that `small` brings to the driver at most (16 to 24 bytes each).
+DRIVER_ENTRIES = 1_000_000
+
+
 def small(df: DataFrame, n: int, *names: str) -> np.ndarray:
-    """An n or n x n table of parameters as an array on the driver; n is the number of parameters."""
+    """An n or n x n table of parameters, of DRIVER_ENTRIES at most, as an array on the driver, in Arrow columns."""
     *at, v = names
+    if n ** len(at) > DRIVER_ENTRIES:
+        raise ValueError(f"a table of order {n} is too large for the driver")
     out = np.zeros((n,) * len(at))
-    for r in df.select(*names).collect():
-        out[tuple(int(r[c]) for c in at)] = r[v]
+    got = df.select(*names).toArrow()
+    out[tuple(got.column(c).to_numpy().astype(np.int64) for c in at)] = got.column(v).to_numpy()
     return out
 
 
-def top_modes(s: DataFrame, n: int, k: int) -> tuple[DataFrame, DataFrame]:
+class Solver(Protocol):
+    """What finds the largest eigenvalues: (values, vectors as rows) of a symmetric operator of order n."""
+
+    def solve(self, n: int, k: int) -> tuple[np.ndarray, np.ndarray]: ...
+
+
+class DenseSolver:
+    """All eigenvalues of a matrix (i, j, v), on the driver; for orders up to the root of DRIVER_ENTRIES."""
+
+    def __init__(self, s: DataFrame):
+        self.s = s
+
+    def solve(self, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        a = small(self.s, n, "i", "j", "v")
+        w, v = np.linalg.eigh((a + a.T) / 2)
+        order = np.argsort(-w)[:k]
+        return w[order], v[:, order].T
+
+
+def matvec(s: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """x (n x columns) -> S x for a matrix (i, j, v): the matrix stays where it is, in rows of arrays; the vectors (n numbers a column) travel."""
+    rows = s.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("e")).select("i", F.col("e.j").alias("j"), F.col("e.v").alias("v")).persist()
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                j, v = (batch.column(k).values.to_numpy(zero_copy_only=False) for k in (1, 2))
+                ends = batch.column(1).offsets.to_numpy()
+                sums = np.add.reduceat(np.append(v[:, None] * x[j], np.zeros((1, x.shape[1])), axis=0), ends[:-1], axis=0)
+                yield pa.record_batch([batch.column(0), pa.array(list(sums), pa.list_(pa.float64()))], names=["i", "y"])
+
+        got = rows.mapInArrow(run, "i long, y array<double>").toArrow()
+        out = np.zeros_like(x)
+        if got.num_rows:
+            out[got.column("i").to_numpy()] = np.stack(got.column("y").to_numpy())
+        return out
+
+    return apply
+
+
+class KrylovSolver:
+    """Thick-restarted block Lanczos (Wu & Simon 2000) on an operator that is only applied to vectors.
+
+    apply: n x columns -> n x columns.  ncv: vectors kept at most, by default
+    2 k and a block, n at most; tol: of the residual against the eigenvalue;
+    restarts at most before it raises.  which: 'LA' the largest, 'SA' the
+    smallest, 'LM' the largest in size.  block: vectors applied at once, so
+    that a pass over the matrix serves several.
+    """
+
+    def __init__(self, apply: Callable[[np.ndarray], np.ndarray], tol: float = 1e-5, ncv: int | None = None, restarts: int = 1000, which: str = "LA", block: int = 4, seed: int = 1):
+        self.apply, self.tol, self.ncv, self.restarts, self.which, self.block, self.seed = apply, tol, ncv, restarts, which, block, seed
+        self.applied = 0
+
+    def _order(self, w: np.ndarray) -> np.ndarray:
+        return np.argsort({"LA": -w, "SA": w, "LM": -np.abs(w)}[self.which], kind="stable")
+
+    def solve(self, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        k, block = min(k, n), min(self.block, n)
+        most = min(n, self.ncv or 2 * k + 2 * block)
+        rng = np.random.default_rng(self.seed)
+        basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+        new = rng.standard_normal((n, block))
+        for _ in range(self.restarts):
+            while basis.shape[1] < most:
+                new = _orthogonal(basis, new, rng)[:, : most - basis.shape[1]]
+                got = self.apply(new)
+                self.applied += 1
+                basis, image = np.concatenate([basis, new], axis=1), np.concatenate([image, got], axis=1)
+                new = got
+            t = basis.T @ image
+            w, u = np.linalg.eigh((t + t.T) / 2)
+            order = self._order(w)
+            w, u = w[order], u[:, order]
+            values, vectors, images = w[:k], basis @ u[:, :k], image @ u[:, :k]
+            rest = images - vectors * values
+            error = np.linalg.norm(rest, axis=0)
+            if most == n or (error <= self.tol * np.maximum(np.abs(values), 1e-300 + self.tol * np.abs(w).max())).all():
+                return values, vectors.T
+            keep = min(most - block, k + block)
+            basis, image = basis @ u[:, :keep], image @ u[:, :keep]
+            new = rest[:, np.argsort(-error)[:block]]
+        raise ArithmeticError(f"no convergence after {self.restarts} restarts")
+
+
+def _orthogonal(basis: np.ndarray, new: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Orthonormal columns that span new without basis; a column that vanishes is drawn again."""
+    out = []
+    for col in new.T:
+        while True:
+            for _ in range(2):
+                col = col - basis @ (basis.T @ col)
+                for o in out:
+                    col = col - o * (o @ col)
+            size = np.linalg.norm(col)
+            if size > 1e-10 * max(1.0, np.abs(new).max()):
+                out.append(col / size)
+                break
+            col = rng.standard_normal(len(col))
+        if basis.shape[1] + len(out) == len(col):
+            break
+    return np.stack(out, axis=1)
+
+
+def singular_values(a: DataFrame, n: int, k: int, tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """Largest k singular values and right vectors (rows) of a matrix (i, j, v) of n columns, from A^T A applied twice."""
+    right, left = matvec(a), matvec(a.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    rows = int(a.agg(F.max("i")).first()[0]) + 1
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        wide = np.zeros((max(rows, n), x.shape[1]))
+        wide[: len(x)] = x
+        return left(right(wide))[:n]
+
+    w, v = KrylovSolver(apply, tol).solve(n, k)
+    return np.sqrt(np.maximum(w, 0)), v
+
+
+SOLVERS: dict[str, Callable[[DataFrame], Solver]] = {"dense": DenseSolver, "krylov": lambda s: KrylovSolver(matvec(s))}
+#: Order of a matrix up to which all its eigenvectors are found on the driver.
+DRIVER = 1000
+
+
+def top_modes(s: DataFrame, n: int, k: int, solver: str | Solver | None = None) -> tuple[DataFrame, DataFrame]:
     """Largest k eigenvalues (i, lambda), descending, and eigenvectors (i, a, v) of a symmetric matrix (i, j, v) of order n.
 
-    Up to DRIVER rows on the driver; beyond that by Spark's distributed SVD of
-    S + cI, with c such that no eigenvalue is negative.
+    solver: a name of SOLVERS or any Solver; by default dense up to DRIVER rows
+    and beyond that Krylov, with the matrix in the tasks and k vectors of n
+    numbers on the driver.
     """
     spark = s.sparkSession
-    if n <= DRIVER:
-        a = small(s, n, "i", "j", "v")
-        w, v = np.linalg.eigh((a + a.T) / 2)
-        order = np.argsort(-w)[:k]
-        w, v = w[order], v[:, order].T
-    else:
-        from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
-
-        shift = s.groupBy("i").agg(F.sum(F.abs("v")).alias("r")).agg(F.max("r")).first()[0]
-        diag = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(shift)).alias("v"))
-        full = s.unionByName(diag).groupBy("i", "j").agg(F.sum("v").alias("v"))
-        rows = CoordinateMatrix(full.rdd.map(lambda r: MatrixEntry(r[0], r[1], r[2])), n, n).toRowMatrix()
-        svd = rows.computeSVD(k)
-        w, v = np.array(svd.s.toArray()) - shift, svd.V.toArray().T
-    evals = spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "i long, lambda double")
-    modes = spark.createDataFrame([(i, a, float(v[i, a])) for i in range(len(w)) for a in range(n)], "i long, a long, v double")
+    found = SOLVERS[solver or ("dense" if n <= DRIVER else "krylov")](s) if solver is None or isinstance(solver, str) else solver
+    w, v = found.solve(n, min(k, n))
+    evals = spark.createDataFrame(pa.table({"i": np.arange(len(w)), "lambda": w}))
+    modes = spark.createDataFrame(pa.table({"i": np.repeat(np.arange(len(w)), n), "a": np.tile(np.arange(n), len(w)), "v": np.ascontiguousarray(v).ravel()}))
     return evals, modes
 
 
-#: Order of a matrix up to which eigenvectors are found on the driver (8 n**2 bytes).
-DRIVER = 3000
+def generated(spark: SparkSession, n: int, entry: Callable[[Column, Column], Column], m: int | None = None) -> DataFrame:
+    """(i, j, v) of an n x m matrix (m: n) whose entries are a function of their places."""
+    m = m or n
+    places = spark.range(n * m).select(F.floor(F.col("id") / m).alias("i"), (F.col("id") % m).alias("j"))
+    return places.select("i", "j", entry(F.col("i"), F.col("j")).cast("double").alias("v"))
+
+
+def random_symmetric(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """(i, j, v): a symmetric matrix of uniform numbers of (0, 1), the same under any partitioning."""
+    from ..functions.special import uniform
+
+    return generated(spark, n, lambda i, j: uniform(seed, F.least(i, j), F.greatest(i, j)))
+
+
+def submatrix(a: DataFrame, i0: int, j0: int, rows: int, cols: int) -> DataFrame:
+    """The part of an (i, j, v) matrix from (i0, j0), numbered from 0."""
+    some = a.where((F.col("i") >= i0) & (F.col("i") < i0 + rows) & (F.col("j") >= j0) & (F.col("j") < j0 + cols))
+    return some.select((F.col("i") - i0).alias("i"), (F.col("j") - j0).alias("j"), "v")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
+from ..functions.geometry import to_sphere
+from ..functions.pixels import ring_pixel
 from .grid import fft, frequency
 
 
@@ -57,7 +59,46 @@ def sample(field: DataFrame, n: int, size: float, seed: int) -> DataFrame:
     each = field.select("ix", "iy", "iz", cell.alias("cell"), number.alias("number")).where("number > 0")
     each = each.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("number"))).alias("k"))
     at = lambda c, d: ((F.col(c) + sp.uniform(seed, F.col("cell"), F.col("k"), F.lit(d))) * F.lit(h)).alias("xyz"[d])
-    return each.select((F.col("cell") * F.lit(1 << 24) + F.col("k")).alias("id"), at("ix", 0), at("iy", 1), at("iz", 2))
+    return each.select(_point_id(), at("ix", 0), at("iy", 1), at("iz", 2))
+
+
+def _point_id() -> Column:
+    """Of point k of a cell: unique up to 2**31 cells of 2**32 points each."""
+    return (F.shiftleft(F.col("cell"), 32) + F.col("k")).alias("id")
+
+
+def corners(field: DataFrame, n: int, value: str = "rho") -> DataFrame:
+    """(ix, iy, iz, v000 ... v111): the values at the eight nodes around each cell of a periodic grid; nodes without a row are 0."""
+    step = F.array(*(F.struct(F.lit(a).alias("e0"), F.lit(b).alias("e1"), F.lit(c).alias("e2")) for a in (0, 1) for b in (0, 1) for c in (0, 1)))
+    each = field.select("ix", "iy", "iz", F.col(value).alias("v"), F.inline(step))
+    cell = [F.pmod(F.col(c) - F.col(f"e{k}"), F.lit(n)).alias(c) for k, c in enumerate(("ix", "iy", "iz"))]
+    key = F.concat(*(F.col(f"e{k}").cast("string") for k in range(3))).alias("key")
+    got = each.select(*cell, key, "v").groupBy("ix", "iy", "iz")
+    return got.agg(*(F.coalesce(F.max(F.when(F.col("key") == f"{a}{b}{c}", F.col("v"))), F.lit(0.0)).alias(f"v{a}{b}{c}") for a in (0, 1) for b in (0, 1) for c in (0, 1)))
+
+
+def sample_between(field: DataFrame, n: int, size: float, seed: int, extra: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(id, x, y, z, ...): points whose density is trilinear between the nodes: a Poisson number for each cell, placed by its corners.
+
+    extra: further fields (ix, iy, iz, v), such as velocities, that each point
+    gets by the same interpolation, as columns of those names.
+    """
+    h = size / n
+    names = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    column = lambda k, p="v": F.col(p + "".join(map(str, k)))
+    cell = ((F.col("ix") * n + F.col("iy")) * n + F.col("iz")).alias("cell")
+    each = corners(field, n).select("*", cell)
+    for name, other in (extra or {}).items():
+        of = corners(other, n, "v")
+        each = each.join(of.select("ix", "iy", "iz", *(F.col(c).alias(f"{name}_{c[1:]}") for c in of.columns[3:])), ["ix", "iy", "iz"])
+    mean = sum((column(k) for k in names[1:]), column(names[0])) / 8
+    number = sp.poisson(sp.uniform(seed, F.col("cell")), mean * F.lit(h**3))
+    each = each.withColumn("number", number).where("number > 0").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("number"))))
+    t = sp.trilinear_draw({k: column(k) for k in names}, tuple(sp.uniform(seed, F.col("cell"), F.col("k"), F.lit(d)) for d in range(3)))
+    each = each.withColumn("t", t)
+    u = tuple(F.col(f"t.t{d}") for d in (1, 2, 3))
+    more = [sp.trilinear({k: column(k, f"{name}_") for k in names}, u).alias(name) for name in extra or {}]
+    return each.select(_point_id(), *(((F.col(c) + x) * F.lit(h)).alias("xyz"[d]) for d, (c, x) in enumerate(zip(("ix", "iy", "iz"), u, strict=True))), *more)
 
 
 def uniform_catalogue(spark: SparkSession, n: int, size: float, seed: int) -> DataFrame:
@@ -87,6 +128,39 @@ def feasible_scale(spark: SparkSession, radial: DataFrame, wanted: float, mean:
     return q, q * top <= mean
 
 
+def support(spark: SparkSession, radial: DataFrame, step: float = 10.0, most: float = 100_000.0) -> tuple[float, float]:
+    """(first, last) of the connected support of a spline, on a grid: the node before it is positive, and the one where it is no more."""
+    grid = spark.range(int(most / step) + 1).select((F.col("id") * F.lit(step)).alias("r"))
+    on = sp.lookup(grid, "r", radial, "y").where("y > 0")
+    first = on.agg(F.min("r")).first()[0]
+    if first is None:
+        raise ValueError("the radial density is zero everywhere")
+    off = sp.lookup(grid, "r", radial, "y").where((F.col("y") <= 0) & (F.col("r") > first)).agg(F.min("r")).first()[0]
+    return max(first - step, 0.0), off if off is not None else most
+
+
+def realistic(points: DataFrame, size: float, radial: DataFrame, mask: DataFrame, nside: int, wanted: float, seed: int, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), r_range: tuple[float, float] | None = None, steps: int = 8192) -> DataFrame:
+    """(id, r, mu, phi) of a mock survey: points (id, x, y, z) of a uniform box, thinned to a radial profile (a spline's shape) and a sky mask (ipix, value; ring order).
+
+    The profile is scaled so that about `wanted` points remain; more than the
+    box has anywhere is an error.
+    """
+    spark = points.sparkSession
+    r0, r1 = r_range or support(spark, radial)
+    grid = spark.range(steps + 1).select((F.lit(r0) + F.col("id") * F.lit((r1 - r0) / steps)).alias("r"))
+    density = points.count() / size**3
+    area = sky_area(mask).first()[0]
+    q, fits = feasible_scale(spark, sp.lookup(grid, "r", radial, "nbar"), wanted, density, area)
+    if not fits:
+        raise ValueError(f"the box has too few points for {wanted} with this profile")
+    moved = points.select("id", *((F.col(c) - F.lit(o)).alias(c) for c, o in zip(("x", "y", "z"), origin, strict=True)))
+    r, mu, phi = to_sphere("x", "y", "z")
+    sky = moved.select("id", r.alias("r"), mu.alias("mu"), phi.alias("phi")).where(F.col("r").between(r0, r1))
+    placed = sp.lookup(sky, "r", radial, "nbar").withColumn("ipix", ring_pixel(nside, "mu", "phi")).join(mask, "ipix", "left")
+    kept = thin(placed, sp.uniform(seed, F.col("id"), F.lit(0)), sp.uniform(seed, F.col("id"), F.lit(1)), F.col("nbar"), F.coalesce("value", F.lit(0.0)), F.lit(q / density))
+    return kept.select("id", "r", "mu", "phi")
+
+
 def radial_density(points: DataFrame, r0: float, r1: float, bins: int, area: float, weight: str = "w") -> DataFrame:
     """(bin, nbar): weighted count of each radial bin over its volume."""
     from ..functions.geometry import axis_index

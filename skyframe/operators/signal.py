@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import inspect
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import sky_rmu
 
 def nodes(n: int) -> tuple[list[float], list[float]]:
     """Gauss-Legendre nodes and weights on [0, 1]."""
@@ -40,50 +43,116 @@ def cell_integral(cells: DataFrame, density: Callable[..., Column], n: int = 4,
     return cells.join(sums, "g")
 
 
-def signal_matrix(cells: DataFrame, xi: Callable[[Column], Column], n: int = 3, dedup: bool = True, rows: Column | None = None, cols: Column | None = None) -> DataFrame:
-    """(i, j, v): sqrt(N_i N_j) times the mean of xi(separation) over pairs of points of two equal box cells.
+#: xi(r), or xi(r, mu) with mu the cosine of the separation and the line of sight.
+Xi = Callable[..., Column]
 
-    The mean depends on the absolute offsets of the bins only.  With dedup it
-    is integrated once for each offset that occurs and joined back.  rows and
-    cols select a block.  The block itself has Ncells**2 rows: it is the result.
-    """
+
+def of_separation(xi: Callable, r, mu):
+    """xi at a separation, whether it takes mu or not."""
+    some = [p for p in inspect.signature(xi).parameters.values() if p.default is p.empty and p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD)]
+    return xi(r, mu) if len(some) > 1 else xi(r)
+
+
+def _bins(cells: DataFrame, *axes: int) -> DataFrame:
+    """A row for each combination of absolute differences of the bins along the axes (o1, ...), and the side of a cell along each (h1, ...)."""
+    ends = cells.agg(*(f(F.col(f"d{k}")).alias(f"{n}{k}") for k in axes for f, n in ((F.min, "a"), (F.max, "b"))), *(F.max(F.col(f"max{k}") - F.col(f"min{k}")).alias(f"h{k}") for k in axes))
+    for k in axes:
+        ends = ends.where(F.col(f"a{k}").isNotNull()).withColumn(f"o{k}", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"b{k}") - F.col(f"a{k}"))))
+    return ends.select(*(f"o{k}" for k in axes), *(f"h{k}" for k in axes))
+
+
+def _pairs(cells: DataFrame, keep: list[str], rows: Column | None, cols: Column | None, stride: int) -> DataFrame:
+    """Pairs of cells: Ncells**2 rows, as many as the matrix has."""
     pick = lambda df, c: df if c is None else df.where(c)
-    keep = ["a", "d1", "d2", "d3", "nbar"]
-    p = pick(cells, rows).select(*(F.col(c).alias(f"{c}_i") for c in keep))
-    q = pick(cells, cols).select(*(F.col(c).alias(f"{c}_j") for c in keep))
-    offs = [F.abs(F.col(f"d{k}_i") - F.col(f"d{k}_j")).alias(f"o{k}") for k in (1, 2, 3)]
-    both = p.crossJoin(q).select("a_i", "a_j", (F.sqrt(F.col("nbar_i") * F.col("nbar_j"))).alias("scale"), *offs)
-    # the side of a cell, one number an axis
-    sides = cells.agg(*(F.max(F.col(f"max{k}") - F.col(f"min{k}")).alias(f"h{k}") for k in (1, 2, 3)))
-    each = both.select("o1", "o2", "o3").distinct() if dedup else both
-    each = with_nodes(with_nodes(each.crossJoin(F.broadcast(sides)), n, prefix="t"), n, prefix="u")
-    d = [(F.col(f"o{k}") + F.col(f"u{k}") - F.col(f"t{k}")) * F.col(f"h{k}") for k in (1, 2, 3)]
-    value = F.sum(F.col("t_weight") * F.col("u_weight") * xi(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))).alias("mean")
-    if dedup:
-        mean = each.groupBy("o1", "o2", "o3").agg(value)
-        out = both.join(mean, ["o1", "o2", "o3"])
+    p, q = (pick(cells, c).where(F.col("a") % stride == 0) if stride > 1 else pick(cells, c) for c in (rows, cols))
+    p, q = (df.select(*(F.col(c).alias(f"{c}_{s}") for c in keep)) for df, s in ((p, "i"), (q, "j")))
+    return p.crossJoin(q)
+
+
+def signal_matrices(cells: DataFrame, functions: list[Xi], n: int = 3, rows: Column | None = None, cols: Column | None = None, spherical: bool = False, stride: int = 1) -> DataFrame:
+    """(m, i, j, v): for each function, sqrt(N_i N_j) times its mean over the pairs of points of two cells, by n nodes an axis.
+
+    Of equal box cells the mean depends on the absolute offsets of the bins
+    only, of spherical ones on both (r, mu) bins and the offset in phi; it is
+    integrated once for each such class, for all functions in one pass, and
+    joined to the pairs.  mu is along the third axis of a box, and the pair's
+    own line of sight on the sphere.  rows and cols select a block, stride
+    every so manieth cell.
+    """
+    weight = F.col("t_weight") * F.col("u_weight")
+    if not spherical:
+        key = ["o1", "o2", "o3"]
+        each = with_nodes(with_nodes(_bins(cells, 1, 2, 3), n, prefix="t"), n, prefix="u")
+        d = [(F.col(f"o{k}") + F.col(f"u{k}") - F.col(f"t{k}")) * F.col(f"h{k}") for k in (1, 2, 3)]
+        each = each.select(*key, weight.alias("w"), F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("s"), d[2].alias("along"))
+        each = each.withColumn("mu", F.coalesce(F.try_divide("along", "s"), F.lit(0.0)))
+        both = _pairs(cells, ["a", "d1", "d2", "d3", "nbar"], rows, cols, stride).withColumns({f"o{k}": F.abs(F.col(f"d{k}_i") - F.col(f"d{k}_j")) for k in (1, 2, 3)})
     else:
-        out = each.groupBy("a_i", "a_j", "scale").agg(value)
-    return out.select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), (F.col("scale") * F.col("mean")).alias("v"))
-
-
-def spherical_signal(cells: DataFrame, xi: Callable[[Column], Column], n: int = 3) -> DataFrame:
-    """As signal_matrix for spherical cells: the mean depends on both (r, mu) bins and the absolute difference of the phi bins."""
-    keep = ["a", "d1", "d2", "d3", "nbar", "min1", "max1", "min2", "max2", "min3", "max3"]
-    p, q = (cells.select(*(F.col(c).alias(f"{c}_{s}") for c in keep)) for s in "ij")
-    key = ["d1_i", "d2_i", "d1_j", "d2_j", "o3"]
-    both = p.crossJoin(q).withColumn("o3", F.abs(F.col("d3_i") - F.col("d3_j")))
-    each = both.groupBy(*key).agg(*(F.first(f"{m}{k}_{s}").alias(f"{m}{k}_{s}") for m in ("min", "max") for k in (1, 2) for s in "ij"), F.first(F.col("max3_i") - F.col("min3_i")).alias("h3"))
-    each = with_nodes(with_nodes(each, n, prefix="t"), n, prefix="u")
-    cube = lambda c: F.col(c) * F.col(c) * F.col(c)
-    r = lambda s, t: F.cbrt(cube(f"min1_{s}") + F.col(f"{t}1") * (cube(f"max1_{s}") - cube(f"min1_{s}")))
-    mu = lambda s, t: F.col(f"min2_{s}") + F.col(f"{t}2") * (F.col(f"max2_{s}") - F.col(f"min2_{s}"))
-    r1, r2, m1, m2 = r("i", "t"), r("j", "u"), mu("i", "t"), mu("j", "u")
-    cos = m1 * m2 + F.sqrt(F.greatest((1 - m1 * m1) * (1 - m2 * m2), F.lit(0.0))) * F.cos((F.col("o3") + F.col("u3") - F.col("t3")) * F.col("h3"))
-    s = F.sqrt(F.greatest(r1 * r1 + r2 * r2 - 2 * r1 * r2 * cos, F.lit(0.0)))
-    mean = each.groupBy(*key).agg(F.sum(F.col("t_weight") * F.col("u_weight") * xi(s)).alias("mean"))
-    out = both.join(mean, key)
-    return out.select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), (F.sqrt(F.col("nbar_i") * F.col("nbar_j")) * F.col("mean")).alias("v"))
+        key = ["d1_i", "d2_i", "d1_j", "d2_j", "o3"]
+        bounds = [f"{m}{k}" for k in (1, 2) for m in ("min", "max")]
+        ring = cells.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in bounds))
+        p, q = (ring.select(*(F.col(c).alias(f"{c}_{s}") for c in ("d1", "d2", *bounds))) for s in "ij")
+        each = with_nodes(with_nodes(p.crossJoin(q).crossJoin(_bins(cells, 3)), n, prefix="t"), n, prefix="u")
+        cube = lambda c: F.col(c) * F.col(c) * F.col(c)
+        r = lambda s, t: F.cbrt(cube(f"min1_{s}") + F.col(f"{t}1") * (cube(f"max1_{s}") - cube(f"min1_{s}")))
+        at = lambda s, t: F.col(f"min2_{s}") + F.col(f"{t}2") * (F.col(f"max2_{s}") - F.col(f"min2_{s}"))
+        turn = (F.col("o3") + F.col("u3") - F.col("t3")) * F.col("h3")
+        each = each.select(*key, weight.alias("w"), r("i", "t").alias("r1"), r("j", "u").alias("r2"), at("i", "t").alias("m1"), at("j", "u").alias("m2"), turn.alias("turn"))
+        s, mu = sky_rmu(("r1", "m1", F.lit(0.0)), ("r2", "m2", "turn"))
+        each = each.select(*key, "w", s.alias("s"), F.coalesce(mu, F.lit(0.0)).alias("mu"))
+        both = _pairs(cells, ["a", "d1", "d2", "d3", "nbar"], rows, cols, stride).withColumn("o3", F.abs(F.col("d3_i") - F.col("d3_j")))
+    means = each.groupBy(*key).agg(F.array(*(F.sum(F.col("w") * of_separation(f, F.col("s"), F.col("mu"))) for f in functions)).alias("means"))
+    out = both.join(means, key).select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), F.sqrt(F.col("nbar_i") * F.col("nbar_j")).alias("scale"), F.posexplode("means").alias("m", "mean"))
+    return out.select(F.col("m").cast("long").alias("m"), "i", "j", (F.col("scale") * F.col("mean")).alias("v"))
+
+
+def signal_matrix(cells: DataFrame, xi: Xi, n: int = 3, dedup: bool = True, rows: Column | None = None, cols: Column | None = None, stride: int = 1) -> DataFrame:
+    """(i, j, v) of one function of box cells, as in signal_matrices; without dedup, each pair is integrated for itself."""
+    if dedup:
+        return signal_matrices(cells, [xi], n, rows, cols, False, stride).drop("m")
+    both = _pairs(cells, ["a", "nbar", *(f"{m}{k}" for k in (1, 2, 3) for m in ("min", "max"))], rows, cols, stride)
+    each = with_nodes(with_nodes(both, n, prefix="t"), n, prefix="u")
+    at = lambda k, s, t: F.col(f"min{k}_{s}") + F.col(f"{t}{k}") * (F.col(f"max{k}_{s}") - F.col(f"min{k}_{s}"))
+    d = [at(k, "j", "u") - at(k, "i", "t") for k in (1, 2, 3)]
+    s = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    each = each.select("a_i", "a_j", F.sqrt(F.col("nbar_i") * F.col("nbar_j")).alias("scale"), (F.col("t_weight") * F.col("u_weight")).alias("w"), s.alias("s"), F.coalesce(F.try_divide(d[2], s), F.lit(0.0)).alias("mu"))
+    mean = F.sum(F.col("w") * of_separation(xi, F.col("s"), F.col("mu")))
+    return each.groupBy("a_i", "a_j", "scale").agg(mean.alias("mean")).select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), (F.col("scale") * F.col("mean")).alias("v"))
+
+
+def spherical_signal(cells: DataFrame, xi: Xi, n: int = 3) -> DataFrame:
+    """(i, j, v) of one function of spherical cells, as in signal_matrices."""
+    return signal_matrices(cells, [xi], n, spherical=True).drop("m")
+
+
+def adaptive_signal(cells: DataFrame, xi: Callable[..., np.ndarray], epsrel: float = 1e-5, epsabs: float = 1e-10, most: int = 2_000_000) -> DataFrame:
+    """(i, j, v, error) of box cells by adaptive quadrature; xi takes arrays r, or r and mu.
+
+    The mean over the pairs of points of two equal boxes is, exactly, that over
+    their difference with weights that fall linearly from its middle: three
+    dimensions in place of six, cut where the weights bend.  Each class of
+    offsets is integrated once, class by class in the tasks.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            got = []
+            for row in pdf.itertuples():
+                o, h = np.array([row.o1, row.o2, row.o3]), np.array([row.h1, row.h2, row.h3])
+
+                def f(p: np.ndarray, o: np.ndarray, h: np.ndarray, signs: np.ndarray) -> np.ndarray:
+                    d = (o + signs * p) * h
+                    r = np.sqrt((d * d).sum(axis=1))
+                    mu = np.divide(d[:, 2], r, out=np.zeros_like(r), where=r > 0)
+                    return of_separation(xi, r, mu) * (1 - p).prod(axis=1)
+
+                parts = [adaptive(lambda p, g=np.array(g): f(p, o, h, g), [0.0] * 3, [1.0] * 3, epsabs / 8, epsrel, most) for g in itertools.product((-1, 1), repeat=3)]  # noqa: B023
+                got.append((row.o1, row.o2, row.o3, sum(p[0] for p in parts), sum(p[1] for p in parts)))
+            yield pd.DataFrame(got, columns=["o1", "o2", "o3", "mean", "error"])
+
+    means = _bins(cells, 1, 2, 3).repartition("o1", "o2", "o3").mapInPandas(run, "o1 long, o2 long, o3 long, mean double, error double")
+    both = _pairs(cells, ["a", "d1", "d2", "d3", "nbar"], None, None, 1).withColumns({f"o{k}": F.abs(F.col(f"d{k}_i") - F.col(f"d{k}_j")) for k in (1, 2, 3)})
+    scale = F.sqrt(F.col("nbar_i") * F.col("nbar_j"))
+    return both.join(means, ["o1", "o2", "o3"]).select(F.col("a_i").alias("i"), F.col("a_j").alias("j"), (scale * F.col("mean")).alias("v"), (scale * F.col("error")).alias("error"))
 
 
 def adaptive(f: Callable[[np.ndarray], np.ndarray], lo: list[float], hi: list[float], epsabs: float = 0.0, epsrel: float = 1e-5, most: int = 2_000_000) -> tuple[float, float]:
