@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import Num, col, let
+from .geometry import Num, col, inverse_hammer, let
 
 HALF_PI = math.pi / 2
 
@@ -154,3 +154,34 @@ def from_vector(x: Num, y: Num, z: Num) -> tuple[Column, Column]:
     """(mu, phi) with phi in [0, 2 pi)."""
     r = F.sqrt(col(x) * col(x) + col(y) * col(y) + col(z) * col(z))
     return F.try_divide(col(z), r), F.pmod(F.atan2(col(y), col(x)), F.lit(2 * math.pi))
+
+
+def map_average(points: DataFrame, nside: int, value: str, mu: str = "mu", phi: str = "phi", nested: bool = False) -> DataFrame:
+    """(ipix, value): the mean of the points in each pixel that has any."""
+    at = (nest_pixel if nested else ring_pixel)(nside, mu, phi)
+    return points.select(at.alias("ipix"), F.col(value).cast("double").alias("value")).groupBy("ipix").agg(F.avg("value").alias("value"))
+
+
+def image_to_map(image: DataFrame, width: int, height: int, nside: int, samples: int = 4, nested: bool = False) -> DataFrame:
+    """(ipix, value) of an image (column, row, value) of the whole sky in a Hammer projection, by samples x samples points of each of its pixels."""
+    steps = F.sequence(F.lit(0), F.lit(samples - 1))
+    each = image.select("column", "row", "value", F.explode(steps).alias("a")).select("*", F.explode(steps).alias("b"))
+    root = math.sqrt(2.0)
+    x = ((F.col("column") + (F.col("a") + 0.5) / samples) / F.lit(float(width)) * 2 - 1) * F.lit(2 * root)
+    y = (1 - (F.col("row") + (F.col("b") + 0.5) / samples) / F.lit(float(height)) * 2) * F.lit(root)
+    lon, lat = inverse_hammer(x, y)
+    return map_average(each.select(F.sin(lat).alias("mu"), lon.alias("phi"), "value").where("mu is not null"), nside, "value", nested=nested)
+
+
+def map_to_image(spark, sky: DataFrame, width: int, height: int, nside: int, samples: int = 4, nested: bool = False) -> DataFrame:
+    """(column, row, value) of the Hammer projection of a map (ipix, value): the mean of samples x samples points of each pixel; null off the sky."""
+    n = width * height * samples * samples
+    place = F.col("id")
+    parts = [(place % samples).alias("b"), (F.floor(place / samples) % samples).alias("a"), (F.floor(place / samples**2) % width).alias("column"), F.floor(place / (samples**2 * width)).alias("row")]
+    root = math.sqrt(2.0)
+    x = ((F.col("column") + (F.col("a") + 0.5) / samples) / F.lit(float(width)) * 2 - 1) * F.lit(2 * root)
+    y = (1 - (F.col("row") + (F.col("b") + 0.5) / samples) / F.lit(float(height)) * 2) * F.lit(root)
+    lon, lat = inverse_hammer(x, y)
+    each = spark.range(n).select(*parts).select("column", "row", F.sin(lat).alias("mu"), lon.alias("phi"))
+    each = each.withColumn("ipix", F.when(F.col("mu").isNotNull(), (nest_pixel if nested else ring_pixel)(nside, "mu", "phi")))
+    return each.join(sky, "ipix", "left").groupBy("column", "row").agg(F.avg("value").alias("value"))

@@ -133,6 +133,12 @@ def spline_frame(spark: SparkSession, table: list[tuple[float, ...]]) -> DataFra
     return spark.createDataFrame(table, "lo double, hi double, c0 double, c1 double, c2 double, c3 double")
 
 
+def band_mean(f: Callable[[Column], Column], lo: Num, hi: Num, points: int = 256) -> Column:
+    """Mean of f at the midpoints of equal parts of [lo, hi)."""
+    lo, step = col(lo), (col(hi) - col(lo)) / F.lit(float(points))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(points - 1)), F.lit(0.0), lambda s, i: s + f(lo + (i + 0.5) * step)) / F.lit(float(points))
+
+
 #: Intervals of a spline that are broadcast at most (48 bytes each).
 BROADCAST_INTERVALS = 1_000_000
 
@@ -237,7 +243,8 @@ def poisson(u: Column, mean: Column) -> Column:
         zero = F.struct(first["p"].alias("p"), first["p"].alias("sum"), first["k"].alias("k"))
         step = lambda s, i: F.when(s["sum"] >= u, s).otherwise(F.struct((s["p"] * m / i).alias("p"), (s["sum"] + s["p"] * m / i).alias("sum"), i.alias("k")))
         last = F.ceil(m + 12 * F.sqrt(m) + 12)
-        return F.aggregate(F.sequence(first["k"] + 1, last), zero, step, lambda s: s["k"]).cast("long")
+        k = F.aggregate(F.sequence(first["k"] + 1, last), zero, step, lambda s: s["k"]).cast("long")
+        return F.when(u <= 0, F.lit(0).cast("long")).otherwise(k)
 
     return let(lambda u, m: let(walk, u=u, m=m, first=start(m)), u=u, m=mean)
 

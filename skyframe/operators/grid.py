@@ -39,20 +39,24 @@ class Grid:
         return df.withColumn("veff", g.sphere_volume(*sides) if self.spherical else g.box_volume(*sides))
 
 
-def number_cells(cells: DataFrame) -> DataFrame:
-    """Drop empty cells and number the rest 0, 1, ... in grid order.
+def numbered(df: DataFrame, slab: str, order: list[str], name: str) -> DataFrame:
+    """df with a number 0, 1, ... in the order of slab, then of order.
 
-    Two passes in place of one sort in one task: cells per slab are counted,
-    and a slab's cells are numbered from the sum of the slabs before (a table
-    with a row for each bin of one axis).
+    Two passes in place of one sort in one task: rows per slab are counted, and
+    a slab's rows are numbered from the sum of the slabs before (one row, with
+    an entry for each slab).
     """
     from pyspark.sql import Window
 
-    full = cells.where("nbar > 0")
-    slabs = full.groupBy("d1").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("d1", "n"))).alias("slabs"))
-    before = F.aggregate(F.filter("slabs", lambda s: s["d1"] < F.col("d1")), F.lit(0).cast("long"), lambda t, s: t + s["n"])
-    placed = full.withColumn("_at", F.row_number().over(Window.partitionBy("d1").orderBy("g")) - 1)
-    return placed.crossJoin(F.broadcast(slabs)).withColumn("a", (F.col("_at") + before).cast("long")).drop("_at", "slabs")  # slabs is one row
+    slabs = df.groupBy(slab).agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col(slab).alias("s"), "n"))).alias("_slabs"))
+    before = F.aggregate(F.filter("_slabs", lambda s: s["s"] < F.col(slab)), F.lit(0).cast("long"), lambda t, s: t + s["n"])
+    placed = df.withColumn("_at", F.row_number().over(Window.partitionBy(slab).orderBy(*order)) - 1)
+    return placed.crossJoin(F.broadcast(slabs)).withColumn(name, (F.col("_at") + before).cast("long")).drop("_at", "_slabs")
+
+
+def number_cells(cells: DataFrame) -> DataFrame:
+    """Drop empty cells and number the rest 0, 1, ... in grid order."""
+    return numbered(cells.where("nbar > 0"), "d1", ["g"], "a")
 
 
 def cell_counts(points: DataFrame, cells: DataFrame, grid: Grid, xyz: tuple[str, str, str] = ("x", "y", "z"), weight: str = "w") -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import sky_rmu
@@ -221,3 +221,14 @@ def transform(pk: DataFrame, r: DataFrame, order: int, power: int, damp: float)
     simpson = F.when((F.col("i") == 0) | (F.col("i") == F.col("n")), 1.0).when(F.col("i") % 2 == 1, 4.0).otherwise(2.0)
     side = pk.crossJoin(F.broadcast(ends)).select("k", (simpson * (F.col("k1") - F.col("k0")) / F.col("n") / 3.0 * term * F.col("p") * F.exp(-(k / F.lit(float(damp))) * (k / F.lit(float(damp))))).alias("c"))
     return r.crossJoin(side).groupBy("r").agg((F.sum(F.col("c") * bessel(order, k * F.col("r"))) / F.lit(2 * np.pi**2)).alias("xi"))
+
+
+def shell_coefficients(spark: SparkSession, xi: Callable[[Column], Column], radius: float, orders: int, points: int = 200) -> DataFrame:
+    """(n, a): Legendre coefficients of xi between two points of a thin shell, over the cosine of their angle, at midpoints."""
+    from ..functions.special import legendre_any
+
+    x = F.lit(-1.0) + (F.col("i") + 0.5) * F.lit(2.0 / points)
+    each = spark.range(orders).select(F.col("id").cast("int").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).select("n", x.alias("x"))
+    r = F.lit(float(radius)) * F.sqrt(F.greatest(2 - 2 * F.col("x"), F.lit(0.0)))
+    sums = each.groupBy("n").agg(F.sum(xi(r) * legendre_any(F.col("n"), F.col("x")) * F.lit(2.0 / points)).alias("a"))
+    return sums.select(F.col("n").cast("long").alias("n"), (F.col("a") * (2 * F.col("n") + 1) / 2).alias("a"))

@@ -15,6 +15,7 @@ from ..operators import grid as gr
 from ..operators import matrices as mx
 from ..operators import mock, pairs
 from ..operators import signal as sg
+from .survey import Selection
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,11 +171,11 @@ def pixel_overdensity(spark, d):
     return gr.overdensity(counts(spark, d), cells(spark)).select("a", rnd(F.col("x"), 3).alias("x"))
 
 
-MODES = "(SELECT vec_id AS i, k - 1 AS a, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(k) WHERE vec_id < 20)"
+MODES = "(SELECT vec_id AS i, k - 1 AS a, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(k))"
 
 
 def modes(spark, d) -> DataFrame:
-    return table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("a", "v")).select("i", F.col("a").cast("long").alias("a"), F.col("v").cast("double").alias("v"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("a", "v")).select("i", F.col("a").cast("long").alias("a"), F.col("v").cast("double").alias("v"))
 
 
 @query(f"SELECT i, {q('sum(v * x)', 2)} AS y FROM {MODES} JOIN {PIXELS} USING (a) GROUP BY i")
@@ -258,19 +259,16 @@ def rsd(spark, d):
     return points(spark, d).select("id", rnd(g.redshift_distant("x", "z", 0.5)).alias("s"), rnd(moved[0]).alias("radial"))
 
 
-@query(f"SELECT z, {q('2997.92458 * 0.001 * sum((e0 + e) / 2) OVER (ORDER BY z)', 4)} AS r FROM (SELECT i, 0.001 * i AS z, CASE WHEN i = 0 THEN 0 ELSE 1 / sqrt(0.272 * pow(1 + 0.001 * i, 3) + 0.728) END AS e, CASE WHEN i = 0 THEN 0 ELSE 1 / sqrt(0.272 * pow(1 + 0.001 * (i - 1), 3) + 0.728) END AS e0 FROM (SELECT CAST(i AS DOUBLE) AS i FROM range(301) t(i)))")
-def cz_to_distance(spark, d):
-    return distance_table(spark, 300).select("z", rnd(F.col("r"), 4).alias("r"))
+_E = "(1 / sqrt(0.272 * pow(1 + {0}, 3) + 0.728))"
+_CZ = f"(SELECT z, n, (SELECT coalesce(sum(0.001 * ({_E.format('0.001 * k')} + {_E.format('0.001 * (k + 1)')}) / 2), 0) FROM range(400) t(k) WHERE k < n) + (z - 0.001 * n) / 2 * ({_E.format('0.001 * n')} + {_E.format('z')}) AS r FROM (SELECT z, CAST(floor(z / 0.001::DOUBLE) AS BIGINT) AS n FROM (SELECT DISTINCT l_quantity * 0.0073 AS z FROM lineitem)))"
 
 
-def distance_table(spark: SparkSession, steps: int, step: float = 0.001) -> DataFrame:
-    """(z, r): comoving distance by trapezoids, a running sum over one short table."""
-    from pyspark.sql import Window
+@query(f"SELECT {q('z')} AS z, {q('2997.92458 * r', 3)} AS r FROM {_CZ}")
+def cz_to_distance(spark, d):
+    from ..sources.loaders import comoving_distance
 
-    z = F.col("id") * F.lit(step)
-    part = F.when(F.col("id") == 0, 0.0).otherwise((1 / g.hubble(z) + 1 / g.hubble((F.col("id") - 1) * F.lit(step))) / 2)
-    total = F.sum(part).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return spark.range(steps + 1).select(z.alias("z"), (F.lit(2997.92458 * step) * total).alias("r"))
+    z = table(spark, d, "lineitem").select((F.col("l_quantity") * 0.0073).alias("z")).distinct()
+    return z.withColumn("cz", F.col("z") * F.lit(299792.458)).select(rnd(F.col("z")).alias("z"), rnd(comoving_distance("cz"), 3).alias("r"))
 
 
 # --- pixels and selection ----------------------------------------------------
@@ -287,11 +285,35 @@ def healpix_ring(spark, d):
     return sky(spark, d).select("id", px.ring_pixel(8, "mu", "phi").alias("ring"))
 
 
-@query("SELECT p AS ipix, p AS nest, p AS ring FROM range(768) t(p)")
+# By the projected plane: its coordinates, the face and the place on it, then the bits of both interleaved (nside = 8).
+_PLANE = f"(SELECT id, t, least(floor(t), 3) AS c, mu, sqrt(greatest(3 * (1 - abs(mu)), 0)) AS s FROM (SELECT id, mu, {_T} AS t FROM {SKY}))"
+_FACE = f"(SELECT id, CASE WHEN abs(mu) > 2.0::DOUBLE / 3 THEN c + CAST(mu > 0 AS INT) ELSE floor(t + 0.75 * mu + 0.5) END AS bs, CASE WHEN abs(mu) > 2.0::DOUBLE / 3 THEN c + CAST(mu < 0 AS INT) ELSE floor(t - 0.75 * mu + 0.5) END AS bt, CASE WHEN abs(mu) > 2.0::DOUBLE / 3 THEN c + 0.5 + (t - c - 0.5) * s ELSE t END AS u, CASE WHEN abs(mu) > 2.0::DOUBLE / 3 THEN sign(mu) * (1 - s / 2) ELSE 0.75 * mu END AS v FROM {_PLANE})"
+_XY = f"(SELECT id, CAST(bs AS BIGINT) AS bs, CAST(bt AS BIGINT) AS bt, CAST(floor((u + v + 0.5 - bs) * 8) AS BIGINT) AS x, 7 - CAST(floor((u - v + 0.5 - bt) * 8) AS BIGINT) AS y FROM {_FACE})"
+_WEAVE = " + ".join(f"(x >> {b} & 1) * {4**b} + (y >> {b} & 1) * {2 * 4**b}" for b in range(3))
+_NEST = f"(SELECT id, CASE WHEN bs > bt THEN bt % 4 WHEN bs < bt THEN 8 + bs % 4 ELSE 4 + bs % 4 END * 64 + {_WEAVE} AS nest, 8 * (3 - (bs - bt)) - x - y - 1 AS ring FROM {_XY})"
+
+
+@query(f"SELECT id, CAST(nest AS BIGINT) AS nest FROM {_NEST}")
 def healpix_nest(spark, d):
-    """Every pixel's centre lies in that pixel, in both orders."""
-    centre = [c.alias(n) for c, n in zip((*px.nest_centre(8, F.col("id")), *px.ring_centre(8, F.col("id"))), ("m", "p", "mu", "phi"), strict=True)]
-    return spark.range(768).select(F.col("id").alias("ipix"), *centre).select("ipix", px.nest_pixel(8, "m", "p").alias("nest"), px.ring_pixel(8, "mu", "phi").alias("ring"))
+    return sky(spark, d).select("id", px.nest_pixel(8, "mu", "phi").alias("nest"))
+
+
+@query(f"SELECT id, {q('CASE WHEN ring < 8 THEN 1 - ring * ring / 192.0 WHEN ring > 24 THEN (32 - ring) * (32 - ring) / 192.0 - 1 ELSE (16 - ring) / 12.0 END')} AS mu FROM {_NEST}")
+def healpix_centre(spark, d):
+    """The latitude of the centre of each point's pixel: a nested number has to lie in its own ring."""
+    p = sky(spark, d).select("id", px.nest_pixel(8, "mu", "phi").alias("p"))
+    return p.select("id", rnd(px.nest_centre(8, F.col("p"))[0]).alias("mu"))
+
+
+_RINGS = "(SELECT p, CASE WHEN p < 112 THEN CAST(floor((1 + sqrt(1 + 2 * p)) / 2) AS BIGINT) WHEN p >= 656 THEN 32 - CAST(floor((1 + sqrt(1 + 2 * (767 - p))) / 2) AS BIGINT) ELSE (p - 112) // 32 + 8 END AS i FROM range(768) t(p))"
+
+
+@query(f"SELECT p AS ipix, {q('CASE WHEN i < 8 THEN (p - 2 * i * (i - 1) + 0.5) / i WHEN i > 24 THEN (p - 768 + 2 * (32 - i) * (33 - i) + 0.5) / (32 - i) ELSE ((p - 112) % 32 + CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0 END) / 8.0 END * pi() / 2')} AS phi, p AS again FROM {_RINGS}")
+def healpix_ring_centre(spark, d):
+    """Longitudes of all centres, and the pixels that they lie in."""
+    mu, phi = px.ring_centre(8, F.col("id"))
+    rows = spark.range(768).select(F.col("id").alias("ipix"), mu.alias("mu"), phi.alias("phi"))
+    return rows.select("ipix", rnd(F.col("phi")).alias("phi"), px.ring_pixel(8, "mu", "phi").alias("again"))
 
 
 @query(f"SELECT {q('4 * pi() * avg(value)')} AS area FROM (SELECT p, CASE WHEN n > 0 THEN 1 ELSE 0 END AS value FROM range(768) t(p) LEFT JOIN (SELECT {_RPIX} AS p, count(*) AS n FROM {SKY} GROUP BY 1) USING (p))")
@@ -306,7 +328,7 @@ def mask(spark, d) -> DataFrame:
 
 @query(f"SELECT ipix, {q('avg(v)')} AS value FROM (SELECT {_RPIX} AS ipix, id % 7 AS v FROM {SKY}) GROUP BY ipix")
 def map_pixel_average(spark, d):
-    return sky(spark, d).select(px.ring_pixel(8, "mu", "phi").alias("ipix"), (F.col("id") % 7).alias("v")).groupBy("ipix").agg(rnd(F.avg("v")).alias("value"))
+    return px.map_average(sky(spark, d).withColumn("v", F.col("id") % 7), 8, "v").select("ipix", rnd(F.col("value")).alias("value"))
 
 
 @query(f"SELECT bin, {q('n / (0.5 / 3 * (pow((bin + 1) * 5.0, 3) - pow(bin * 5.0, 3)))', 3)} AS nbar FROM (SELECT {_bin('x', 0.0, 50.0, 10)} AS bin, sum(w) AS n FROM {GALAXIES} GROUP BY 1) WHERE bin >= 0")
@@ -319,8 +341,8 @@ def selection_eval(spark, d):
     """mask(pixel) times a radial spline; every point's own pixel is in the mask."""
     radial = sp.spline_frame(spark, sp.spline_table([0.0, 0.5, 1.0], [0.0, 1.0, 0.0]))
     r = F.when(F.col("id") % 100 == 99, 0.5).otherwise((F.col("id") % 100) / 100.0)
-    p = sky(spark, d).select("id", px.ring_pixel(8, "mu", "phi").alias("ipix"), r.alias("r"))
-    return sp.lookup(p, "r", radial, "n").join(mask(spark, d), "ipix", "left").select("id", rnd(F.col("n") * F.coalesce("value", F.lit(0.0))).alias("nbar"))
+    selection = Selection(radial=radial, mask=mask(spark, d), nside=8)
+    return selection.evaluate(sky(spark, d).withColumn("r", r)).select("id", rnd(F.col("nbar")).alias("nbar"))
 
 
 # --- special functions and interpolation ---------------------------------------
@@ -405,31 +427,27 @@ def xi_simpson(spark, d):
 
 @query(f"SELECT band, {q('avg(k * exp(-5 * k))', 9)} AS p FROM (SELECT b AS band, 0.01 + 0.04 * (b + (i + 0.5) / 256) AS k FROM range(10) t(b), range(256) u(i)) GROUP BY band")
 def band_power(spark, d):
-    k = 0.01 + 0.04 * (F.col("id") + (F.col("i") + 0.5) / 256)
-    each = spark.range(10).select("id", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
-    return each.groupBy(F.col("id").alias("band")).agg(rnd(F.avg(k * F.exp(-5 * k)), 9).alias("p"))
+    p = sp.band_mean(lambda k: k * F.exp(-5 * k), 0.01 + 0.04 * F.col("id"), 0.01 + 0.04 * (F.col("id") + 1))
+    return spark.range(10).select(F.col("id").alias("band"), rnd(p, 9).alias("p"))
 
 
 @query(f"SELECT n, {q('sum(exp(-0.3 * (2 - 2 * x)) * p * w) * (2 * n + 1) / 2')} AS a FROM (SELECT x, w, n, CASE n WHEN 0 THEN 1 WHEN 1 THEN x WHEN 2 THEN 1.5 * x * x - 0.5 ELSE 2.5 * pow(x, 3) - 1.5 * x END AS p FROM (SELECT -1 + (i + 0.5) / 100 AS x, 0.01 AS w FROM range(200) t(i)), range(4) u(n)) GROUP BY n")
 def shell_legendre_coeffs(spark, d):
-    x = -1 + (F.col("i") + 0.5) / 100
-    each = spark.range(4).select("id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("i")).select(F.col("id").cast("int").alias("n"), x.alias("x"))
-    out = each.groupBy("n").agg(F.sum(F.exp(-0.3 * (2 - 2 * F.col("x"))) * sp.legendre_any(F.col("n"), F.col("x")) * 0.01).alias("a"))
-    return out.select(F.col("n").cast("long").alias("n"), rnd(F.col("a") * (2 * F.col("n") + 1) / 2).alias("a"))
+    return sg.shell_coefficients(spark, lambda r: F.exp(-0.3 * r * r), 1.0, 4).select("n", rnd(F.col("a")).alias("a"))
 
 
 # --- matrices and the estimator ------------------------------------------------
 
-_B = "(SELECT vec_id AS i, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(k) WHERE vec_id < 12)"
+_B = "(SELECT vec_id AS i, k - 1 AS j, CAST(embedding[k] AS DOUBLE) AS v FROM embeddings, range(1, 65) t(k))"
 _SM = "(SELECT i, j, exp(-0.1 * abs(i - j)) AS v FROM range(64) t(i), range(64) u(j))"
 
 
 def _b(spark, d) -> DataFrame:
-    return modes(spark, d).where("i < 12").select("i", F.col("a").alias("j"), "v")
+    return modes(spark, d).select("i", F.col("a").alias("j"), "v")
 
 
 def _sm(spark) -> DataFrame:
-    return spark.range(64 * 64).select(F.floor(F.col("id") / 64).alias("i"), (F.col("id") % 64).alias("j")).withColumn("v", F.exp(-0.1 * F.abs(F.col("i") - F.col("j"))))
+    return mx.generated(spark, 64, lambda i, j: F.exp(-0.1 * F.abs(i - j)))
 
 
 @query(f"SELECT a.i, b.i AS j, {q('sum(a.v * b.v)')} AS v FROM {_B} a JOIN {_B} b ON a.j = b.j GROUP BY ALL")
@@ -437,12 +455,12 @@ def matmul(spark, d):
     return mx.multiply(_b(spark, d), _b(spark, d), right="T").select("i", "j", rnd(F.col("v")).alias("v"))
 
 
-_BSB = f"(SELECT a.i, b.i AS j, sum(a.v * s.v * b.v) AS v FROM {_B} a JOIN {_SM} s ON a.j = s.i JOIN {_B} b ON b.j = s.j WHERE a.i <= b.i GROUP BY ALL)"
+_BSB = f"(SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM (SELECT a.i, s.j, sum(a.v * s.v) AS v FROM {_B} a JOIN {_SM} s ON a.j = s.i GROUP BY ALL) a JOIN {_B} b ON b.j = a.j WHERE a.i <= b.i GROUP BY ALL)"
 
 
 @query(f"SELECT i, j, {q('v')} AS v FROM {_BSB}")
 def project_btsb(spark, d):
-    return mx.project(modes(spark, d).where("i < 12"), _sm(spark)).select("i", "j", rnd(F.col("v")).alias("v"))
+    return mx.project(modes(spark, d), _sm(spark)).select("i", "j", rnd(F.col("v")).alias("v"))
 
 
 @query("SELECT i, j, j * (j + 1) // 2 + i AS k, i AS i2, j AS j2 FROM range(40) t(i), range(40) u(j) WHERE i <= j")
@@ -463,18 +481,19 @@ def matvec(spark, d):
     return mx.apply_to(_sm(spark), x).select("i", rnd(F.col("y")).alias("y"))
 
 
-_EV = "(SELECT i, 20.0 / (i + 1) AS lam FROM range(12) t(i))"
+_EV = "(SELECT vec_id AS i, 20.0 / (vec_id + 1) AS lam FROM embeddings)"
 _D = f"(SELECT m, i, j, v * (m + 1) + CASE WHEN i = j THEN m ELSE 0 END AS v FROM {_BSB}, range(2) t(m))"
 _R = f"(SELECT i, j, sum(v) AS v FROM (SELECT i, i AS j, 1 + lam AS v FROM {_EV} UNION ALL SELECT i, j, -v * (0.5 + m) FROM {_D}) GROUP BY ALL)"
 _WD = f"(SELECT m, i, j, v, v / ((1 + 20.0 / (i + 1)) * (1 + 20.0 / (j + 1))) AS u, CASE WHEN i = j THEN 0.5 ELSE 1 END AS h FROM {_D})"
-_Y = "(SELECT i, sin(i) AS y FROM range(12) t(i))"
+_Y = "(SELECT vec_id AS i, sin(vec_id) AS y FROM embeddings)"
 
 
 def _estimator(spark, d):
-    ev = spark.range(12).select(F.col("id").alias("i"), (20.0 / (F.col("id") + 1)).alias("lambda"))
-    b = mx.project(modes(spark, d).where("i < 12"), _sm(spark))
+    ids = table(spark, d, "embeddings").select(F.col("vec_id").alias("i"))
+    ev = ids.select("i", (20.0 / (F.col("i") + 1)).alias("lambda"))
+    b = mx.project(modes(spark, d), _sm(spark))
     dv = b.crossJoin(F.broadcast(spark.range(2).withColumnRenamed("id", "m"))).select("m", "i", "j", (F.col("v") * (F.col("m") + 1) + F.when(F.col("i") == F.col("j"), F.col("m")).otherwise(0)).alias("v"))  # 2 parameters
-    y = spark.range(12).select(F.col("id").alias("i"), F.sin("id").alias("y"))
+    y = ids.select("i", F.sin("i").alias("y"))
     params = spark.range(2).select(F.col("id").alias("m"), (0.5 + F.col("id")).alias("p"))
     return ev, dv, y, params
 
@@ -490,22 +509,22 @@ _BIAS = f"(SELECT m, sum(h * u * r.v) AS b FROM {_WD} JOIN {_R} r USING (i, j) G
 _Q = f"(SELECT m, sum(h * u * sin(i) * sin(j)) AS q FROM {_WD} GROUP BY m)"
 
 
-@query(f"SELECT m, n, {q('f')} AS f FROM {_F}")
+@query(f"SELECT m, n, {q('f', 3)} AS f FROM {_F}")
 def fisher(spark, d):
     ev, dv, _, _ = _estimator(spark, d)
-    return mx.fisher(dv, ev).select("m", "n", rnd(F.col("f")).alias("f"))
+    return mx.fisher(dv, ev).select("m", "n", rnd(F.col("f"), 3).alias("f"))
 
 
-@query(f"SELECT m, {q('b')} AS b FROM {_BIAS}")
+@query(f"SELECT m, {q('b', 3)} AS b FROM {_BIAS}")
 def bias_term(spark, d):
     ev, dv, _, p = _estimator(spark, d)
-    return mx.bias(dv, ev, mx.residual(ev, dv, p)).select("m", rnd(F.col("b")).alias("b"))
+    return mx.bias(dv, ev, mx.residual(ev, dv, p)).select("m", rnd(F.col("b"), 3).alias("b"))
 
 
-@query(f"SELECT m, {q('q')} AS q FROM {_Q}")
+@query(f"SELECT m, {q('q', 4)} AS q FROM {_Q}")
 def quad_estimator(spark, d):
     ev, dv, y, _ = _estimator(spark, d)
-    return mx.quadratic(dv, ev, y).select("m", rnd(F.col("q")).alias("q"))
+    return mx.quadratic(dv, ev, y).select("m", rnd(F.col("q"), 4).alias("q"))
 
 
 def _estimate(spark, d, kind):
@@ -529,42 +548,106 @@ def mixing_inverse_2x2(spark, d):
     return spark.createDataFrame([(m, float(e["cov"][m, m]), float(e["phat"][m])) for m in range(2)], "m long, var double, phat double").select("m", rnd(F.col("var"), 4).alias("var"), rnd(F.col("phat"), 3).alias("phat"))
 
 
-def _sig_cells(spark):
-    return cells(spark).where("d1 < 3 and d2 < 2 and d3 < 2")
-
-
 _N3, _W3 = sg.nodes(2)
 _NODES = f"(VALUES ({_N3[0]!r}::DOUBLE, {_W3[0]!r}::DOUBLE), ({_N3[1]!r}::DOUBLE, {_W3[1]!r}::DOUBLE))"
-_SIG = f"(SELECT p.a AS i, r.a AS j, sqrt(p.nbar * r.nbar) * sum(t1.w * t2.w * t3.w * u1.w * u2.w * u3.w * exp(-0.05 * sqrt(pow(10 * (abs(p.d1 - r.d1) + u1.t - t1.t), 2) + pow(2.5 * (abs(p.d2 - r.d2) + u2.t - t2.t), 2) + pow(2.0 * (abs(p.d3 - r.d3) + u3.t - t3.t), 2)))) AS v FROM {CELLS_A} p, {CELLS_A} r, " + ", ".join(f"{_NODES} {n}(t, w)" for n in ("t1", "t2", "t3", "u1", "u2", "u3")) + " WHERE p.d1 < 3 AND p.d2 < 2 AND p.d3 < 2 AND r.d1 < 3 AND r.d2 < 2 AND r.d3 < 2 GROUP BY p.a, r.a, p.nbar, r.nbar)"
+_SIG = f"(SELECT p.a AS i, r.a AS j, sqrt(p.nbar * r.nbar) * sum(t1.w * t2.w * t3.w * u1.w * u2.w * u3.w * exp(-0.05 * sqrt(pow(10 * (abs(p.d1 - r.d1) + u1.t - t1.t), 2) + pow(2.5 * (abs(p.d2 - r.d2) + u2.t - t2.t), 2) + pow(2.0 * (abs(p.d3 - r.d3) + u3.t - t3.t), 2)))) AS v FROM {CELLS_A} p, {CELLS_A} r, " + ", ".join(f"{_NODES} {n}(t, w)" for n in ("t1", "t2", "t3", "u1", "u2", "u3")) + " GROUP BY p.a, r.a, p.nbar, r.nbar)"
 
 
 @query(f"SELECT i, j, {q('v')} AS v FROM {_SIG}")
 def signal_matrix_fixed(spark, d):
-    return sg.signal_matrix(_sig_cells(spark), lambda r: F.exp(-0.05 * r), 2, dedup=False).select("i", "j", rnd(F.col("v")).alias("v"))
+    return sg.signal_matrix(cells(spark), lambda r: F.exp(-0.05 * r), 2, dedup=False).select("i", "j", rnd(F.col("v")).alias("v"))
 
 
 @query(f"SELECT i, j, {q('v')} AS v FROM {_SIG}")
 def signal_matrix_dedup(spark, d):
-    return sg.signal_matrix(_sig_cells(spark), lambda r: F.exp(-0.05 * r), 2).select("i", "j", rnd(F.col("v")).alias("v"))
+    return sg.signal_matrix(cells(spark), lambda r: F.exp(-0.05 * r), 2).select("i", "j", rnd(F.col("v")).alias("v"))
 
 
-@query()
+_MU = "CASE WHEN r = 0 THEN 0 ELSE z / r END"
+_APART = f"(SELECT p.a AS i, r.a AS j, sqrt(p.nbar * r.nbar) AS scale, t1.w * t2.w * t3.w * u1.w * u2.w * u3.w AS w, 10 * (abs(p.d1 - r.d1) + u1.t - t1.t) AS x, 2.5 * (abs(p.d2 - r.d2) + u2.t - t2.t) AS y, 2.0 * (abs(p.d3 - r.d3) + u3.t - t3.t) AS z FROM {CELLS_A} p, {CELLS_A} r, " + ", ".join(f"{_NODES} {n}(t, w)" for n in ("t1", "t2", "t3", "u1", "u2", "u3")) + ")"
+
+
+@query(f"SELECT i, j, {q(f'scale * sum(w * exp(-0.05 * r) * (1 + 0.8 * pow({_MU}, 2)))')} AS v FROM (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM {_APART}) GROUP BY i, j, scale")
+def signal_matrix_rsd(spark, d):
+    """With the angle to the line of sight: the third axis."""
+    return sg.signal_matrix(cells(spark), lambda r, mu: F.exp(-0.05 * r) * (1 + 0.8 * mu * mu), 2).select("i", "j", rnd(F.col("v")).alias("v"))
+
+
+_RING = "(SELECT g, g // 6 AS d1, g // 3 % 2 AS d2, g % 3 AS d3 FROM range(12) t(g))"
+_RPOS = "cbrt(pow(10.0 + 5 * {0}.d1, 3) + {1}1.t * (pow(15.0 + 5 * {0}.d1, 3) - pow(10.0 + 5 * {0}.d1, 3)))"
+_RVOL = "(0.1 / 3 * (pow(15.0 + 5 * {0}.d1, 3) - pow(10.0 + 5 * {0}.d1, 3)) * 0.5 / 3)"
+_RSIG = f"(SELECT p.g AS i, s.g AS j, sqrt({_RVOL.format('p')} * {_RVOL.format('s')}) AS scale, t1.w * t2.w * t3.w * u1.w * u2.w * u3.w AS w, {_RPOS.format('p', 't')} AS r1, {_RPOS.format('s', 'u')} AS r2, -0.5 + 0.5 * (p.d2 + t2.t) AS m1, -0.5 + 0.5 * (s.d2 + u2.t) AS m2, (abs(p.d3 - s.d3) + u3.t - t3.t) / 3 AS turn FROM {_RING} p, {_RING} s, " + ", ".join(f"{_NODES} {n}(t, w)" for n in ("t1", "t2", "t3", "u1", "u2", "u3")) + ")"
+
+
+@query(f"SELECT i, j, {q('scale * sum(w * exp(-0.05 * sqrt(greatest(r1 * r1 + r2 * r2 - 2 * r1 * r2 * (m1 * m2 + sqrt((1 - m1 * m1) * (1 - m2 * m2)) * cos(turn)), 0))))', 4)} AS v FROM {_RSIG} GROUP BY i, j, scale")
 def signal_matrix_spherical(spark, d):
     grid = gr.Grid((10.0, -0.5, 0.0), (20.0, 0.5, 1.0), (2, 2, 3), True)
     c = gr.number_cells(sg.cell_integral(grid.cells(spark), lambda r, mu, phi: F.lit(0.1) + r * 0, 2, True))
-    return sg.spherical_signal(c, lambda r: F.exp(-0.05 * r), 2)
+    return sg.spherical_signal(c, lambda r: F.exp(-0.05 * r), 2).select("i", "j", rnd(F.col("v"), 4).alias("v"))
 
 
-@query()
+@query(f"SELECT g, {q('10 * (exp(-0.1 * min1) - exp(-0.1 * max1)) * (max2 - min2 + (max2 * max2 - min2 * min2) / 2) * (max3 - min3)', 4)} AS nbar FROM {CELLS}")
 def adaptive_nbar(spark, d):
     import numpy as np
 
-    return sg.adaptive_integral(GRID.cells(spark), lambda p: np.exp(-0.1 * p[:, 0]) * (1 + p[:, 1]))
+    return sg.adaptive_integral(GRID.cells(spark), lambda p: np.exp(-0.1 * p[:, 0]) * (1 + p[:, 1]), 1e-9).select("g", rnd(F.col("nbar"), 4).alias("nbar"))
 
 
-@query()
+def _gauss1(o: str, h: str) -> str:
+    """Mean of exp(-d * d / 50) over the pairs of points of two intervals h long, o of them apart: from second differences of its double integral."""
+    steps = 2000
+    return f"(SELECT sum((1 - abs(t)) * exp(-pow(({o} + t) * {h}, 2) / 50)) / {steps} FROM (SELECT (k + 0.5) / {steps} AS t FROM range(-{steps}, {steps}) z(k)))"
+
+
+@query(f"SELECT p.a AS i, r.a AS j, {q('sqrt(p.nbar * r.nbar) * m1.v * m2.v * m3.v', 3)} AS v FROM {CELLS_A} p, {CELLS_A} r, (SELECT o, {_gauss1('o', '10')} AS v FROM range(5) t(o)) m1, (SELECT o, {_gauss1('o', '2.5')} AS v FROM range(4) t(o)) m2, (SELECT o, {_gauss1('o', '2')} AS v FROM range(4) t(o)) m3 WHERE m1.o = abs(p.d1 - r.d1) AND m2.o = abs(p.d2 - r.d2) AND m3.o = abs(p.d3 - r.d3)")
+def signal_matrix_adaptive(spark, d):
+    """A Gaussian is a product of functions of each axis."""
+    import numpy as np
+
+    return sg.adaptive_signal(cells(spark), lambda r: np.exp(-r * r / 50), 1e-7).select("i", "j", rnd(F.col("v"), 3).alias("v"))
+
+
+def _path(spark) -> DataFrame:
+    """Twos and minus ones beside them: the eigenvalues are known."""
+    return mx.generated(spark, 64, lambda i, j: F.when(i == j, 2.0).when(F.abs(i - j) == 1, -1.0).otherwise(0.0))
+
+
+@query(f"SELECT k AS i, {q('2 - 2 * cos((64 - k) * pi() / 65)')} AS lam FROM range(8) t(k)")
 def eig_topk(spark, d):
-    return mx.top_modes(_sm(spark), 64, 8)[0]
+    return mx.top_modes(_path(spark), 64, 8)[0].select("i", rnd(F.col("lambda")).alias("lam"))
+
+
+@query(f"SELECT k AS i, {q('2 - 2 * cos((64 - k) * pi() / 65)')} AS lam FROM range(8) t(k)")
+def eig_krylov(spark, d):
+    """The same by Lanczos, the matrix being applied in the tasks."""
+    return mx.top_modes(_path(spark), 64, 8, mx.KrylovSolver(mx.matvec(_path(spark)), 1e-10, ncv=40))[0].select("i", rnd(F.col("lambda")).alias("lam"))
+
+
+@query("SELECT k AS i, 0.0::DOUBLE AS off, 1.0::DOUBLE AS norm FROM range(8) t(k)")
+def eig_vectors(spark, d):
+    """Of each mode, |S v - lambda v| and |v|."""
+    evals, modes = mx.top_modes(_path(spark), 64, 8)
+    image = mx.multiply(modes.select("i", F.col("a").alias("j"), "v"), _path(spark)).select("i", F.col("j").alias("a"), F.col("v").alias("sv"))
+    rest = modes.join(image, ["i", "a"]).join(evals, "i").withColumn("d", F.col("sv") - F.col("lambda") * F.col("v"))
+    return rest.groupBy("i").agg(rnd(F.sqrt(F.sum(F.col("d") * F.col("d")))).alias("off"), rnd(F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("norm"))
+
+
+@query(f"SELECT k AS i, {q('sqrt(2 - 2 * cos((40 - k) * pi() / 41))')} AS s FROM range(4) t(k)")
+def singular_values(spark, d):
+    """Differences of neighbours with both ends: 41 rows, 40 columns."""
+    s, _ = mx.singular_values(mx.generated(spark, 41, lambda i, j: F.when(i == j, 1.0).when(i == j + 1, -1.0).otherwise(0.0), 40), 40, 4)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(s)], "i long, s double").select("i", rnd(F.col("s")).alias("s"))
+
+
+@query("SELECT i, j, CAST(i = j AS DOUBLE) AS v FROM range(5) t(i), range(5) u(j)")
+def matrix_root(spark, d):
+    """The square root of a symmetric matrix, squared, times its inverse."""
+    import numpy as np
+
+    a = mx.small(mx.generated(spark, 5, lambda i, j: F.exp(-0.5 * F.abs(i - j))), 5, "i", "j", "v")
+    r = mx.square_root(a)
+    out = r @ r @ mx.inverse(a)
+    return spark.createDataFrame([(i, j, float(np.round(out[i, j], 9)) + 0.0) for i in range(5) for j in range(5)], "i long, j long, v double")
 
 
 @query()
@@ -577,6 +660,24 @@ def estimator_pipeline(spark, d):
     return spark.createDataFrame([(m, float(e["phat"][m]), float(e["cov"][m, m])) for m in range(2)], "m long, phat double, var double")
 
 
+_TWO = f"(SELECT o, sum(w * exp(-0.01 * r2)) * 100 AS a, -sum(w * r2 * exp(-0.01 * r2)) * 100 AS b FROM (SELECT o, t1.w * t2.w * t3.w * u1.w * u2.w * u3.w AS w, pow(25 * (o + u1.t - t1.t), 2) + pow(10 * (u2.t - t2.t), 2) + pow(8 * (u3.t - t3.t), 2) AS r2 FROM range(2) z(o), " + ", ".join(f"{_NODES} {n}(t, w)" for n in ("t1", "t2", "t3", "u1", "u2", "u3")) + ") GROUP BY o)"
+_TWOX = f"(SELECT a, (sum(w) / 1e4 - 100) / 10 AS x FROM (SELECT {_bin('x', 0.0, 50.0, 2)} AS a, w FROM {GALAXIES} WHERE y >= 0 AND y < 10 AND z >= 0 AND z < 8) WHERE a >= 0 GROUP BY a)"
+# in the basis of sum and difference everything is diagonal: e is the sign, d0 and d1 the derivatives, c the covariance, y2 the squared amplitude
+_TWOE = f"(SELECT e, m0.a + e * m1.a AS d0, m0.b + e * m1.b AS d1, 1 + m0.a + e * m1.a AS c, pow(x0.x + e * x1.x, 2) / 2 AS y2 FROM (VALUES (1), (-1)) s(e), {_TWO} m0, {_TWO} m1, {_TWOX} x0, {_TWOX} x1 WHERE m0.o = 0 AND m1.o = 1 AND x0.a = 0 AND x1.a = 1)"
+_TWOF = f"(SELECT sum(d0 * d0 / (c * c)) / 2 AS f00, sum(d0 * d1 / (c * c)) / 2 AS f01, sum(d1 * d1 / (c * c)) / 2 AS f11, sum(d0 * (y2 - c + d0 + 0.01 * d1) / (c * c)) / 2 AS g0, sum(d1 * (y2 - c + d0 + 0.01 * d1) / (c * c)) / 2 AS g1 FROM {_TWOE})"
+
+
+@query(f"SELECT m, {q('CASE m WHEN 0 THEN f11 * g0 - f01 * g1 ELSE f00 * g1 - f01 * g0 END / (f00 * f11 - f01 * f01)', 3)} AS phat, {q('CASE m WHEN 0 THEN f11 ELSE f00 END / (f00 * f11 - f01 * f01)')} AS var FROM range(2) t(m), {_TWOF}")
+def estimator_two_cells(spark, d):
+    """Points to band powers on two cells, where the modes are known: sum and difference."""
+    from ..functions.models import TestModel
+    from .estimator import Estimator
+
+    e = Estimator(galaxies(spark, d).withColumn("w", F.col("w") / 1e4), gr.Grid((0.0, 0.0, 0.0), (50.0, 10.0, 8.0), (2, 1, 1)), lambda x, y, z: F.lit(0.05) + x * 0, TestModel({}), 2, 2).run()
+    rows = spark.createDataFrame([(m, float(e["phat"][m]), float(e["cov"][m, m])) for m in range(2)], "m long, phat double, var double")
+    return rows.select("m", rnd(F.col("phat"), 3).alias("phat"), rnd(F.col("var")).alias("var"))
+
+
 # --- fields -----------------------------------------------------------------
 
 _CIC = f"(SELECT CAST(floor(x / 12.5) + a AS BIGINT) % 4 AS ix, CAST(floor(y / 12.5) + b AS BIGINT) % 4 AS iy, CAST(floor(z / 12.5) + c AS BIGINT) % 4 AS iz, sum(w / 1e4 * abs(1 - a - (x / 12.5 - floor(x / 12.5))) * abs(1 - b - (y / 12.5 - floor(y / 12.5))) * abs(1 - c - (z / 12.5 - floor(z / 12.5)))) AS rho FROM (SELECT x, 4 * y AS y, 5 * z AS z, w FROM {GALAXIES}), range(2) t(a), range(2) u(b), range(2) v(c) GROUP BY 1, 2, 3)"
@@ -625,8 +726,22 @@ def trilinear_interp(spark, d):
 
 @query(f"SELECT i // 25 AS bin, {q('sum(k * k * p) / sum(k * k)', 9)} AS p FROM {_PK} WHERE i < 200 GROUP BY 1")
 def pk_rebin_weighted(spark, d):
-    k = F.col("k")
-    return pk_table(spark).where("i < 200").groupBy(F.floor(F.col("i") / 25).alias("bin")).agg(rnd(F.sum(k * k * F.col("p")) / F.sum(k * k), 9).alias("p"))
+    # edges between the points
+    return gr.rebinned(pk_table(spark).where("i < 200"), 0.009, 0.409, 8).select("bin", rnd(F.col("p"), 9).alias("p"))
+
+
+@query(f"SELECT CAST(floor(ln(k / 0.009::DOUBLE) * 6 / ln(0.42 / 0.009::DOUBLE)) AS BIGINT) AS bin, {q('sum(k * p) / sum(k)', 9)} AS p FROM {_PK} GROUP BY 1")
+def pk_rebin_log(spark, d):
+    return gr.rebinned(pk_table(spark), 0.009, 0.42, 6, 1, True).select("bin", rnd(F.col("p"), 9).alias("p"))
+
+
+_OVER = "(VALUES (0, 0.0::DOUBLE, 12.0::DOUBLE), (1, 7.0::DOUBLE, 31.0::DOUBLE), (2, 30.0::DOUBLE, 30.5::DOUBLE), (3, 44.0::DOUBLE, 99.0::DOUBLE))"
+
+
+@query(f"SELECT bin, count(*) AS n, {q('sum(w / 1e4)', 3)} AS total FROM {GALAXIES} JOIN {_OVER} t(bin, lo, hi) ON x >= lo AND x < hi GROUP BY bin")
+def overlapping_bins(spark, d):
+    bins = spark.createDataFrame([(0, 0.0, 12.0), (1, 7.0, 31.0), (2, 30.0, 30.5), (3, 44.0, 99.0)], "bin int, lo double, hi double")
+    return gr.overlapping(galaxies(spark, d).withColumn("w", F.col("w") / 1e4), "x", "w", bins).select("bin", "n", rnd(F.col("total"), 3).alias("total"))
 
 
 @query(f"SELECT bin, {q('n / (sum(n) OVER () * 0.2)')} AS density FROM (SELECT {_bin('x', -5.0, 5.0, 50)} AS bin, count(*) AS n FROM (SELECT 10 * x AS x FROM {POINTS}) GROUP BY 1) WHERE bin >= 0")
@@ -707,10 +822,30 @@ def xi_multipoles(spark, d):
     return m.select("i1", *(rnd(F.col(c)).alias(c) for c in ("xi0", "xi2", "xi4")))
 
 
-@query("SELECT true AS converged")
+_MULTI = f"(SELECT i1, sum(xi) / 4 AS xi0, sum(xi * (1.5 * mu * mu - 0.5)) * 5 / 4 AS xi2, sum(xi * (35 * pow(mu, 4) - 30 * mu * mu + 3) / 8) * 9 / 4 AS xi4 FROM (SELECT i1, (i2 + 0.5) / 4 AS mu, coalesce({_XI['ls']}, 0) AS xi FROM {_XI_IN}) GROUP BY i1)"
+
+
+@query(f"SELECT eps, bool_and(abs(xi0 - b) <= 1e-9 OR abs(xi0 - b) <= eps * abs(xi0)) AS converged FROM (SELECT xi0, xi0 * (1 + 0.0001 * i1) AS b FROM {_MULTI}), (VALUES (0.01::DOUBLE), (0.0002::DOUBLE)) t(eps) GROUP BY eps")
 def xi_converged(spark, d):
     m = pairs.multipoles(_xi(spark, d, "ls"), 4)
-    return pairs.converged(m, m.withColumn("xi0", F.col("xi0") * 1.0001), "xi0", 1e-9, 1e-3)
+    before = m.withColumn("xi0", F.col("xi0") * (1 + 0.0001 * F.col("i1")))
+    one = lambda eps: pairs.converged(m, before, "xi0", 1e-9, eps).select(F.lit(eps).alias("eps"), "converged")
+    return one(0.01).union(one(0.0002))
+
+
+@query(f"SELECT i1, {q('xi0')} AS xi0, {q('xi2')} AS xi2, {q('xi4')} AS xi4 FROM {_MULTI}")
+def xi_sampled(spark, d):
+    """The loop over samplings; the same points each time, so it ends with their own correlation."""
+    p = points(spark, d)
+    got, _, _ = pairs.converge(lambda k: (p.where("id % 2 = 0"), p.where("id % 2 = 1")), 4, 0.0, 0.3, 6, dict.fromkeys((0, 2, 4), (1e-9, 1e-9)), passes=2)
+    return got.select("i1", *(rnd(F.col(c)).alias(c) for c in ("xi0", "xi2", "xi4")))
+
+
+@query(f"SELECT * FROM {_DD}")
+def pairs_dd_bucketed(spark, d):
+    """Crowded cubes in parts."""
+    p = points(spark, d).where("id % 2 = 0")
+    return pairs.pair_histogram(pairs.pairs(p, None, 0.3, salt=5), 0.0, 0.3, 6, 4)
 
 
 # --- random draws and mocks --------------------------------------------------
@@ -753,27 +888,214 @@ def sobol_first(spark, d):
     return spark.range(256).select(F.col("id").alias("i"), rnd(x).alias("x"))
 
 
-@query()
+_MODE3 = "(SELECT i // 64 AS a, i // 8 % 8 AS b, i % 8 AS c FROM range(512) t(i))"
+_FREQ3 = f"(SELECT CASE WHEN a > 4 THEN a - 8 ELSE a END AS x, CASE WHEN b > 4 THEN b - 8 ELSE b END AS y, CASE WHEN c > 4 THEN c - 8 ELSE c END AS z FROM {_MODE3})"
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (x * x + y * y + z * z > 16 OR x * x + y * y + z * z = 0) AS silent, 0 AS broken FROM {_FREQ3}")
 def gaussian_field(spark, d):
+    """Modes in all, those that are 0 (the first, and beyond the Nyquist frequency), and those that are not their mirror's conjugate."""
     m = mock.modes(spark, 8, 100.0, lambda k: 1e4 * k * F.exp(-20 * k), 7, 2.0)
-    return mock.density(m, 8, 0.001)
+    other = m.select(*(F.pmod(-F.col(c), F.lit(8)).alias(c) for c in ("ix", "iy", "iz")), F.col("re").alias("re2"), F.col("im").alias("im2"))
+    bad = (F.abs(F.col("re") - F.col("re2")) > 1e-12) | (F.abs(F.col("im") + F.col("im2")) > 1e-12)
+    return m.join(other, ["ix", "iy", "iz"]).agg(F.count("*").alias("n"), F.count_if((F.col("re") == 0) & (F.col("im") == 0)).alias("silent"), F.count_if(bad).cast("int").alias("broken"))
+
+
+@query(f"SELECT ix, iy, iz, {q('0.5 * greatest(0, 1 + 2 * delta)')} AS rho FROM {_DELTA}")
+def field_density(spark, d):
+    """Back from the modes: mean density times 1 + b delta, not below 0."""
+    return mock.density(_dft(spark, d), 4, 0.5, 2.0).select("ix", "iy", "iz", rnd(F.col("rho")).alias("rho"))
+
+
+_FK = f"(SELECT kx, ky, kz, re, im, (CASE WHEN kx > 2 THEN kx - 4 ELSE kx END) * 2 * pi() / 50 AS wx, (CASE WHEN ky > 2 THEN ky - 4 ELSE ky END) * 2 * pi() / 50 AS wy, (CASE WHEN kz > 2 THEN kz - 4 ELSE kz END) * 2 * pi() / 50 AS wz FROM {_DFT})"
+_RATIO = f"(SELECT kx, ky, kz, re, im, CASE WHEN kx = 2 OR wx * wx + wy * wy + wz * wz = 0 THEN 0 ELSE 0.5 * wx / (wx * wx + wy * wy + wz * wz) END AS r FROM {_FK})"
+
+
+@query(f"SELECT ix, iy, iz, {q('sum(-im * r * cos(2 * pi() * (kx * ix + ky * iy + kz * iz) / 4) - re * r * sin(2 * pi() * (kx * ix + ky * iy + kz * iz) / 4)) / 64', 4)} AS v FROM {_RATIO}, (SELECT i // 16 AS ix, i // 4 % 4 AS iy, i % 4 AS iz FROM range(64) t(i)) GROUP BY ix, iy, iz")
+def field_velocity(spark, d):
+    return mock.velocity(_dft(spark, d), 4, 50.0, 0.5, 0).select("ix", "iy", "iz", rnd(F.col("v"), 4).alias("v"))
 
 
 @query()
 def mock_galaxies(spark, d):
     m = mock.modes(spark, 8, 100.0, lambda k: 1e4 * k * F.exp(-20 * k), 7, 2.0)
-    return mock.sample(mock.density(m, 8, 0.001), 8, 100.0, 7)
+    return mock.sample_between(mock.density(m, 8, 0.001), 8, 100.0, 7)
 
 
-@query()
-def uniform_randoms(spark, d):
-    return mock.uniform_catalogue(spark, 1000, 100.0, 3).union(mock.uniform_shell(spark, 1000, 10.0, 20.0, 4))
+@query("SELECT true AS inside, CAST(1000 AS BIGINT) AS n, CAST(1000 AS BIGINT) AS apart")
+def uniform_box(spark, d):
+    r = mock.uniform_catalogue(spark, 1000, 100.0, 3)
+    return r.agg(F.bool_and(g.inside_box(XYZ, (0, 0, 0), (100, 100, 100))).alias("inside"), F.count("*").alias("n"), F.count_distinct("x", "y", "z").alias("apart"))
+
+
+@query("SELECT true AS inside, CAST(1000 AS BIGINT) AS n, true AS even")
+def uniform_shell(spark, d):
+    """Within the shell; half of the volume has about half of the points."""
+    r = mock.uniform_shell(spark, 1000, 10.0, 20.0, 4)
+    half = F.count_if(F.col("r") < F.cbrt(F.lit((10.0**3 + 20.0**3) / 2)))
+    return r.agg(F.bool_and(g.inside_box(("r", "mu", "phi"), (10, -1, 0), (20, 1, 2 * math.pi))).alias("inside"), F.count("*").alias("n"), half.between(420, 580).alias("even"))
+
+
+_SOB = ["(" + " + ".join(f"((x{k} >> {31 - b}) & 1) / {float(2 ** (b + 1))}" for b in range(12)) + ")" for k in range(3)]
+_DIRS = [sp.sobol_directions(*c) for c in [(0, 0, []), *sp.SOBOL][:3]]
+_XOR = ["0", "0", "0"]
+for _axis, _bit in ((k, b) for k in range(3) for b in range(9)):
+    _XOR[_axis] = f"xor({_XOR[_axis]}, ((g >> {_bit}) & 1) * {_DIRS[_axis][_bit]})"
+
+
+@query("SELECT i, " + ", ".join(f"{q(_SOB[k])} AS s{k}" for k in range(3)) + " FROM (SELECT i, " + ", ".join(f"{_XOR[k]} AS x{k}" for k in range(3)) + " FROM (SELECT i, xor(i, i >> 1) AS g FROM range(256) t(i)))")
+def sobol_points(spark, d):
+    return spark.range(256).select(F.col("id").alias("i"), *(rnd(x).alias(f"s{k}") for k, x in enumerate(sp.sobol(F.col("id"), 3))))
+
+
+_U3 = "((o_orderkey * 39373 % 2147483647) / 2147483647.0::DOUBLE)"
+_CORNER = lambda a, b, c: 1 + 3 * a + 2 * b + 5 * c * a + 0.5 * c
+
+
+def _ramp(u: str, f0: str, f1: str) -> str:
+    return f"({u} * (({f0}) + ({f1})) / (({f0}) + sqrt(pow({f0}, 2) * (1 - {u}) + pow({f1}, 2) * {u})))"
+
+
+_DRAW1 = f"(SELECT o_orderkey, {_ramp(_U, str(sum(_CORNER(0, b, c) for b in (0, 1) for c in (0, 1))), str(sum(_CORNER(1, b, c) for b in (0, 1) for c in (0, 1))))} AS x FROM orders)"
+_MIX = lambda b, c: f"({_CORNER(0, b, c)} * (1 - x) + {_CORNER(1, b, c)} * x)"
+_DRAW2 = f"(SELECT o_orderkey, x, {_ramp(_U2, _MIX(0, 0) + '+' + _MIX(0, 1), _MIX(1, 0) + '+' + _MIX(1, 1))} AS y FROM {_DRAW1})"
+_DRAW3 = f"SELECT o_orderkey, {q('x')} AS x, {q('y')} AS y, {q(_ramp(_U3, f'{_MIX(0, 0)} * (1 - y) + {_MIX(1, 0)} * y', f'{_MIX(0, 1)} * (1 - y) + {_MIX(1, 1)} * y'))} AS z FROM {_DRAW2}"
+
+
+def _uniforms(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", _u(48271).alias("u1"), _u(69621).alias("u2"), _u(39373).alias("u3"))
+
+
+@query(_DRAW3)
+def sample3d(spark, d):
+    c = {(a, b, e): F.lit(float(_CORNER(a, b, e))) for a in (0, 1) for b in (0, 1) for e in (0, 1)}
+    t = sp.trilinear_draw(c, (F.col("u1"), F.col("u2"), F.col("u3")))
+    return _uniforms(spark, d).select("o_orderkey", t.alias("t")).select("o_orderkey", *(rnd(F.col(f"t.t{k}")).alias(n) for k, n in enumerate(XYZ, 1)))
+
+
+@query(f"SELECT o_orderkey, count(c) FILTER (c < {_U}) AS n FROM orders, (SELECT k, sum(exp(-120 + k * ln(120) - lgamma(k + 1.0))) OVER (ORDER BY k) AS c FROM range(300) t(k)) GROUP BY ALL")
+def poisson_large(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", sp.poisson(_u(48271), F.lit(120.0)).alias("n"))
 
 
 @query("SELECT trim(split_part(line, '=', 1)) AS key, trim(split_part(line, '=', 2)) AS value FROM (SELECT 'a_' || n_nationkey || ' = ' || n_name || ' ' AS line FROM nation)")
 def config_parse(spark, d):
-    parts = F.split(F.concat(F.lit("a_"), F.col("n_nationkey").cast("string"), F.lit(" = "), F.col("n_name"), F.lit(" ")), "=", 2)
-    return table(spark, d, "nation").select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value"))
+    from ..sources import config
+
+    lines = table(spark, d, "nation").select(F.concat(F.lit("a_"), F.col("n_nationkey").cast("string"), F.lit(" = "), F.col("n_name"), F.lit(" "))).toArrow().column(0).to_pylist()  # a configuration file
+    return spark.createDataFrame(list(config.parse("\n".join(lines)).items()), "key string, value string")
+
+
+def _folder(spark) -> str:
+    """Where driver and tasks both write."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return tempfile.mkdtemp(prefix="skyframe-")
+    path = f"{base.removeprefix('file://').rstrip('/')}/blocks-{uuid.uuid4().hex}"
+    import os
+
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS pos, CAST(n_nationkey AS INT) AS k, CAST(n_regionkey AS DOUBLE) / 3 AS v FROM nation")
+def scan_blocks(spark, d):
+    """Written as a block by the tasks, and read by ranges of records."""
+    from ..sources import blocks
+
+    path = f"{_folder(spark)}/nation"
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), F.col("n_nationkey").cast("int").alias("k"), (F.col("n_regionkey").cast("double") / 3).alias("v"))
+    blocks.write_parts(rows, path, "id", {"table": "nation"})
+    return blocks.read_blocks(spark, path, "k,v", recordsPerTask=10)
+
+
+@query("SELECT g, (max1 - min1) AS h1, (max2 - min2) AS h2, (max3 - min3) AS h3, min1 >= 0 AND max1 <= 50 AND min2 >= 0 AND max2 <= 10 AND min3 >= 0 AND max3 <= 8 AS inside FROM " + CELLS)
+def cell_bounds_cart(spark, d):
+    box = g.inside_box(("min1", "min2", "min3"), GRID.lo, GRID.hi) & g.inside_box(("max1", "max2", "max3"), GRID.lo, GRID.hi)
+    return GRID.cells(spark).select("g", *((F.col(f"max{k}") - F.col(f"min{k}")).alias(f"h{k}") for k in (1, 2, 3)), box.alias("inside"))
+
+
+@query(f"SELECT x, {q('coalesce(y + (x - lo) * m, 0)')} AS y, {q('coalesce(m, 0)')} AS slope FROM {_XS} LEFT JOIN (VALUES {_VALUES}) t(lo, hi, y, m) ON x >= lo AND x < hi")
+def spline_linear(spark, d):
+    s = sp.spline_frame(spark, sp.spline_table(*zip(*_LINE, strict=True)))
+    both = sp.lookup(sp.lookup(xs(spark, d), "x", s, "y"), "x", s, "slope", order=1)
+    return both.select("x", rnd(F.col("y")).alias("y"), rnd(F.col("slope")).alias("slope"))
+
+
+_SHIFT = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in r[:4]) + ")" for r in sp.spline_table(*zip(*_LINE, strict=True), kind="shifted"))
+
+
+@query(f"SELECT x, {q('coalesce(y + (x - lo) * m, 0)')} AS y FROM {_XS} LEFT JOIN (VALUES {_SHIFT}) t(lo, hi, y, m) ON x >= lo AND x < hi")
+def spline_shifted(spark, d):
+    s = sp.spline_frame(spark, sp.spline_table(*zip(*_LINE, strict=True), kind="shifted"))
+    return sp.lookup(xs(spark, d), "x", s, "y").select("x", rnd(F.col("y")).alias("y"))
+
+
+@query(f"SELECT x, coalesce(y, 0) AS y FROM {_XS} LEFT JOIN (VALUES {_VALUES}) t(lo, hi, y, m) ON x >= lo AND x < hi")
+def spline_constant(spark, d):
+    s = sp.spline_frame(spark, sp.spline_table(*zip(*_LINE, strict=True), kind="constant"))
+    return sp.lookup(xs(spark, d), "x", s, "y")
+
+
+_QN = sp.qspline_nodes(16, 16, 4.0, 64.0)
+_QT = sp.spline_table(_QN, [math.sin(v / 3) for v in _QN], "cubic")
+_QVALUES = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in r) + ")" for r in _QT)
+
+
+@query(f"SELECT x, {q('coalesce(c0 + (x - lo) * (c1 + (x - lo) * (c2 + (x - lo) * c3)), 0)')} AS y FROM (SELECT DISTINCT l_quantity * 1.37 AS x FROM lineitem) LEFT JOIN (VALUES {_QVALUES}) t(lo, hi, c0, c1, c2, c3) ON x >= lo AND x < hi")
+def qspline_eval(spark, d):
+    """Of both kinds of steps; the interval follows from x."""
+    x = table(spark, d, "lineitem").select((F.col("l_quantity") * 1.37).alias("x")).distinct()
+    return x.select("x", rnd(sp.tabled(_QT, 16, 16, 4.0, 64.0)("x")).alias("y"))
+
+
+_CUBE = [(0.0, 1.0), (1.0, 2.0), (2.5, 0.0), (4.0, 5.0), (7.0, 4.5)]
+_CUBEV = ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" for v in r) + ")" for r in sp.spline_table(*zip(*_CUBE, strict=True), kind="cubic"))
+
+
+@query(f"SELECT {q('max(c0 + d * (c1 + d * (c2 + d * c3)))')} AS y FROM (SELECT *, (hi - lo) * k / 200000 AS d FROM (VALUES {_CUBEV}) t(lo, hi, c0, c1, c2, c3), range(200001) u(k))")
+def spline_max(spark, d):
+    """The maximum in closed form, against a fine grid."""
+    return sp.spline_maximum(sp.spline_frame(spark, sp.spline_table(*zip(*_CUBE, strict=True), kind="cubic"))).select(rnd(F.col("y")).alias("y"))
+
+
+_BAND = "sum((CASE WHEN i IN (0, 64) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 0.1 / 64 / 3 * k * k * sin(k * r) / (k * r)) / (2 * pi() * pi())"
+
+
+@query(f"SELECT r, {q(_BAND, 9)} AS xi FROM (SELECT i, 0.05 + 0.1 * i / 64 AS k FROM range(65) t(i)), (SELECT DISTINCT l_quantity AS r FROM lineitem) GROUP BY r")
+def xi_deriv_band(spark, d):
+    """The derivative of a model by the power of its second band."""
+    from ..functions import models
+
+    m = models.make({"model": "real", "bands": "0.01 0.05 0.05 0.15"})
+    r = table(spark, d, "lineitem").select(F.col("l_quantity").alias("r")).distinct()
+    return r.select("r", rnd(m.xi_deriv(1, F.col("r")), 9).alias("xi"))
+
+
+@query(f"SELECT r, {q(f'-(1.5 * 0.36 - 0.5) * {_BAND}', 9).replace('sin(k * r) / (k * r)', '((3 / pow(k * r, 2) - 1) * sin(k * r) / (k * r) - 3 * cos(k * r) / pow(k * r, 2))')} AS xi FROM (SELECT i, 0.05 + 0.1 * i / 64 AS k FROM range(65) t(i)), (SELECT DISTINCT l_quantity AS r FROM lineitem) GROUP BY r")
+def xi_kaiser(spark, d):
+    """The quadrupole's derivative at a cosine of 0.6 with the line of sight."""
+    from ..functions import models
+
+    m = models.make({"model": "kaiser", "bands": "0.05 0.15", "f": "0.5"})
+    r = table(spark, d, "lineitem").select(F.col("l_quantity").alias("r")).distinct()
+    return r.select("r", rnd(m.xi_deriv(1, F.col("r"), F.lit(0.6)), 9).alias("xi"))
+
+
+@query(f"SELECT m, 1.0::DOUBLE AS total FROM range(2) t(m)")
+def window_rows_unity(spark, d):
+    """Each row of the window matrix sums to 1, here for mixing by the root."""
+    window = _estimate(spark, d, "root")["window"]
+    return spark.createDataFrame([(m, float(window[m].sum())) for m in range(2)], "m long, total double").select("m", rnd(F.col("total")).alias("total"))
+
+
+@query(f"SELECT m, n, {q('CASE WHEN m = n THEN CASE m WHEN 0 THEN c ELSE a END ELSE -b END / (a * c - b * b)', 4)} AS cov FROM range(2) t(m), range(2) u(n), {_F2}")
+def param_cov_2x2(spark, d):
+    e = _estimate(spark, d, "inverse")
+    return spark.createDataFrame([(m, n, float(e["cov"][m, n])) for m in range(2) for n in range(2)], "m long, n long, cov double").select("m", "n", rnd(F.col("cov"), 4).alias("cov"))
 
 
 @query("SELECT row_number() OVER (ORDER BY x, y, z) - 1 AS v, x, y, z FROM (SELECT 10.0::DOUBLE * i AS x, 2.5::DOUBLE * j AS y, 2.0::DOUBLE * k AS z FROM range(6) t(i), range(5) u(j), range(5) w(k))")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 _BEGIN = re.compile(rb"^#!Begin data block: n = (\d+), size = (\d+), endian = (\w), format = (\S+)\s*$")
 #: Letters of a format and their types (fixed values).
@@ -137,6 +137,53 @@ class RecordBlocks(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _Reader(self.options)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options, overwrite)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, part: int, name: str, n: int):
+        self.part, self.name, self.n = part, name, n
+
+
+class _Writer(DataSourceWriter):
+    """Each task writes its records to a file of its own; the commit names them as parts and puts the header before them."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.format = options["path"], options["recordFormat"]
+        self.lines = options.get("header", "")
+        self.old = sorted(p for p in glob.glob(glob.escape(self.path) + "*") if p == self.path or re.fullmatch(r"\.\d+", p[len(self.path) :]))
+        if self.old and not overwrite:
+            raise FileExistsError(self.path)
+
+    def write(self, rows: Iterator) -> _Written:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        packer = struct.Struct("<" + "".join(letters(self.format)).replace("l", "q").replace("L", "Q"))
+        name, n = f"{self.path}.writing-{context.taskAttemptId()}", 0
+        with open(name, "wb") as f:
+            for row in rows:
+                f.write(packer.pack(*row))
+                n += 1
+        return _Written(context.partitionId(), name, n)
+
+    def commit(self, messages: list) -> None:
+        for p in self.old:
+            os.remove(p)
+        size = record_dtype(self.format).itemsize
+        n = sum(m.n for m in messages if m)
+        with open(f"{self.path}.000000", "w") as f:
+            f.write(f"{self.lines}#!Begin data block: n = {n}, size = {size}, endian = L, format = {self.format}\n")
+        for m in messages:
+            if m:
+                os.rename(m.name, f"{self.path}.{m.part + 1:06d}")
+
+    def abort(self, messages: list) -> None:
+        for m in messages:
+            if m and os.path.exists(m.name):
+                os.remove(m.name)
+
 
 def read_blocks(spark: SparkSession, path: str, names: str = "", **options: object) -> DataFrame:
     """A block as a DataFrame, with pos, the record's number."""
@@ -147,6 +194,15 @@ def read_blocks(spark: SparkSession, path: str, names: str = "", **options: obje
     return reader.load()
 
 
+def write_parts(df: DataFrame, path: str, fmt: str, options: dict | None = None, order_by: str | None = "pos") -> None:
+    """One block of any size: a part for each task, in a folder that all tasks reach; read it by the same path."""
+    df.sparkSession.dataSource.register(RecordBlocks)
+    if order_by in df.columns:
+        df = df.orderBy(order_by).drop(order_by)
+    writer = df.write.format("recordblock").mode("overwrite").option("path", path).option("recordFormat", fmt)
+    writer.option("header", "".join(f"{k} = {v}\n" for k, v in (options or {}).items())).save()
+
+
 def write_blocks(path: str, blocks: list[tuple[DataFrame, str, dict]], order_by: str | None = "pos") -> None:
     """Export DataFrames as consecutive blocks: (rows, format, options).  A native copy is Parquet; this is for small results."""
     with open(path, "wb") as f:
@@ -160,9 +216,3 @@ def write_blocks(path: str, blocks: list[tuple[DataFrame, str, dict]], order_by:
             f.write(f"#!Begin data block: n = {n}, size = {packer.size}, endian = L, format = {fmt}\n".encode())
             for row in df.toLocalIterator():
                 f.write(packer.pack(*row))
-
-
-def read_particles(path: str, n: int, header: int = 0) -> np.ndarray:
-    """Positions then velocities of n particles as float32 rows (x, y, z, vx, vy, vz)."""
-    raw = np.fromfile(path, "<f4", 6 * n, offset=header)
-    return np.concatenate([raw[: 3 * n].reshape(n, 3), raw[3 * n :].reshape(n, 3)], axis=1)

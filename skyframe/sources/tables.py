@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,41 +40,49 @@ def write_map(path: str, values: np.ndarray, order: str = "NESTED") -> None:
         f.write(raw + b"\0" * (-len(raw) % 2880))
 
 
-def read_map(spark: SparkSession, path: str) -> tuple[DataFrame, int, str]:
-    """((ipix, value), nside, ordering) of a map whose first table column is float32 or float64."""
-    with open(path, "rb") as f:
-        data = f.read()
-
-    def head(at: int) -> tuple[dict[str, str], int]:
+def read_map(spark: SparkSession, path: str, per_task: int = 1 << 20) -> tuple[DataFrame, int, str]:
+    """((ipix, value), nside, ordering) of a map whose first table column is float32 or float64; tasks read ranges of rows."""
+    def head(f, at: int) -> tuple[dict[str, str], int]:
         out: dict[str, str] = {}
         while True:
+            f.seek(at)
+            data = f.read(2880)
+            if len(data) < 2880:
+                raise ValueError(f"{path}: the header has no end")
             for k in range(36):
-                c = data[at + 80 * k : at + 80 * k + 80].decode("ascii")
+                c = data[80 * k : 80 * k + 80].decode("ascii")
                 if c.startswith("END"):
                     return out, at + 2880
                 if c[8:10] == "= ":
                     out[c[:8].strip()] = c[10:].split("/")[0].strip().strip("'").strip()
             at += 2880
 
-    at = head(0)[1]
-    h, at = head(at)
+    with open(path, "rb") as f:
+        h, start = head(f, head(f, 0)[1])
     form = h["TFORM1"]
     count, kind = int(form[:-1] or 1), {"E": ">f4", "D": ">f8"}[form[-1]]
     width, n = int(h["NAXIS1"]), int(h["NAXIS2"])
-    rows = np.frombuffer(data, np.uint8, width * n, at).reshape(n, width)[:, : count * int(kind[-1])]
-    values = np.ascontiguousarray(rows).view(kind).ravel()
-    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "ipix long, value float")
+
+    def run(batches):
+        for batch in batches:
+            for first in batch.column(0).to_pylist():
+                with open(path, "rb") as f:
+                    f.seek(start + first * width)
+                    raw = np.frombuffer(f.read(min(per_task, n - first) * width), np.uint8).reshape(-1, width)
+                values = np.ascontiguousarray(raw[:, : count * int(kind[-1])]).view(kind).ravel()
+                yield pa.record_batch([pa.array(np.arange(first * count, first * count + len(values))), pa.array(values.astype(np.float32))], names=["ipix", "value"])
+
+    df = spark.range(0, n, per_task, max(1, -(-n // per_task))).mapInArrow(run, "ipix long, value float")
     return df, int(h["NSIDE"]), h["ORDERING"]
 
 
 def vertices(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((v, x, y, z) distinct corners, (g, corner, v) of the cells); v numbers corners from 0 by position."""
-    from pyspark.sql import Window
+    from ..operators.grid import numbered
 
     corner = F.array(*(F.struct(F.lit(a + 2 * b + 4 * c).alias("corner"), F.col("max1" if a else "min1").alias("x"), F.col("max2" if b else "min2").alias("y"), F.col("max3" if c else "min3").alias("z")) for c in (0, 1) for b in (0, 1) for a in (0, 1)))
     each = cells.select("g", F.inline(corner))
-    points = each.select("x", "y", "z").distinct()
-    points = points.select((F.row_number().over(Window.orderBy("x", "y", "z")) - 1).alias("v"), "x", "y", "z")
+    points = numbered(each.select("x", "y", "z").distinct(), "x", ["y", "z"], "v").select("v", "x", "y", "z")
     return points, each.join(points, ["x", "y", "z"]).select("g", "corner", "v")
 
 

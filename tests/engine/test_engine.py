@@ -30,7 +30,7 @@ def comparable(rows, cols):
     return sorted((tuple(r[i] for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", ["cell_counts", "kl_projection", "sep_rmu", "legendre_p", "residual_matrix", "bias_term", "mixing_identity_estimate", "mixing_inverse_2x2", "pk_rebin_weighted", "pairs_rr", "healpix_nest"])
+@pytest.mark.parametrize("name", ["cell_counts", "kl_projection", "sep_rmu", "legendre_p", "residual_matrix", "bias_term", "mixing_identity_estimate", "mixing_inverse_2x2", "pk_rebin_weighted", "pairs_rr", "healpix_nest", "healpix_ring_centre", "estimator_two_cells", "signal_matrix_rsd", "sample3d", "xi_sampled", "scan_blocks", "overlapping_bins"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
