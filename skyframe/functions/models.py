@@ -13,7 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import Num, col
+from .geometry import Num, col, let
 from .special import bessel, kaiser, legendre, test_xi
 
 
@@ -134,6 +134,57 @@ class KaiserModel(_Bands):
         return sum((self.param(n) * self.xi_deriv(n, r, mu) for n in range(1, self.n_params)), self.param(0) * self.xi_deriv(0, r, mu))
 
 
+# Linear wide-angle redshift distortions (Papai & Szapudi 2008); fixed values.  Each term: the angular function of the
+# angles a (at the second point) and b (at the first), the powers of r / r1 and r / r2, the power of r that it is over,
+# and for each xi_lm its coefficients of f**0, f**1 and f**2.
+WIDE_ANGLE = [
+    ("1", 0, 0, 0, {"02": (1, 2 / 3, 2 / 15)}),
+    ("cos 2b", 0, 0, 0, {"22": (0, -1 / 2, -3 / 14), "42": (0, 0, 1 / 28)}),
+    ("cos 2a", 0, 0, 0, {"22": (0, -1 / 2, -3 / 14), "42": (0, 0, 1 / 28)}),
+    ("cos 2a cos 2b", 0, 0, 0, {"02": (0, 0, 1 / 15), "22": (0, 0, -1 / 21), "42": (0, 0, 19 / 140)}),
+    ("cos b", 1, 0, 1, {"11": (0, 2, 4 / 5), "31": (0, 0, -1 / 5)}),
+    ("cos a", 0, 1, 1, {"11": (0, 2, 4 / 5), "31": (0, 0, -1 / 5)}),
+    ("cos a cos b", 1, 1, 2, {"00": (0, 0, -4 / 3), "20": (0, 0, 8 / 3)}),
+    ("cos 2a cos b", 1, 0, 1, {"11": (0, 0, 2 / 5), "31": (0, 0, -3 / 5)}),
+    ("cos a cos 2b", 0, 1, 1, {"11": (0, 0, 2 / 5), "31": (0, 0, -3 / 5)}),
+    ("sin 2a sin 2b", 0, 0, 0, {"02": (0, 0, -1 / 15), "20": (0, 0, 1 / 21), "42": (0, 0, 4 / 35)}),
+    ("sin a sin b", 1, 1, 2, {"00": (0, 0, 4 / 3), "20": (0, 0, 4 / 3)}),
+    ("sin 2a sin b", 1, 0, 1, {"11": (0, 0, -2 / 5), "31": (0, 0, -2 / 5)}),
+    ("sin a sin 2b", 0, 1, 1, {"11": (0, 0, -2 / 5), "31": (0, 0, -2 / 5)}),
+]
+
+
+def wide_angle(r: Num, r1: Num, r2: Num, f: float, xi: dict[str, Column], by_growth: bool = False) -> Column:
+    """The correlation of two points at distances r1 and r2 from the observer, r apart, for a growth rate f; or its derivative by f.
+
+    xi: the functions xi_lm of r as columns, named "00", "02", "11", "20", "22", "31" and "42".
+    """
+    r, r1, r2 = col(r), col(r1), col(r2)
+    clamp = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+
+    def total(a: Column, b: Column, g1: Column, g2: Column, r: Column, *functions: Column) -> Column:
+        known = dict(zip(sorted(xi), functions, strict=True))
+        sine = lambda c: F.sqrt(1 - c * c)
+        angle = {"1": F.lit(1.0)} | {f"cos {n}": c for n, c in (("a", a), ("b", b), ("2a", 2 * a * a - 1), ("2b", 2 * b * b - 1))}
+        angle |= {f"sin {n}": c for n, c in (("a", sine(a)), ("b", sine(b)), ("2a", 2 * a * sine(a)), ("2b", 2 * b * sine(b)))}
+        out = F.lit(0.0)
+        for shape, p1, p2, p, terms in WIDE_ANGLE:
+            part = F.lit(0.0)
+            for name, c in terms.items():
+                factor = c[1] + 2 * f * c[2] if by_growth else c[0] + f * c[1] + f * f * c[2]
+                part = part + F.lit(float(factor)) * known[name]
+            words = shape.split(" ")
+            for w in [" ".join(words[k : k + 2]) for k in range(0, len(words), 2)]:
+                part = part * angle[w]
+            for factor, power in ((g1, p1), (g2, p2), (1 / r, p)):
+                part = part * factor if power == 1 else part * factor * factor if power == 2 else part
+            out = out + part
+        return out
+
+    values = {"a": clamp((r * r + r2 * r2 - r1 * r1) / (2 * r * r2)), "b": clamp((r * r + r1 * r1 - r2 * r2) / (2 * r * r1)), "g1": r / r1, "g2": r / r2, "r": r}
+    return let(total, **values, **{f"xi{k}": xi[k] for k in sorted(xi)})
+
+
 @model("bins")
 class BinModel:
     """The function is constant in bins of r."""

@@ -177,10 +177,25 @@ def sky_area(mask: DataFrame) -> DataFrame:
     return mask.agg((F.lit(4 * math.pi) * F.avg("value")).alias("area"))
 
 
-def smoothing_radius(variance, target: float, step: float = 0.1, most: int = 10_000) -> tuple[float, float]:
-    """(R, sigma): the first R = 0, step, ... whose sigma = sqrt(variance(R)) has P(delta < -1) <= target for a Gaussian delta."""
-    for i in range(most):
-        sigma = math.sqrt(variance(i * step))
-        if 0.5 * math.erfc(1 / (sigma * math.sqrt(2))) <= target:
-            return i * step, sigma
-    raise ValueError("no radius smooths enough")
+def sigma_for(share: float, step: float = 1e-4) -> float:
+    """The first sigma = 0.01, 0.01 + step, ... for which a Gaussian contrast is below -1 with a probability of `share` at least."""
+    n = 0
+    while 0.5 * math.erfc(1 / ((0.01 + n * step) * math.sqrt(2))) < share:
+        n += 1
+    return 0.01 + n * step
+
+
+def smoothing_radius(pk: DataFrame, sigma: float, step: float = 0.01, most: float = 50.0) -> DataFrame:
+    """One row (radius, sigma): the first R = 0, step, ... at which the field smoothed by exp(-k**2 R**2 / 2) varies by at most sigma.
+
+    pk: (i, k, p) on equal steps; the variances (trapezoids of k**2 P / 2 pi**2)
+    of all radii come from one pass over it.
+    """
+    ends = pk.agg(F.max("i").alias("n"), F.min("k").alias("k0"), F.max("k").alias("k1"))
+    k = F.col("k")
+    weight = F.when((F.col("i") == 0) | (F.col("i") == F.col("n")), 0.5).otherwise(1.0) * (F.col("k1") - F.col("k0")) / F.col("n")
+    each = pk.crossJoin(F.broadcast(ends)).select("k", (weight * k * k * F.col("p") / F.lit(2 * math.pi**2)).alias("c"))  # ends is one row
+    radii = pk.sparkSession.range(int(most / step) + 1).select((F.col("id") * F.lit(step)).alias("radius"))
+    spread = radii.crossJoin(each).groupBy("radius").agg(F.sqrt(F.sum(F.col("c") * F.exp(-k * k * F.col("radius") * F.col("radius")))).alias("sigma"))
+    best = spread.where(F.col("sigma") <= sigma).agg(F.min(F.struct("radius", "sigma")).alias("best"))
+    return best.select("best.radius", "best.sigma")

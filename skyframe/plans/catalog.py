@@ -1085,6 +1085,50 @@ def xi_kaiser(spark, d):
     return r.select("r", rnd(m.xi_deriv(1, F.col("r"), F.lit(0.6)), 9).alias("xi"))
 
 
+_LM = {"00": "exp(-r / 9)", "02": "exp(-r / 7)", "11": "r * exp(-r / 5)", "20": "exp(-r / 4)", "22": "exp(-r / 3)", "31": "r * exp(-r / 6)", "42": "exp(-r / 2)"}
+_X = {k: f"({v})" for k, v in _LM.items()}
+_WIDE = f"""(1 + 2 * 0.5 / 3 + 2 * 0.25 / 15) * {_X['02']} + (-0.25 - 3 * 0.25 / 14) * {_X['22']} * (cos(2 * a) + cos(2 * b)) + 0.25 / 28 * {_X['42']} * (cos(2 * a) + cos(2 * b))
++ (0.25 / 15 * {_X['02']} - 0.25 / 21 * {_X['22']} + 19 * 0.25 / 140 * {_X['42']}) * cos(2 * a) * cos(2 * b)
++ ((5 + 1) * {_X['11']} - 0.25 * {_X['31']}) / 5 * (cos(b) / r1 + cos(a) / r2) + (8 * 0.25 * {_X['20']} - 4 * 0.25 * {_X['00']}) / (3 * r1 * r2) * cos(a) * cos(b)
++ (2 * 0.25 * {_X['11']} - 3 * 0.25 * {_X['31']}) / 5 * (cos(2 * a) * cos(b) / r1 + cos(a) * cos(2 * b) / r2)
++ (-0.25 / 15 * {_X['02']} + 0.25 / 21 * {_X['20']} + 4 * 0.25 / 35 * {_X['42']}) * sin(2 * a) * sin(2 * b) + 4 * 0.25 * ({_X['00']} + {_X['20']}) / (3 * r1 * r2) * sin(a) * sin(b)
+- 2 * 0.25 * ({_X['11']} + {_X['31']}) / 5 * (sin(2 * a) * sin(b) / r1 + sin(a) * sin(2 * b) / r2)"""
+
+
+@query(f"SELECT r, {q(_WIDE)} AS xi FROM (SELECT r, 30.0::DOUBLE AS r1, r2, acos((r * r + r2 * r2 - 900) / (2 * r * r2)) AS a, acos((r * r + 900 - r2 * r2) / (60 * r)) AS b FROM (SELECT DISTINCT l_quantity AS r, 30 + l_quantity / 3 AS r2 FROM lineitem))")
+def xi_wide_angle(spark, d):
+    from ..functions import models
+
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").alias("r")).distinct()
+    xi = {k: F.expr(v) for k, v in _LM.items()}
+    return rows.select("r", rnd(models.wide_angle(F.col("r"), 30.0, 30 + F.col("r") / 3, 0.5, xi)).alias("xi"))
+
+
+@query(f"SELECT r, {q(f'(({_WIDE.replace(chr(10), chr(32))}) - 0)')} AS xi FROM (SELECT 1.0::DOUBLE AS r, 30.0::DOUBLE AS r1, 30.0::DOUBLE AS r2, acos(1.0 / 60) AS a, acos(1.0 / 60) AS b)")
+def xi_wide_angle_level(spark, d):
+    """Two points at one distance."""
+    from ..functions import models
+
+    xi = {k: F.expr(v) for k, v in _LM.items()}
+    return spark.range(1).select(F.lit(1.0).alias("r")).select("r", rnd(models.wide_angle(F.col("r"), 30.0, 30.0, 0.5, xi)).alias("xi"))
+
+
+@query(f"SELECT {q('min(radius)')} AS radius FROM (SELECT radius, sqrt(sum(CASE WHEN i IN (0, 200) THEN 0.5 ELSE 1 END * 0.002 * k * k * p * 3e5 / (2 * pi() * pi()) * exp(-k * k * radius * radius))) AS sigma FROM {_PK}, (SELECT 0.01 * j AS radius FROM range(5001) t(j)) GROUP BY radius) WHERE sigma <= 0.2")
+def smoothing_scale(spark, d):
+    pk = pk_table(spark).withColumn("p", F.col("p") * 3e5)
+    return mock.smoothing_radius(pk, 0.2).select(rnd(F.col("radius")).alias("radius"))
+
+
+@query("SELECT g, (5.0::DOUBLE * sum(g * j) + 10) AS dot, CAST(g * 4 AS DOUBLE) AS top, CAST(min(j) * g AS DOUBLE) AS low, 0.5::DOUBLE AS mid FROM range(7) t(g), range(5) u(j) GROUP BY g")
+def array_algebra(spark, d):
+    """Element by element: (g j) * 5 + 2 summed; its extremes; the middle of steps from 0 to 1."""
+    from ..functions import arrays as ar
+
+    line = ar.scaled(ar.linspace(0.0, 4.0, 5), F.col("g").cast("double"))
+    five = ar.add(ar.times(line, ar.filled(5, 5.0)), 2.0)
+    return spark.range(7).select(F.col("id").alias("g")).select("g", ar.total(five).alias("dot"), F.array_max(line).alias("top"), F.array_min(line).alias("low"), F.get(F.get(ar.reshaped(ar.linspace(0.0, 1.0, 9), 3, 3), F.lit(1)), F.lit(1)).alias("mid"))
+
+
 @query(f"SELECT m, 1.0::DOUBLE AS total FROM range(2) t(m)")
 def window_rows_unity(spark, d):
     """Each row of the window matrix sums to 1, here for mixing by the root."""

@@ -332,3 +332,37 @@ def test_spherical_selection_over_cells(spark):
     sel = survey.Selection(radial=radial, mask=mask, nside=2)
     rows = sel.over(grid.cells(spark), 3, True).collect()
     assert len(rows) == 12 and all(r["nbar"] == pytest.approx(2 * r["veff"]) for r in rows)
+
+
+def test_wide_angle_limits(spark):
+    """Far away along the line of sight, it is the plane-parallel one; the derivative by growth is that of the value."""
+    names = ("00", "02", "11", "20", "22", "31", "42")
+    xi = {n: F.lit(0.1 * k + 0.3) for k, n in enumerate(names)}
+    at = lambda f, r1=1e7, r2=1e7 + 10, by=False: spark.range(1).select(models.wide_angle(10.0, r1, r2, f, xi, by)).first()[0]
+    f, x = 0.5, {n: 0.1 * k + 0.3 for k, n in enumerate(names)}
+    want = (1 + 2 * f / 3 + 2 * f * f / 15) * x["02"] + 2 * ((-f / 2 - 3 * f * f / 14) * x["22"] + f * f / 28 * x["42"]) + f * f / 15 * x["02"] - f * f / 21 * x["22"] + 19 * f * f / 140 * x["42"]
+    assert at(f) == pytest.approx(want, rel=1e-5)
+    assert at(f, 25.0, 30.0, True) == pytest.approx((at(f + 1e-5, 25.0, 30.0) - at(f - 1e-5, 25.0, 30.0)) / 2e-5, rel=1e-6)
+
+
+def test_smoothing(spark):
+    sigma = mock.sigma_for(0.01)
+    assert 0.5 * math.erfc(1 / (sigma * math.sqrt(2))) >= 0.01 > 0.5 * math.erfc(1 / ((sigma - 1e-4) * math.sqrt(2)))
+    pk = spark.range(401).select(F.col("id").alias("i"), (F.col("id") * 0.002).alias("k")).withColumn("p", 2e4 * F.exp(-10 * F.col("k")))
+    got = mock.smoothing_radius(pk, 0.3).first()
+    k = np.arange(401) * 0.002
+
+    def spread(r):
+        y = k * k * 2e4 * np.exp(-10 * k) * np.exp(-k * k * r * r) / (2 * np.pi**2)
+        return math.sqrt(((y[1:] + y[:-1]) / 2 * 0.002).sum())
+
+    assert got["sigma"] == pytest.approx(spread(got["radius"])) and spread(got["radius"]) <= 0.3 < spread(got["radius"] - 0.01)
+
+
+def test_images(spark):
+    """A map drawn as an image and read back keeps its values where pixels are large."""
+    sky = spark.range(48).select(F.col("id").alias("ipix"), (F.col("id") % 2).cast("double").alias("value"))
+    image = px.map_to_image(spark, sky, 60, 30, 2)
+    assert image.count() == 1800 and 0 < image.where("value is null").count() < 900
+    back = {r["ipix"]: r["value"] for r in px.image_to_map(image.where("value is not null"), 60, 30, 2).collect()}
+    assert len(back) == 48 and sum(abs(back[i] - i % 2) < 0.35 for i in back) >= 44
