@@ -316,8 +316,9 @@ def _packer(scheme: Scheme, n_buckets: int, hot: np.ndarray) -> Callable:
                 by.setdefault(home, ([], [], []))[0].append(s)
         for s in single.values():
             by.setdefault(int.from_bytes(s[0][12:], "little") % n_buckets, ([], [], []))[2].append(s)
-        for k in known:  # what is answered goes to the document's bucket, and is spread so
-            by.setdefault(home_of(k[0], n_buckets), ([], [], []))[1].append(k)
+        # what is answered goes to the document's bucket, and is spread so
+        for home, k in zip(homes_of(np.array([k[0][0] for k in known], np.int64), np.array([k[0][1] for k in known], np.int64), n_buckets).tolist(), known, strict=True):
+            by.setdefault(home, ([], [], []))[1].append(k)
         out = [(home, _pack(*rows)) for home, rows in by.items()]
         return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
 
@@ -328,8 +329,10 @@ def _packer(scheme: Scheme, n_buckets: int, hot: np.ndarray) -> Callable:
     return run
 
 
-def home_of(doc: Doc, n_buckets: int) -> int:
-    return ((doc[0] * 0x9E3779B97F4A7C15 + doc[1]) * 0xD6E8FEB86659FD93 >> 20 & 0x7FFFFFFF) % n_buckets
+def homes_of(doc: np.ndarray, tie: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Buckets of documents."""
+    h = (doc.astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15) + tie.astype(np.uint64)) * U64(0xD6E8FEB86659FD93)
+    return (h >> U64(20) & U64(0x7FFFFFFF)).astype(np.int64) % n_buckets
 
 
 #: Windows ordered at once.
@@ -337,7 +340,7 @@ SLAB = 150_000
 
 
 def _resolver(scheme: Scheme, n_buckets: int) -> Callable:
-    """Covered ranges of a bucket's packs, with the bucket of their document."""
+    """Covered ranges of a bucket's packs, packed by the bucket of their document."""
     w = scheme.window
 
     def of_bucket(packs: list[bytes]) -> list[np.ndarray]:
@@ -446,18 +449,28 @@ def _resolver(scheme: Scheme, n_buckets: int) -> Callable:
     def table(group: pa.Table) -> pa.Table:
         out = of_bucket(group.column("packed").to_pylist())
         rows = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-        home = [home_of((d, t), n_buckets) for d, t in rows[:, :2].tolist()]
-        return pa.table([pa.array(home, pa.int32()), *(pa.array(rows[:, k]) for k in range(4))], names=["bucket", "doc_key", "tie", "first", "last"])
+        home = homes_of(rows[:, 0], rows[:, 1], n_buckets)
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0], home))
+        home, rows = home[order], rows[order]
+        edge = np.flatnonzero(np.diff(home, prepend=-1))
+        z = zstandard.ZstdCompressor(level=3)
+        packs = [z.compress(np.ascontiguousarray(rows[p:q].T).tobytes()) for p, q in zip(edge.tolist(), np.append(edge, len(rows))[1:].tolist(), strict=True)]
+        return pa.table([pa.array(home[edge], pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "packed"])
 
     return table
 
 
+def _ranges(packed: bytes) -> np.ndarray:
+    """Rows of doc, tie, first, last."""
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.int64).reshape(4, -1).T
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_key(id_col).alias("doc_key"), tie_of(text_col).alias("tie"), F.col(text_col).cast("binary").alias("body"))
 
 
 def covered(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text", salt_col: str | None = None) -> tuple[DataFrame, int]:
-    """(bucket, doc_key, tie, first, last): units of documents, ends included, that lie in a repeated window; ranges may overlap.  And the number of buckets.
+    """(bucket, packed): units of documents, ends included, that lie in a repeated window, by the document's bucket; ranges (see `ranges`) may overlap.  And the number of buckets.
 
     A document is a row's id and text (tie: 32 bits of a hash of the text, the
     order of rows with one id); rows that repeat a document are that document.
@@ -474,7 +487,18 @@ def covered(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: s
     hot = [r[0] for r in told.where(F.col("own").isNotNull() & (F.col("n") >= max(HOT, windows >> SHARE))).select("own").collect()]  # at most 2 ** SHARE
     n = max(buckets(spark, 4), size // BUCKET)
     packed = rows.mapInArrow(_packer(scheme, n, np.sort(np.array(hot, np.int64).view(np.uint64))), PACKED)
-    return packed.groupBy("bucket").applyInArrow(_resolver(scheme, n), f"bucket int, {COVERED}"), n
+    return packed.groupBy("bucket").applyInArrow(_resolver(scheme, n), PACKED), n
+
+
+def ranges(found: DataFrame) -> DataFrame:
+    """(doc_key, tie, first, last) of what `covered` found, a row each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                rows = _ranges(packed)
+                yield pa.record_batch([pa.array(rows[:, k]) for k in range(4)], names=["doc_key", "tie", "first", "last"])
+
+    return found.select("packed").mapInArrow(run, COVERED)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -497,8 +521,9 @@ def _text_packer(n_buckets: int) -> Callable:
         rows = rows_of(batches, "doc_id", "doc_key", "tie", "body")
         for held in groups_of(rows, lambda r: len(r[3] or b"") + 32, FLUSH):
             by: dict[int, list[tuple]] = {}
-            for doc_id, key, tie, body in held:
-                by.setdefault(home_of((key, tie), n_buckets), []).append((key, tie, doc_id is None, body or b""))
+            homes = homes_of(np.array([r[1] for r in held], np.int64), np.array([r[2] for r in held], np.int64), n_buckets)
+            for home, (doc_id, key, tie, body) in zip(homes.tolist(), held, strict=True):
+                by.setdefault(home, []).append((key, tie, doc_id is None, body or b""))
             z = zstandard.ZstdCompressor(level=3)
             packs = [z.compress(b"".join([struct.pack("<I", len(r)), np.array([(k, t, null, len(b)) for k, t, null, b in r], _ROW).tobytes(), *(x[3] for x in r)])) for r in by.values()]
             yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "packed"])
@@ -516,8 +541,9 @@ def rebuild(docs: DataFrame, scheme: Scheme, make: Callable[[int | None, bytes,
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for d, t, a, b in zip(*(right.column(c).to_pylist() for c in ("doc_key", "tie", "first", "last")), strict=True):
-            spans.setdefault((d, t), []).append((a, b))
+        for packed in right.column("packed").to_pylist():
+            for d, t, a, b in _ranges(packed).tolist():
+                spans.setdefault((d, t), []).append((a, b))
         made: list[tuple] = []
         for packed in left.column("packed").to_pylist():
             raw = zstandard.ZstdDecompressor().decompress(packed)
