@@ -39,6 +39,14 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unspool(df: DataFrame, path: str | None = None) -> None:
+    """Delete what spool wrote, where nothing reads it any more."""
+    path = path or df.inputFiles()[0].rsplit("/", 1)[0]
+    jvm = df.sparkSession._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def buckets(spark: SparkSession, per_partition: int = 4) -> int:
     """Groups to deal keys into: a multiple of the shuffle partitions, which grow with the input."""
     return per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))

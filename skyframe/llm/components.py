@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spool
+from .common import spool, unspool
 
 
 def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
@@ -31,7 +31,9 @@ def connected_components(edges: DataFrame, name: str = "links") -> DataFrame:
         large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(*pair(F.col("v"), F.col("m")))
-        now = spool(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        last, now = now, spool(small.union(low.select("u", F.col("m").alias("v"))).distinct(), name)
+        if last is not start and last.inputFiles():
+            unspool(last)
         new = mark(now)
         if new == old:
             break

@@ -3,7 +3,9 @@
 Two fingerprints that differ in at most d bits, cut into s > d / 2 segments,
 have a segment that differs in at most one bit.  Each segment is indexed once
 for each of its bits, with that bit made a wildcard: fingerprints that share
-such a variant meet by equality, and only they are compared.
+such a variant meet by equality, and only they are compared.  A variant that
+many fingerprints have is cut again: of d + 1 pieces of two of them one is
+equal, so they meet by the variant and a piece.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, doc_key, rows_of, spool
+from .common import buckets, doc_key, mix, rows_of, spool
 from .components import connected_components
 
 WORDS, BITS = 4, 4
@@ -112,8 +114,33 @@ def linked(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return forest.links
 
 
-def _variants(bits: int, n_buckets: int):
-    cuts = segments(bits)
+#: A variant is cut again from DIRECT fingerprints, and from this share of all variants (as a shift).
+SHARE = 20
+
+
+def _keys(fp: np.ndarray, bits: int) -> np.ndarray:
+    """Every variant of every fingerprint: (variant, fingerprint)."""
+    keys = []
+    for k, (a, w) in enumerate(segments(bits)):
+        seg = (fp >> np.uint64(a)) & np.uint64((1 << w) - 1)
+        keys += [((seg & ~np.uint64(1 << b)) << np.uint64(12)) | np.uint64(k << 6 | b) for b in range(w)]
+    return np.stack(keys)
+
+
+def _shared(bits: int):
+    """(key, n): variants that two fingerprints of a batch share, and how many do."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            key, n = np.unique(_keys(fp, bits), return_counts=True) if len(fp) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.record_batch([pa.array(key[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
+
+    return run
+
+
+def _variants(bits: int, n_buckets: int, crowded: np.ndarray):
+    """crowded: the variants that are cut again, sorted."""
+    cuts = [64 * k // (bits + 1) for k in range(bits + 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,17 +148,20 @@ def _variants(bits: int, n_buckets: int):
                 part = batch.slice(at, 4096)
                 fp = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 rep = part.column(1).to_numpy(zero_copy_only=False)
-                keys = []
-                for k, (a, w) in enumerate(cuts):
-                    seg = (fp >> np.uint64(a)) & np.uint64((1 << w) - 1)
-                    keys += [((seg & ~np.uint64(1 << b)) << np.uint64(12)) | np.uint64(k << 6 | b) for b in range(w)]
-                key = np.concatenate(keys).view(np.int64)
+                key = _keys(fp, bits).ravel()
+                who = np.tile(np.arange(len(fp)), len(key) // max(1, len(fp)))
+                again = np.isin(key, crowded) if len(crowded) else np.zeros(len(key), bool)
+                if again.any():
+                    pieces = [(fp[who[again]] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+                    more = [mix((p + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ mix(key[again] ^ np.uint64((k + 1) << 58))) for k, p in enumerate(pieces)]
+                    who = np.concatenate([who[~again], *[who[again]] * len(pieces)])
+                    key = np.concatenate([key[~again], *more])
+                key = key.view(np.int64)
                 home = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_buckets)
                 # one row for each bucket: a variant of 64-bit values costs no more than its bytes
                 order = np.argsort(home, kind="stable")
                 edge = np.flatnonzero(np.diff(home[order].astype(np.int64), prepend=-1))
-                who = order % len(fp)
-                rows = [(int(home[order[p]]), key[order[p:q]].tobytes(), fp[who[p:q]].tobytes(), rep[who[p:q]].tobytes()) for p, q in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True)]
+                rows = [(int(home[o[0]]), key[o].tobytes(), fp[who[o]].tobytes(), rep[who[o]].tobytes()) for o in (order[p:q] for p, q in zip(edge.tolist(), np.append(edge, len(order))[1:].tolist(), strict=True))]
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "keys", "fps", "reps"])
 
     return run
@@ -164,8 +194,12 @@ def _linker(bits: int):
 
 def link(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(u, v): links between the reps of distinct fingerprints (fp long, rep long) that join all within `bits` bits."""
-    n = buckets(distinct.sparkSession, 2)
-    rows = distinct.select("fp", "rep").mapInArrow(_variants(bits, n), "bucket int, keys binary, fps binary, reps binary")
+    total = distinct.count()
+    n = max(buckets(distinct.sparkSession, 2), total * 64 * 24 >> 25)
+    counted = distinct.select("fp").mapInArrow(_shared(bits), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    crowded = counted.where(F.col("n") >= max(DIRECT, total * 64 >> SHARE)).select("key").collect()  # at most 2 ** SHARE
+    crowds = np.sort(np.array([r[0] for r in crowded], np.int64).view(np.uint64))
+    rows = distinct.select("fp", "rep").mapInArrow(_variants(bits, n, crowds), "bucket int, keys binary, fps binary, reps binary")
     return rows.groupBy("bucket").applyInArrow(_linker(bits), "u long, v long")
 
 
@@ -179,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, bits: int = BITS, id_co
     Other columns are ignored.  An empty table gives an empty one.
     """
     marked = spool(fingerprints(docs, words, id_col, text_col), "simhash")
-    distinct = marked.groupBy("fp").agg(F.min("doc_key").alias("rep"))
+    distinct = spool(marked.groupBy("fp").agg(F.min("doc_key").alias("rep")), "simhash-distinct")
     roots = connected_components(link(distinct, bits), "simhash-links")
     named = distinct.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"))
     out = marked.join(named, "fp")

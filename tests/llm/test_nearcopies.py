@@ -33,6 +33,25 @@ def groups_of(sets):
     return {i: find(i) for i in sets}
 
 
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """The smallest index that pairs of a Jaccard similarity of 0.8 reach, for each set."""
+    size = np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(names), bool)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        mark[flat[start[i] : start[i + 1]]] = True
+        if len(rest) * 4 > len(sets):
+            common = np.add.reduceat(mark[flat], start[:-1], dtype=np.int64)[rest]
+        else:
+            common = np.array([np.count_nonzero(mark[flat[start[j] : start[j + 1]]]) for j in rest.tolist()], np.int64)
+        mark[flat[start[i] : start[i + 1]]] = False
+        return 5 * common >= 4 * (size[i] + size[rest] - common)
+
+    return nearcopies.forest(len(sets), near)[1]
+
+
 def planted(seed):
     rng = random.Random(seed)
     word = lambda: f"w{rng.randrange(3000)}"
@@ -65,15 +84,53 @@ def test_stage_on_documents(spark, sf):
     if want is None:
         texts = {r["doc_id"]: r["text"] for r in df.collect()}
         ids = sorted(texts)
-        comp = nearcopies.similar([nearcopies.shingles(texts[i].encode()) for i in ids])
+        comp = similar([nearcopies.shingles(texts[i].encode()) for i in ids])
         want = {i: ids[c] for i, c in zip(ids, comp, strict=True)}
     assert got == set(want.values())
 
 
+def chained(seed):
+    """Groups of many near copies, chains of texts that are similar to the next one only, and look-alikes just below the threshold."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(5000)}"
+    texts = []
+    for size, many, change in ((200, 60, 3), (120, 25, 5), (300, 30, 9)):
+        base = [word() for _ in range(size)]
+        for _ in range(many):
+            w = list(base)
+            for k in rng.sample(range(size), rng.randrange(change + 1)):
+                w[k] = word()
+            texts.append(" ".join(w))
+    chain = [word() for _ in range(160)]
+    for _ in range(30):
+        texts.append(" ".join(chain))
+        at = rng.randrange(0, 150)
+        chain[at : at + 6] = [word() for _ in range(6)]
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize(("seed", "part"), [(1, 8192), (2, 10), (3, 4)])
+def test_crowded_bands_and_chains(spark, seed, part, monkeypatch):
+    """Bands dealt to parts lose no link."""
+    monkeypatch.setattr(nearcopies, "PART_SIZE", part)
+    monkeypatch.setattr(nearcopies, "SHARE", 30)
+    docs = chained(seed)
+    sets = {i: grams(t) for i, t in docs.items()}
+    want = groups_of(sets)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(2)
+    got = {}
+    for r in nearcopies.near_copies(df).collect():
+        got.setdefault(r["root"], set()).add(r["doc_key"])
+    groups = {}
+    for i, g in want.items():
+        groups.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
+
+
 def test_similar_is_exact_at_the_threshold():
     base = np.arange(100, dtype=np.uint64)
-    assert nearcopies.similar([base, base[:80], base[:79], base[21:]]).tolist() == [0, 0, 0, 3]
-    assert nearcopies.similar([base, base[:79], base[21:]]).tolist() == [0, 1, 2]
+    assert similar([base, base[:80], base[:79], base[21:]]).tolist() == [0, 0, 0, 3]
+    assert similar([base, base[:79], base[21:]]).tolist() == [0, 1, 2]
 
 
 def test_run_on_documents(spark):

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from skyframe.llm import simhash
@@ -53,7 +54,10 @@ def test_against_all_pairs(spark):
     assert len(set(want.values())) < len(set(fps.values()))
 
 
-def test_links_of_planted_fingerprints(spark):
+@pytest.mark.parametrize("direct", [1024, 3])
+def test_links_of_planted_fingerprints(spark, direct, monkeypatch):
+    """Also where every variant of more than three is cut again."""
+    monkeypatch.setattr(simhash, "DIRECT", direct)
     rng = random.Random(5)
     fps = {}
     for c in range(6):
