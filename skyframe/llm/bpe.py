@@ -310,7 +310,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def coded(c: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for doc_id, body in rows_of(batches, "doc_id", "body"):
+        for doc_id, body in rows_of(batches, "doc_id", "body", keep=True):
             ids = c.encode((body or b"").decode("utf-8", "replace"))
             sha, stream, texts = hashlib.sha256(), Utf8Stream(), []
             for at in range(0, len(ids), 1 << 18):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -92,8 +96,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, up, up.lower()))
 
 
-def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of Python values, a bounded slice at a time."""
+def release() -> None:
+    """Free the token tables that a reused worker process still holds, for operators that do not need them."""
+    bpe = sys.modules.get(f"{__package__}.bpe")
+    if bpe is not None and bpe.codec.cache_info().currsize:
+        bpe.codec.cache_clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # give freed memory back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str, keep: bool = False) -> Iterator[tuple]:
+    """Rows of Arrow batches as tuples of Python values, a bounded slice at a time.  keep: the worker's token tables stay."""
+    if not keep:
+        release()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
