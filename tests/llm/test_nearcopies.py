@@ -114,6 +114,7 @@ def test_crowded_bands_and_chains(spark, seed, part, monkeypatch):
     """Bands dealt to parts lose no link."""
     monkeypatch.setattr(nearcopies, "PART_SIZE", part)
     monkeypatch.setattr(nearcopies, "SHARE", 30)
+    monkeypatch.setattr(nearcopies, "BLOCK_SIZE", part)
     docs = chained(seed)
     sets = {i: grams(t) for i, t in docs.items()}
     want = groups_of(sets)
