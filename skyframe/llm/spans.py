@@ -29,7 +29,7 @@ from .common import U64, buckets, byte_hashes, doc_key, fold, groups_of, mix, ro
 
 TOP = U64(0xFFFFFFFFFFFFFFFF)
 #: Bytes of text hashed at once; bytes of text whose strings are packed together; windows in a string.
-CHUNK, FLUSH, RUN = 1 << 20, 16 << 20, 4096
+CHUNK, FLUSH, RUN = 1 << 20, 10 << 20, 4096
 #: Bytes of text whose strings make one bucket, about.
 BUCKET = 8 << 20
 #: An owner is hot with this many windows, and this share of all of them (as a shift): so at most 2 ** 20 owners are hot.
@@ -336,7 +336,7 @@ def homes_of(doc: np.ndarray, tie: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 #: Windows ordered at once.
-SLAB = 150_000
+SLAB = 80_000
 
 
 def _resolver(scheme: Scheme, n_buckets: int) -> Callable:
