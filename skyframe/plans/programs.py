@@ -1,6 +1,6 @@
 """The steps of the estimate and of mocks as programs: a configuration in, files out.
 
-basis, klt, comma, dot and estimate each read what those before wrote (record
+make_cells, find_modes, derive, measure and estimate each read what those before wrote (record
 blocks); run_all is all five.  Matrices stay in the tasks: only what a file
 holds is brought together, and that block by block.
 """
@@ -22,7 +22,7 @@ from . import survey
 from .estimator import derivatives, from_derivatives
 
 
-def basis(spark: SparkSession, config: dict[str, str]) -> DataFrame:
+def make_cells(spark: SparkSession, config: dict[str, str]) -> DataFrame:
     """Cells of the survey's grid with galaxies expected in them, to cellfile."""
     cf.require(config, "cellfile")
     s = survey.make(spark, config)
@@ -36,7 +36,7 @@ def _cells(spark: SparkSession, config: dict[str, str]) -> tuple[DataFrame, bool
     return cells, survey.make(spark, config).spherical
 
 
-def klt(spark: SparkSession, config: dict[str, str]) -> None:
+def find_modes(spark: SparkSession, config: dict[str, str]) -> None:
     """The Nmodes largest modes of the signal matrix, to modefile and evalfile; solver: dense or krylov, by default by size."""
     cf.require(config, "cellfile", "Nmodes", "modefile", "evalfile")
     cells, spherical = _cells(spark, config)
@@ -53,7 +53,7 @@ def klt(spark: SparkSession, config: dict[str, str]) -> None:
     loaders.write_series(config["evalfile"], evals, "lambda", Nmodes=k)
 
 
-def comma(spark: SparkSession, config: dict[str, str]) -> None:
+def derive(spark: SparkSession, config: dict[str, str]) -> None:
     """Derivatives of the modes' covariance by each parameter, packed, to covfile."""
     cf.require(config, "cellfile", "modefile", "covfile")
     cells, spherical = _cells(spark, config)
@@ -67,7 +67,7 @@ def comma(spark: SparkSession, config: dict[str, str]) -> None:
     shifted.unpersist()
 
 
-def dot(spark: SparkSession, config: dict[str, str]) -> None:
+def measure(spark: SparkSession, config: dict[str, str]) -> None:
     """Amplitudes of the modes in the survey's galaxies, to pixfile."""
     cf.require(config, "cellfile", "modefile", "pixfile")
     s = survey.make(spark, config)
@@ -97,10 +97,10 @@ def estimate(spark: SparkSession, config: dict[str, str]) -> dict[str, DataFrame
 
 def run_all(spark: SparkSession, config: dict[str, str]) -> dict[str, DataFrame]:
     """A configuration to band powers: (i, v) or (i, j, v) of each result."""
-    basis(spark, config)
-    klt(spark, config)
-    comma(spark, config)
-    dot(spark, config)
+    make_cells(spark, config)
+    find_modes(spark, config)
+    derive(spark, config)
+    measure(spark, config)
     return estimate(spark, config)
 
 
@@ -115,7 +115,7 @@ def _spectrum(spark: SparkSession, config: dict[str, str]):
     return lambda k: F.aggregate(steps, F.lit(0.0), lambda s, r: F.when((k >= r["lo"]) & (k < r["hi"]), r["a"] + (k - r["lo"]) * r["b"]).otherwise(s))
 
 
-def gmock(spark: SparkSession, config: dict[str, str]) -> tuple[DataFrame, DataFrame | None]:
+def mock_catalogue(spark: SparkSession, config: dict[str, str]) -> tuple[DataFrame, DataFrame | None]:
     """(points, spectrum): a mock catalogue (id, x, y, z, vx, vy, vz) of a Gaussian field, and with kmax its measured power in `bins` bins.
 
     Keys: N nodes an axis, L side, nbar, seed, and b (bias), f (growth), R (smoothing), pkfile.
@@ -132,10 +132,10 @@ def gmock(spark: SparkSession, config: dict[str, str]) -> tuple[DataFrame, DataF
     return points, power(fft(delta, n), n, size, int(config.get("bins", 10)), float(config["kmax"]), 1 / float(config["nbar"]))
 
 
-def gcorr(spark: SparkSession, config: dict[str, str]) -> tuple[DataFrame, int, bool]:
+def mock_correlation(spark: SparkSession, config: dict[str, str]) -> tuple[DataFrame, int, bool]:
     """(i1, xi0, xi2, xi4), samplings and whether they agreed: the correlation of mocks of one field, by new points until five samplings in a row agree.
 
-    Keys: as gmock, and smin, smax, nsbins, nmubins, maxsamp, epsrel and epsabs.
+    Keys: as mock_catalogue, and smin, smax, nsbins, nmubins, maxsamp, epsrel and epsabs.
     """
     cf.require(config, "N", "L", "nbar", "smax")
     n, size, seed = int(config["N"]), float(config["L"]), int(config.get("seed", 1))
@@ -147,7 +147,7 @@ def gcorr(spark: SparkSession, config: dict[str, str]) -> tuple[DataFrame, int,
     return pairs.converge(draw, int(config.get("nmubins", 64)), float(config.get("smin", 3.0)), float(config["smax"]), int(config.get("nsbins", 39)), dict.fromkeys((0, 2, 4), eps), size, most=int(config.get("maxsamp", 1000)))
 
 
-def realmock(spark: SparkSession, config: dict[str, str]) -> DataFrame:
+def mock_survey(spark: SparkSession, config: dict[str, str]) -> DataFrame:
     """(id, r, mu, phi) of a mock survey from galfile, maskfile and radial; Ngals are wanted."""
     cf.require(config, "galfile", "maskfile", "radial", "L", "Ngals")
     points = loaders.read_galaxies(spark, config["galfile"]).select("id", *(F.col(c).cast("double").alias(c) for c in "xyz"))

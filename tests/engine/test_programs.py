@@ -102,17 +102,17 @@ def test_redshift_space_estimate(spark, box):
 
 def test_krylov_step_equals_dense(spark, box, tmp_path):
     cfg = box | {"model": "test", "A": "0.4", "b": "0.01", "Nmodes": "5"}
-    programs.basis(spark, cfg)
+    programs.make_cells(spark, cfg)
     out = []
     for solver in ("dense", "krylov"):
         c = cfg | {"solver": solver, "modefile": str(tmp_path / f"m{solver}"), "evalfile": str(tmp_path / f"e{solver}")}
-        programs.klt(spark, c)
+        programs.find_modes(spark, c)
         out.append([r["lambda"] for r in loaders.read_series(spark, c["evalfile"], "lambda", Nmodes=5).orderBy("i").collect()])
     assert np.allclose(*out, rtol=1e-4)
     with pytest.raises(KeyError):
-        programs.klt(spark, cfg | {"solver": "none"})
+        programs.find_modes(spark, cfg | {"solver": "none"})
     with pytest.raises(ValueError, match="modes"):
-        programs.klt(spark, cfg | {"Nmodes": "50"})
+        programs.find_modes(spark, cfg | {"Nmodes": "50"})
 
 
 def test_surveys_check_their_configuration(spark, tmp_path):
@@ -227,11 +227,11 @@ def test_correlation_until_it_holds(spark):
 
 
 def test_mocks(spark, tmp_path):
-    points, pk = programs.gmock(spark, config.parse("N = 8\nL = 100\nnbar = 0.003\nseed = 3\nR = 5\nf = 0.5\nkmax = 0.25\nbins = 3\nA = 2e4"))
+    points, pk = programs.mock_catalogue(spark, config.parse("N = 8\nL = 100\nnbar = 0.003\nseed = 3\nR = 5\nf = 0.5\nkmax = 0.25\nbins = 3\nA = 2e4"))
     rows = points.collect()
     assert abs(len(rows) - 3000) < 1200 and len({r["id"] for r in rows}) == len(rows) and all(0 <= r[c] <= 100 for r in rows for c in "xyz") and any(r["vx"] for r in rows)
     assert pk.count() == 3
-    xi, many, _ = programs.gcorr(spark, config.parse("N = 4\nL = 50\nnbar = 0.004\nsmin = 1\nsmax = 12\nnsbins = 2\nnmubins = 2\nmaxsamp = 2\nA = 2e4\nR = 5"))
+    xi, many, _ = programs.mock_correlation(spark, config.parse("N = 4\nL = 50\nnbar = 0.004\nsmin = 1\nsmax = 12\nnsbins = 2\nnmubins = 2\nmaxsamp = 2\nA = 2e4\nR = 5"))
     assert many == 2 and xi.count() == 2
     full = spark.range(20_000).select("id", *((sp.uniform(9, F.col("id"), F.lit(k)) * 200).alias("xyz"[k]) for k in range(3)))
     blocks.write_blocks(str(tmp_path / "g"), [(full.select(F.col("id").alias("pos"), "x", "y", "z", F.lit(1.0).alias("w")), "4f", {})])
@@ -239,10 +239,10 @@ def test_mocks(spark, tmp_path):
     tables.write_map(str(tmp_path / "mask"), mask, "NESTED")
     (tmp_path / "radial").write_text("20 0\n40 1\n80 1\n90 0\n95 0\n")
     cfg = {"galfile": str(tmp_path / "g"), "maskfile": str(tmp_path / "mask"), "radial": str(tmp_path / "radial"), "L": "200", "Ngals": "800", "origin": "100 100 100"}
-    got = programs.realmock(spark, cfg).withColumn("p", px.nest_pixel(2, F.col("mu"), F.col("phi"))).collect()
+    got = programs.mock_survey(spark, cfg).withColumn("p", px.nest_pixel(2, F.col("mu"), F.col("phi"))).collect()
     assert abs(len(got) - 800) < 150 and all(mask[r["p"]] and 20 < r["r"] < 90 for r in got)
     with pytest.raises(ValueError, match="too few"):
-        programs.realmock(spark, cfg | {"Ngals": "100000"})
+        programs.mock_survey(spark, cfg | {"Ngals": "100000"})
 
 
 def test_exact_draws(spark):
