@@ -122,3 +122,16 @@ def drop_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = 20, i
 
     out = rebuild(docs, Scheme("byte", length, min(gram, length), order=prefix_free_order), make, OUT, DDL, id_col, text_col)
     return out if keep_text else out.drop("kept")
+
+
+#: The same over the table documents, whose ids are distinct, for DuckDB (strings of 100 bytes compared by 128 bits).
+SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, i, md5(array_slice(b, i, i + 99)) AS win FROM (SELECT doc_id, b, unnest(range(1, greatest(octet_length(b) - 99, 0) + 1)) AS i FROM t)),
+r AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+s AS (SELECT doc_id, i, coalesce(i - lag(i) OVER d > 100, true) AS new FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s) GROUP BY doc_id, k),
+f AS (SELECT doc_id, a, z, lag(z, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS after FROM e),
+k AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS upto, string_agg(hex(array_slice(b, after, a - 1)), '' ORDER BY a) AS kept FROM f JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || hex(array_slice(b, coalesce(upto, 1), octet_length(b))))) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""

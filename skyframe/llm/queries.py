@@ -79,6 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, quality
+    from . import bytespans, decontam, quality, wordspans
 
-    return {"op1_quality_rules": quality.sql(), "op3_decontamination": decontam.SQL}
+    return {"op1_quality_rules": quality.sql(), "op3_decontamination": decontam.SQL, "op4_suffix_array": bytespans.SQL, "op8_substrings": wordspans.SQL}

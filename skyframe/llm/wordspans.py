@@ -42,3 +42,15 @@ def drop_repeated_words(docs: DataFrame, window: int = WINDOW, minimiser: int =
 
     out = rebuild(docs, Scheme("word", window, min(minimiser, window)), make, OUT, DDL, id_col, text_col)
     return out if keep_text else out.drop("kept")
+
+
+#: The same over the table documents, whose ids are distinct, for DuckDB.
+SQL = r"""
+WITH t AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM t),
+g AS (SELECT doc_id, i, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM u),
+r AS (SELECT doc_id, i FROM g WHERE i + 19 <= n QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r),
+k AS (SELECT u.doc_id, count(c.i) AS n_removed, string_agg(x, ' ' ORDER BY u.i) FILTER (c.i IS NULL) AS kept FROM u LEFT JOIN c USING (doc_id, i) GROUP BY u.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)
+"""
