@@ -173,16 +173,31 @@ class Transducer:
             return [whole]
         if self.grown > KEEP_STEPS:
             self._clear()
+        if not piece:
+            return []
         out: list[int] = []
         path: list[tuple[dict, int, int]] = []  # transitions after what has left
-        state = self.root
-        for byte in piece:
+        state, last = self.root, piece[-1]
+        for byte in piece[:-1]:
             step = state.get(byte) or self._grow(state, byte)
             state = step[0]
             path.append(step)
             if len(path) >= DRAIN:
                 out += self._drain(state, path)
-        return out + self._back(path, len(path))
+        step = state.get(last)
+        token = step[1] if step else self._last(state, last)
+        out += self._back(path, len(path) + 1 - len(self.tokens[token]))
+        out.append(token)
+        return out
+
+    def _last(self, state: dict, byte: int) -> int:
+        """The token that ends with the last byte of a piece: no state is built behind it, as few pieces go on from there."""
+        trie, ends = self.trie, self.ends
+        for node, last in state[LIVE]:
+            to = trie.get(node << 8 | byte)
+            if to is not None and ends[to] != NONE and self._may_follow(last, ends[to]):
+                return ends[to]
+        raise ValueError("no token ends here")
 
     @staticmethod
     def _back(path: list[tuple[dict, int, int]], at: int) -> list[int]:
