@@ -71,8 +71,7 @@ def from_derivatives(evals: DataFrame, derivs: DataFrame, y: DataFrame, prior: l
     """Band powers from eigenvalues, packed derivatives, amplitudes (i, y) and the parameters that the signal was made with."""
     spark, p = evals.sparkSession, len(prior)
     params = spark.createDataFrame(list(enumerate(prior)), "m long, p double")
-    rest = mx.residual(evals, derivs, params) if bias == "residual" else evals.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
-    f = mx.small(mx.fisher(derivs, evals), p, "m", "n", "f")
-    q = mx.small(mx.quadratic(derivs, evals, y), p, "m", "q")
-    b = mx.small(mx.bias(derivs, evals, rest), p, "m", "b")
+    f, q, b = mx.parameters(derivs, evals, y, params, p)
+    if bias != "residual":
+        b = mx.small(mx.bias(derivs, evals, evals.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))), p, "m", "b")
     return mx.estimate(f, q, b, kind)
