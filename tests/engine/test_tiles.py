@@ -8,7 +8,8 @@ from skyframe.operators import matrices as mx
 from skyframe.plans.catalog import QUERIES
 from tests.conftest import SF
 
-SUMS = ["fisher", "bias_term", "quad_estimator"]
+SUMS = ["fisher"]
+PASSES: list[str] = ["mixing_identity_estimate"]
 ENTRIES = ["matmul", "project_btsb"]
 
 
@@ -32,6 +33,15 @@ def test_nothing_of_the_size_of_the_product_is_shuffled(spark, name):
     assert "FlatMapGroupsInArrow" not in plan and "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("name", PASSES)
+def test_one_pass_for_all_sums(spark, name, monkeypatch):
+    """Before, the Fisher matrix, the quadratic estimates and the bias were three queries, each with its own product."""
+    calls, sums = [], mx._sums
+    monkeypatch.setattr(mx, "_sums", lambda *a, **b: calls.append(b) or sums(*a, **b))
+    QUERIES[name](spark, SF).collect()
+    assert len(calls) == 1 and set(calls[0]) == {"fisher", "y", "params"}
+
+
 @pytest.mark.parametrize("size", [3, 4, 100])
 def test_products_with_holes(spark, size):
     rng = np.random.default_rng(1)
