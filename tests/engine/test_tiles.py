@@ -9,7 +9,7 @@ from skyframe.plans.catalog import QUERIES
 from tests.conftest import SF
 
 SUMS = ["fisher"]
-PASSES: list[str] = ["param_cov_2x2", "mixing_inverse_2x2", "mixing_identity_estimate"]
+PASSES: list[str] = ["window_rows_unity", "param_cov_2x2", "mixing_inverse_2x2", "mixing_identity_estimate"]
 ENTRIES = ["matmul", "project_btsb"]
 
 
