@@ -8,7 +8,7 @@ from skyframe.operators import matrices as mx
 from skyframe.plans.catalog import QUERIES
 from tests.conftest import SF
 
-SUMS = ["bias_term", "fisher"]
+SUMS = ["quad_estimator", "bias_term", "fisher"]
 PASSES: list[str] = ["window_rows_unity", "param_cov_2x2", "mixing_inverse_2x2", "mixing_identity_estimate"]
 ENTRIES = ["matmul", "project_btsb"]
 
