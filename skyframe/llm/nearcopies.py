@@ -1,9 +1,10 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-MinHash bands bring texts together and their signatures drop what is far from
-similar; what is left is compared by the shingles themselves, pair by pair.  A
-pair at the threshold of 0.8 is missed by all bands with probability
-(1 - 0.8**4)**24 = 3e-6.
+Links come from the fingerprints of op2 (simhash.py) and, for pairs at the
+threshold, whose fingerprints differ in more bits, from MinHash bands too.  The
+latter's signatures drop what is far from similar; what is left of both is
+compared by the shingles themselves, pair by pair.  A pair at the threshold of 0.8 is missed by all bands with
+probability (1 - 0.8**4)**24 = 3e-6.
 
 No task holds a group of copies.  First the members of a band are paired with
 its most central one (as far as they look alike), and these pairs are compared.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, buckets, doc_key, fold, mix, rows_of, slice_hashes, small, spool, word_spans
 from .components import connected_components
+from .simhash import fingerprint, link
 
 WORDS = 5
 #: Similar: 5 * common >= 4 * all, that is a Jaccard similarity of 0.8 at least.
@@ -61,12 +63,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_key", "node", "keys", "sig"])
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["doc_key", "node", "keys", "sig", "fp"])
 
     for key, at, body in rows_of(batches, "doc_key", "node", "body"):
         low = minima(shingles(body))
         keys = mix((mix(low.reshape(BANDS, ROWS).copy()) * _JOIN).sum(axis=1, dtype=np.uint64))
-        held.append((key, at, keys.tobytes(), (mix(low) >> U64(56)).astype(np.uint8).tobytes()))
+        held.append((key, at, keys.tobytes(), (mix(low) >> U64(56)).astype(np.uint8).tobytes(), int(np.uint64(fingerprint(body)).view(np.int64))))
         if len(held) == 8192:
             yield batch()
             held = []
@@ -269,6 +271,13 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
+def fingerprint_links(distinct: DataFrame) -> DataFrame:
+    """(u, v): links of op2 between texts (node, fp): those with one fingerprint and the smallest of them, and these within BITS differing bits."""
+    prints = spool(distinct.groupBy("fp").agg(F.min("node").alias("rep")), "nearcopies-prints")
+    same = distinct.join(prints, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    return same.union(link(prints)).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, doc_key, n, root) of every distinct pair of a text and a doc_key: n rows of docs have it.
 
@@ -278,9 +287,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     rows = docs.select(doc_key(id_col).alias("doc_key"), node(text_col).alias("node"), F.col(text_col).cast("binary").alias("body"))
-    marked = spool(rows.mapInArrow(_signed, "doc_key long, node long, keys binary, sig binary"), "nearcopies")
+    marked = spool(rows.mapInArrow(_signed, "doc_key long, node long, keys binary, sig binary, fp long"), "nearcopies")
     # equal texts have equal signatures
-    distinct = spool(marked.groupBy("node").agg(F.min("doc_key").alias("doc_key"), F.min("keys").alias("keys"), F.min("sig").alias("sig")), "nearcopies-distinct")
+    distinct = spool(marked.groupBy("node").agg(F.min("doc_key").alias("doc_key"), F.min("keys").alias("keys"), F.min("sig").alias("sig"), F.min("fp").alias("fp")), "nearcopies-distinct")
     total = distinct.count()
     n = max(buckets(spark, 2), total * BANDS * 112 >> 25)
     counted = distinct.mapInArrow(_shared, "key long, n long, mid long, score double").groupBy("key").agg(F.sum("n").alias("n"), F.max_by("mid", "score").alias("mid"))
@@ -290,9 +299,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     candidates = links.union(distinct.select("node", "keys").mapInArrow(_crowding(crowds), "u long, v long")) if len(crowds.keys) else links
     groups = connected_components(candidates, "nearcopies-links").select("node", F.col("root").alias("croot"))
     members = spool(distinct.select("node", "doc_key").join(groups, "node"), "nearcopies-members")
-    texts = spool(rows.join(small(members.select("node", "doc_key")), ["node", "doc_key"]).select("node", "body"), "nearcopies-texts")
+    printed = spool(fingerprint_links(distinct), "nearcopies-simhash")
+    ends = printed.select(F.col("u").alias("node")).union(printed.select("v")).distinct()
+    wanted = spool(members.select("node", "doc_key").union(distinct.select("node", "doc_key").join(ends, "node")).distinct(), "nearcopies-wanted")
+    texts = spool(rows.join(small(wanted), ["node", "doc_key"]).select("node", "body"), "nearcopies-texts")
 
-    both = links.join(texts.select(F.col("node").alias("v"), F.col("body").alias("other")), "v")
+    both = links.union(printed).distinct().join(texts.select(F.col("node").alias("v"), F.col("body").alias("other")), "v")
     both = both.join(texts.select(F.col("node").alias("u"), "body"), "u").sortWithinPartitions("u")
     alike = spool(both.mapInArrow(_alike, "u long, v long").distinct(), "nearcopies-alike")
     roots = spool(connected_components(alike, "nearcopies-parts"), "nearcopies-roots")

@@ -156,3 +156,17 @@ def test_rows_with_null_or_shared_ids(spark):
     one = [t for i, t in got if i is None and t in (b, near(b))]
     assert len(one) == 1
     assert sorted(got, key=str) == sorted([(None, a), (None, one[0]), (None, c), (6, d), (6, e), (2, near(f))], key=str)
+
+
+def test_fingerprints_alone_link_near_copies(spark, monkeypatch):
+    """The method of op2 is part of the stage: with no link by bands, texts whose fingerprints are near are still found, and checked exactly."""
+    import pyarrow as pa
+
+    from skyframe.llm.simhash import BITS, fingerprint
+
+    words = [f"w{k * k % 997}x{k}" for k in range(3000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{k}y{k % 7}" for k in range(3000))]
+    assert (fingerprint(texts[0].encode()) ^ fingerprint(texts[1].encode())).bit_count() <= BITS
+    monkeypatch.setattr(nearcopies, "_linker", lambda group: pa.table([pa.array([], pa.int64())] * 2, names=["u", "v"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [0, 2]
