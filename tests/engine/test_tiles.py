@@ -9,8 +9,8 @@ from skyframe.plans.catalog import QUERIES
 from tests.conftest import SF
 
 SUMS = ["quad_estimator", "bias_term", "fisher"]
-PASSES: list[str] = ["window_rows_unity", "param_cov_2x2", "mixing_inverse_2x2", "mixing_identity_estimate"]
-ENTRIES: list[str] = ["matmul"]
+PASSES = ["window_rows_unity", "param_cov_2x2", "mixing_inverse_2x2", "mixing_identity_estimate"]
+ENTRIES = ["matmul", "project_btsb"]
 
 
 def table(spark, a, keep=None):
@@ -33,6 +33,12 @@ def test_nothing_of_the_size_of_the_product_is_shuffled(spark, name):
     assert "FlatMapGroupsInArrow" not in plan and "SortMergeJoin" not in plan
 
 
+def test_the_residual_is_not_grouped_by_entry(spark):
+    """Before, all its rows were grouped by (i, j); now only the modes are joined, by i."""
+    plan = QUERIES["residual_matrix"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "keys=[i#" not in plan
+
+
 @pytest.mark.parametrize("name", PASSES)
 def test_one_pass_for_all_sums(spark, name, monkeypatch):
     """Before, the Fisher matrix, the quadratic estimates and the bias were three queries, each with its own product."""
