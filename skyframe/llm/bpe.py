@@ -72,13 +72,18 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        first = ((0, NONE),)
+        first = (self._start(0, NONE),)
         gc.collect()  # states refer to each other
         #: A state is a dict from a byte to (state, last token of the prefix, its length); LIVE gives its starts.
         self.root: dict = {LIVE: first}
         self.states = {first: self.root}
         self.grown = 0
 
+    @staticmethod
+    def _start(node: int, last: int) -> int:
+        """A live start as one number, as states are kept by the hundred thousand: its place in the trie, and the last token before it."""
+        return node << 32 | last + 1
+
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """The definition: merge the pair of smallest rank until none or `stop` parts are left."""
         parts = [bytes([b]) for b in data]
@@ -146,18 +151,18 @@ class Transducer:
     def _grow(self, state: dict, byte: int) -> tuple[dict, int, int]:
         """The transition that is missing."""
         live, token = [], NONE
-        for node, last in state[LIVE]:
-            to = self.trie.get(node << 8 | byte)
+        for start in state[LIVE]:
+            to, last = self.trie.get(start >> 32 << 8 | byte), (start & 0xFFFFFFFF) - 1
             if to is None:
                 continue
             end = self.ends[to]
             if token == NONE and end != NONE and self._may_follow(last, end):
                 token = end
             if self.inner[to]:
-                live.append((to, last))
+                live.append(self._start(to, last))
         if token == NONE:
             raise ValueError("no token ends here")
-        live.append((0, token))
+        live.append(self._start(0, token))
         key = tuple(live)
         to = self.states.get(key)
         if to is None:
@@ -193,9 +198,9 @@ class Transducer:
     def _last(self, state: dict, byte: int) -> int:
         """The token that ends with the last byte of a piece: no state is built behind it, as few pieces go on from there."""
         trie, ends = self.trie, self.ends
-        for node, last in state[LIVE]:
-            to = trie.get(node << 8 | byte)
-            if to is not None and ends[to] != NONE and self._may_follow(last, ends[to]):
+        for start in state[LIVE]:
+            to = trie.get(start >> 32 << 8 | byte)
+            if to is not None and ends[to] != NONE and self._may_follow((start & 0xFFFFFFFF) - 1, ends[to]):
                 return ends[to]
         raise ValueError("no token ends here")
 
@@ -212,8 +217,8 @@ class Transducer:
     def _drain(self, state: dict, path: list[tuple[dict, int, int]]) -> list[int]:
         """What all live starts agree on leaves the path."""
         reach = {len(path)}
-        for node, _ in state[LIVE][:-1]:
-            at = len(path)
+        for start in state[LIVE][:-1]:
+            node, at = start >> 32, len(path)
             while node:
                 node, at = self.up[node], at - 1
             reach.add(at)

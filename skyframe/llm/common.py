@@ -102,18 +102,26 @@ def release() -> None:
     if bpe is not None and bpe.codec.cache_info().currsize:
         bpe.codec.cache_clear()
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # give freed memory back where the C library can
-            ctypes.CDLL(None).malloc_trim(0)
+
+
+def trim() -> None:
+    """Give freed memory back where Arrow and the C library can: a worker process that is used again keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, keep: bool = False) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values, a bounded slice at a time.  keep: the worker's token tables stay."""
     if not keep:
         release()
+    trim()
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             yield from zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+        batch = part = None
+    trim()
 
 
 def groups_of(rows: Iterator[tuple], size, limit: int) -> Iterator[list[tuple]]:

@@ -69,3 +69,24 @@ def test_frame(spark, lib):
         assert r["ids_sha256"] == hashlib.sha256(bytes(r["ids"])).hexdigest() and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
         assert r["n_tokens"] * 4 == len(r["ids"])
     assert bpe.encode_decode(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_states_are_small():
+    """Before, each live start of a state was a tuple of two numbers, about three times the memory."""
+    c = bpe.Codec(PATH, P.PATTERN)
+    for t in hard_texts():
+        c.encode(t[:500])
+    starts = [s for live in c.machine.states for s in live]
+    assert len(starts) > 1000 and all(isinstance(s, int) for s in starts)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Before, a reused worker kept what earlier operators had freed, beside the token tables."""
+    import pyarrow as pa
+
+    from skyframe.llm import common
+
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    batch = pa.record_batch([pa.array([1, 2])], names=["x"])
+    assert list(common.rows_of(iter([batch, batch.slice(0, 0)]), "x", keep=True)) == [(1,), (2,)] and len(calls) == 2
