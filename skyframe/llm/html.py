@@ -1,15 +1,16 @@
-"""Main text of HTML pages: structure, and host suffix arrays for what structure leaves open.
+"""Main text of HTML pages: host suffix arrays over all tokens of every page, checked by structure.
 
 A page is read once as a stream of tags and texts.  Text in menus, headers,
 footers, sidebars, notices, adverts, forms, comments and scripts is dropped.
 Where the page has articles (or a main element), they are the main text.
-All other blocks of every page form its token stream.  The streams of a host
-are concatenated, and substrings of at least REPEAT tokens that occur on two
-distinct pages of the host are found in a suffix array.  They are boilerplate:
-where a page has no article, the runs that are unique to it are kept; a block
-of an article that only its class names call doubtful goes if it is repeated.
-Blocks of an article that nothing speaks against are no part of the streams,
-for an article that is mirrored on its host is no boilerplate.
+All blocks of every page form its token streams: one of the blocks of its
+articles that nothing speaks against, one of all others.  The streams of a host
+are concatenated, each kind by itself, and substrings of at least REPEAT tokens
+that occur on two distinct pages of the host are found in a suffix array.
+Repeats of the second kind are boilerplate: where a page has no article, the
+runs that are unique to it are kept; a block of an article that only its class
+names call doubtful goes if it is repeated.  Repeats of the first kind are
+mirrored articles: structure, the check that follows, keeps them.
 
 The suffix arrays are kept by minimiser bucket (see spans.py), so a host that
 holds a third of all pages is spread over all tasks.
@@ -209,7 +210,7 @@ def _batched(rows: Iterator[tuple[int, tuple]], schema: pa.Schema, limit: int =
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of pages that structure decides, the blocks of the others, and the token stream of all."""
+    """The text of pages that structure decides, the blocks of the others, and the token stream of all blocks beside those that are sure (see streams)."""
     def each() -> Iterator[tuple[int, tuple]]:
         for page_id, key, url, body in rows_of(batches, "page_id", "doc_key", "url", "body"):
             got = blocks((body or b"").decode("utf-8", "replace"))
@@ -228,7 +229,10 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def each() -> Iterator[tuple[int, tuple]]:
-        for page_id, url, said, place, block, firsts, lasts in rows_of(batches, "page_id", "url", "said", "place", "block", "firsts", "lasts"):
+        for page_id, url, sure, said, place, block, firsts, lasts in rows_of(batches, "page_id", "url", "text", "said", "place", "block", "firsts", "lasts"):
+            if sure is not None:  # structure checked each block
+                yield len(sure), (page_id, url, sure)
+                continue
             gone: set[int] = set()
             for a, b in merged(list(zip(firsts or [], lasts or [], strict=True))):
                 gone.update(range(a, b))
@@ -247,6 +251,17 @@ def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batched(each(), _TEXT)
 
 
+def streams(read: DataFrame) -> DataFrame:
+    """(doc_key, stream, host) of what _reader made: two rows a page, its articles and all else, compared with their like on one host only.
+
+    A first word keeps an article apart from other blocks of equal text.
+    """
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
+    article = F.coalesce("text", F.array_join(F.filter("block", lambda b, i: F.col("said")[i] == KEEP), "\n"))
+    rest = read.where("stream <> ''").select("doc_key", "stream", F.concat(F.lit("rest "), host).alias("host"))
+    return rest.union(read.withColumn("article", article).where("article <> ''").select("doc_key", F.concat(F.lit("\x1f "), "article"), F.concat(F.lit("article "), host)))
+
+
 def main_text(pages: DataFrame, repeat: int = REPEAT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages.
 
@@ -258,10 +273,9 @@ def main_text(pages: DataFrame, repeat: int = REPEAT, id_col: str = "page_id", u
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), doc_key(id_col).alias("doc_key"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("body"))
     read = spool(rows.mapInArrow(_reader, "page_id long, doc_key long, url string, text string, said array<tinyint>, place array<int>, block array<string>, stream string"), "pages")
-    streams = read.where("stream <> ''").withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1)))
-    found, _ = covered(streams, Scheme("word", repeat, max(1, repeat // 3), pages=True, order=host_order), "doc_key", "stream", "host")
+    found, _ = covered(streams(read), Scheme("word", repeat, max(1, repeat // 3), pages=True, order=host_order), "doc_key", "stream", "host")
     lists = ranges(found).groupBy("doc_key", "tie").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    rest = read.where("text is null").withColumn("tie", tie_of("stream"))
-    joined = rest.join(lists.hint("shuffle_hash"), ["doc_key", "tie"], "left").select("page_id", "url", "said", "place", "block", "firsts", "lasts")
-    out = read.where("text is not null").select("page_id", "url", "text").union(joined.mapInArrow(_unique, "page_id long, url string, text string"))
+    every = read.withColumn("tie", tie_of("stream")).drop("stream")
+    joined = every.join(lists.hint("shuffle_hash"), ["doc_key", "tie"], "left").select("page_id", "url", "text", "said", "place", "block", "firsts", "lasts")
+    out = joined.mapInArrow(_unique, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

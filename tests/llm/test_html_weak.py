@@ -3,8 +3,9 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 
-from skyframe.llm import weak
+from skyframe.llm import html, weak
 from skyframe.llm.html import DROP, KEEP, OPEN, blocks, main_text
+from skyframe.llm.spans import merged, ranges
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>x</article>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav><!-- <p>gone</p> --><div class="ad">Buy</div><div id="cookie-notice">We use</div>
@@ -163,3 +164,18 @@ def test_long_and_repeated_pages(spark):
     rows = [(1, "http://a/1", f"<article><p>{words}</article>"), (2, "http://a/2", f"<div>{words}</div>"), (2, "http://a/2", f"<div>{words}</div>"), (3, "http://b/1", f"<div>{words}</div>")]
     got = sorted((r["page_id"], r["n_chars"]) for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == [(1, len(words)), (2, len(words)), (2, len(words)), (3, len(words))]
+
+
+def test_streams_hold_all_tokens_of_every_page(spark, monkeypatch):
+    """Before, the blocks of an article were no part of the streams: the arrays did not see that two pages of a host mirror one."""
+    seen, covered = [], html.covered
+    monkeypatch.setattr(html, "covered", lambda streams, *a: seen.append((streams, covered(streams, *a))) or seen[0][1])
+    words = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, f"http://{host}/{i}", f'<nav>a b</nav><article><p>{words}</p><div class="ad">buy</div></article>') for i, host in enumerate("xxy")]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys(range(3), words)
+    (streams, (found, _)), spans = seen[0], {}
+    assert sorted((r["doc_key"], r["stream"].strip("\x1f ")) for r in streams.collect()) == sorted((i, s) for i in range(3) for s in ("a b buy", words))
+    for r in ranges(found).collect():
+        spans.setdefault(r["doc_key"], []).append((r["first"], r["last"]))
+    assert {k: merged(v) for k, v in spans.items()} == {0: [(0, 21)], 1: [(0, 21)]}
