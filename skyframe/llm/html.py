@@ -13,22 +13,29 @@ names call doubtful goes if it is repeated.  Repeats of the first kind are
 mirrored articles: structure, the check that follows, keeps them.
 
 The suffix arrays are kept by minimiser bucket (see spans.py), so a host that
-holds a third of all pages is spread over all tasks.
+holds a third of all pages is spread over all tasks.  Pages are shuffled once,
+packed; beside them only the minimisers' names travel, and the strings of those
+minimisers that two pages of a host have.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import doc_key, prefix_ranks, rows_of, spool, tie_of
-from .spans import Scheme, covered, merged, ranges
+from .common import buckets, doc_key, groups_of, prefix_ranks, rows_of
+from .spans import BUCKET, FLUSH, PACKED, Scheme, homes_of, merged, shared
+from .spans import _ranges as found_ranges
 
 REPEAT = 8
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
@@ -192,74 +199,129 @@ def host_order(strings: list[bytes], w: int, tags: list[bytes]) -> tuple[np.ndar
     return order, np.cumsum(new)
 
 
-_READ = pa.schema([("page_id", pa.int64()), ("doc_key", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("said", pa.list_(pa.int8())), ("place", pa.list_(pa.int32())), ("block", pa.list_(pa.string())), ("stream", pa.string())])
+_PAGE = np.dtype([("key", "<i8"), ("tie", "<u4"), ("null", "u1"), ("bare", "u1"), ("rest", "<i8"), ("article", "<i8"), ("url", "<u4"), ("said", "<u4"), ("body", "<u8")])
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+#: Place of the first token of what is not an article; articles begin at 0.
+REST = 1 << 40
 
 
-def _batched(rows: Iterator[tuple[int, tuple]], schema: pa.Schema, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Rows with their sizes, in batches of about `limit` bytes."""
-    held, size = [], 0
-    for n, row in rows:
-        held.append(row)
-        size += n + 200
-        if size > limit:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-
-
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of pages that structure decides, the blocks of the others, and the token stream of all blocks beside those that are sure (see streams)."""
-    def each() -> Iterator[tuple[int, tuple]]:
-        for page_id, key, url, body in rows_of(batches, "page_id", "doc_key", "url", "body"):
-            got = blocks((body or b"").decode("utf-8", "replace"))
-            sure = all(said != OPEN for said, _ in got)
-            text = "\n".join(b for said, b in got if said == KEEP) if sure else None
-            mine, at = [], 0  # with the place in the stream
-            for said, b in got:
-                if said < DROP and not sure:
-                    mine.append((said, at, b))
-                if said != KEEP:
-                    at += len(b.encode().split())
-            yield len(body or b""), (page_id, key, url, text, *([m[k] for m in mine] for k in range(3)), " ".join(b for said, b in got if said != KEEP))
-
-    return _batched(each(), _READ)
-
-
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def each() -> Iterator[tuple[int, tuple]]:
-        for page_id, url, sure, said, place, block, firsts, lasts in rows_of(batches, "page_id", "url", "text", "said", "place", "block", "firsts", "lasts"):
-            if sure is not None:  # structure checked each block
-                yield len(sure), (page_id, url, sure)
-                continue
-            gone: set[int] = set()
-            for a, b in merged(list(zip(firsts or [], lasts or [], strict=True))):
-                gone.update(range(a, b))
-            bare = KEEP not in said  # no article: runs are taken out of blocks; else whole blocks
-            out = []
-            for what, at, b in zip(said, place, block, strict=True):
-                words = b.encode().split()
-                kept = [w for i, w in enumerate(words, at) if i not in gone or what == KEEP]
-                if len(kept) == len(words) or not bare and 2 * len(kept) > len(words):
-                    out.append(b)
-                elif kept and bare:
-                    out.append(b" ".join(kept).decode())
-            text = "\n".join(out)
-            yield len(text), (page_id, url, text)
-
-    return _batched(each(), _TEXT)
-
-
-def streams(read: DataFrame) -> DataFrame:
-    """(doc_key, stream, host) of what _reader made: two rows a page, its articles and all else, compared with their like on one host only.
+def _streams(said: bytes, body: bytes) -> tuple[bytes, bytes]:
+    """The token streams of blocks, one a line: that of the articles and that of all else.
 
     A first word keeps an article apart from other blocks of equal text.
     """
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
-    article = F.coalesce("text", F.array_join(F.filter("block", lambda b, i: F.col("said")[i] == KEEP), "\n"))
-    rest = read.where("stream <> ''").select("doc_key", "stream", F.concat(F.lit("rest "), host).alias("host"))
-    return rest.union(read.withColumn("article", article).where("article <> ''").select("doc_key", F.concat(F.lit("\x1f "), "article"), F.concat(F.lit("article "), host)))
+    rows = list(zip(said, body.split(b"\n"), strict=True)) if said else []
+    article = b"\n".join(b for what, b in rows if what == KEEP)
+    return b"\x1f " + article if article else b"", b" ".join(b for what, b in rows if what != KEEP)
+
+
+def _packer(n_buckets: int) -> Callable:
+    """The blocks of whole pages and what structure says about them, packed by the bucket of the page."""
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for page_id, key, url, rest, article, body in rows_of(batches, "page_id", "doc_key", "url", "rest", "article", "body"):
+            got = blocks((body or b"").decode("utf-8", "replace"))
+            said, text = bytes(what for what, _ in got), "\n".join(b for _, b in got).encode()
+            tie = xxhash.xxh3_64_intdigest(b"\0".join(_streams(said, text))) & 0xFFFFFFFF
+            url = None if url is None else url.encode()
+            yield (key, tie, page_id is None, url is None, rest, article, len(url or b""), len(said), len(text)), url or b"", said, text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=6)
+        for held in groups_of(each(batches), lambda r: len(r[3]) + 200, FLUSH):
+            by: dict[int, list[tuple]] = {}
+            for home, row in zip(homes_of(np.array([r[0][0] for r in held], np.int64), np.array([r[0][1] for r in held], np.int64), n_buckets).tolist(), held, strict=True):
+                by.setdefault(home, []).append(row)
+            packs = [z.compress(b"".join([struct.pack("<I", len(rows)), np.array([r[0] for r in rows], _PAGE).tobytes(), *(r[k] for k in (1, 2, 3) for r in rows)])) for rows in by.values()]
+            yield pa.record_batch([pa.array(list(by), pa.int32()), pa.array(packs, pa.binary())], names=["bucket", "packed"])
+
+    return run
+
+
+def _pages(packed: bytes) -> Iterator[tuple[tuple, bytes, bytes, bytes]]:
+    """(head, url, said, blocks) of each page of a pack."""
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    (count,) = struct.unpack_from("<I", raw)
+    heads = np.frombuffer(raw, _PAGE, count, 4)
+    at, parts = 4 + heads.nbytes, []
+    for column in ("url", "said", "body"):
+        parts.append([])
+        for size in heads[column].tolist():
+            parts[-1].append(raw[at : at + size])
+            at += size
+    return zip(heads.tolist(), *parts, strict=True)
+
+
+def _docs(packed: bytes) -> list[tuple]:
+    """(doc, stream, salt, place) of the two streams of each page."""
+    out = []
+    for (key, tie, _, _, rest, article, *_), _, said, body in _pages(packed):
+        first, other = _streams(said, body)
+        out += [((key, tie), b" ".join(first.split()), article, 0), ((key, tie), other, rest, REST)]
+    return [d for d in out if d[1]]
+
+
+@dataclass(frozen=True)
+class Streams:
+    """The token streams of all pages, in packs (bucket, packed) by the bucket of the page, of n."""
+
+    packs: DataFrame
+    n: int
+
+    def rows(self) -> DataFrame:
+        """(doc_key, stream): two rows a page, its articles and all else."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for packed in batch.column(1).to_pylist():
+                    docs = _docs(packed)
+                    yield pa.record_batch([pa.array([d[0][0] for d in docs], pa.int64()), pa.array([d[1].decode() for d in docs], pa.string())], names=["doc_key", "stream"])
+
+        return self.packs.mapInArrow(run, "doc_key long, stream string")
+
+    def collect(self) -> list[Row]:
+        return self.rows().collect()
+
+
+def covered(streams: Streams, scheme: Scheme) -> tuple[DataFrame, int]:
+    """What spans.covered finds in the streams, each compared with its like on one host only; and the number of buckets."""
+    return shared(streams.packs, streams.n, _docs, scheme), streams.n
+
+
+def _text(said: bytes, blocks: list[bytes], spans: list[tuple[int, int]]) -> bytes:
+    """The main text of a page of which these places of the rest are repeated."""
+    if OPEN not in said:  # structure checked each block
+        return b"\n".join(b for what, b in zip(said, blocks, strict=True) if what == KEEP)
+    gone: set[int] = set()
+    for a, b in merged(spans):
+        gone.update(range(a, b))
+    bare = KEEP not in said  # no article: runs are taken out of blocks; else whole blocks
+    out, at = [], 0
+    for what, b in zip(said, blocks, strict=True):
+        if what == KEEP:
+            out.append(b)
+            continue
+        words = b.split()
+        kept = [w for i, w in enumerate(words, at) if i not in gone] if what == OPEN else []
+        at += len(words)
+        if what == OPEN and (len(kept) == len(words) or not bare and 2 * len(kept) > len(words)):
+            out.append(b)
+        elif kept and bare:
+            out.append(b" ".join(kept))
+    return b"\n".join(out)
+
+
+def _joined(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Every page of a bucket with the ranges of its streams."""
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for packed in right.column("packed").to_pylist():
+        rows = found_ranges(packed)
+        for key, tie, a, b in rows[rows[:, 2] >= REST].tolist():  # repeats of articles are mirrors, which stay
+            spans.setdefault((key, tie), []).append((a - REST, b - REST))
+    out: list[tuple] = []
+    for packed in left.column("packed").to_pylist():
+        for (key, tie, null, bare, *_), url, said, body in _pages(packed):
+            text = _text(said, body.split(b"\n") if said else [], spans.get((key, tie), []))
+            out.append((None if null else key, None if bare else url.decode(), text.decode()))
+    return pa.table([pa.array([o[k] for o in out], f.type) for k, f in enumerate(_TEXT)], schema=_TEXT)
 
 
 def main_text(pages: DataFrame, repeat: int = REPEAT, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -270,12 +332,15 @@ def main_text(pages: DataFrame, repeat: int = REPEAT, id_col: str = "page_id", u
     main text, has an empty text.  A null url is a host of its own; a null id
     counts as the smallest; rows that repeat a page are that page, each
     returned.  Other columns are ignored.
+
+    Pages are read and shuffled once, packed; all later steps take them from there.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), doc_key(id_col).alias("doc_key"), F.col(url_col).alias("url"), F.col(html_col).cast("binary").alias("body"))
-    read = spool(rows.mapInArrow(_reader, "page_id long, doc_key long, url string, text string, said array<tinyint>, place array<int>, block array<string>, stream string"), "pages")
-    found, _ = covered(streams(read), Scheme("word", repeat, max(1, repeat // 3), pages=True, order=host_order), "doc_key", "stream", "host")
-    lists = ranges(found).groupBy("doc_key", "tie").agg(F.collect_list("first").alias("firsts"), F.collect_list("last").alias("lasts"))
-    every = read.withColumn("tie", tie_of("stream")).drop("stream")
-    joined = every.join(lists.hint("shuffle_hash"), ["doc_key", "tie"], "left").select("page_id", "url", "text", "said", "place", "block", "firsts", "lasts")
-    out = joined.mapInArrow(_unique, "page_id long, url string, text string")
+    url, body = F.col(url_col), F.col(html_col).cast("binary")
+    host = F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^(?:[a-zA-Z][\w+.-]*:)?//([^/?#]*)", 1))
+    salt = {kind: F.xxhash64(F.concat(F.lit(f"{kind} "), host)).alias(kind) for kind in ("rest", "article")}
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), doc_key(id_col).alias("doc_key"), url.alias("url"), salt["rest"], salt["article"], body.alias("body"))
+    n = max(buckets(pages.sparkSession, 4), (pages.agg(F.sum(F.octet_length(body))).first()[0] or 0) // BUCKET)
+    packs = rows.mapInArrow(_packer(n), PACKED)
+    found, _ = covered(Streams(packs, n), Scheme("word", repeat, max(1, repeat - 3), pages=True, order=host_order))
+    out = packs.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(_joined, "page_id long, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

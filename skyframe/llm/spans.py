@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -80,17 +80,18 @@ def normal_words(text: bytes) -> bytes:
 Doc = tuple[int, int]
 
 
-def _pieces(docs: list[tuple[Doc, bytes, int]], scheme: Scheme) -> Iterator[list[tuple[Doc, int, bytes, int]]]:
-    """Lists of (doc, first unit, bytes, salt) of about CHUNK bytes; a longer text is cut, with window - 1 units of overlap."""
+def _pieces(docs: list[tuple], scheme: Scheme) -> Iterator[list[tuple[Doc, int, bytes, int]]]:
+    """Lists of (doc, first unit, bytes, salt) of about CHUNK bytes of (doc, text, salt and, if not 0, the text's first unit); a longer text is cut, with window - 1 units of overlap."""
     cut: list[tuple[Doc, int, bytes, int]] = []
-    for doc, text, salt in docs:
+    for doc, text, salt, *base in docs:
+        first = base[0] if base else 0
         if len(text) <= CHUNK:
-            cut.append((doc, 0, text, salt))
+            cut.append((doc, first, text, salt))
         elif scheme.unit == "byte":
-            cut.extend((doc, at, text[at : at + CHUNK + scheme.window - 1], salt) for at in range(0, max(1, len(text) - scheme.window + 1), CHUNK))
+            cut.extend((doc, first + at, text[at : at + CHUNK + scheme.window - 1], salt) for at in range(0, max(1, len(text) - scheme.window + 1), CHUNK))
         else:
             words, step = text.split(b" "), CHUNK // 8
-            cut.extend((doc, at, b" ".join(words[at : at + step + scheme.window - 1]), salt) for at in range(0, max(1, len(words) - scheme.window + 1), step))
+            cut.extend((doc, first + at, b" ".join(words[at : at + step + scheme.window - 1]), salt) for at in range(0, max(1, len(words) - scheme.window + 1), step))
     return groups_of(iter(cut), lambda p: len(p[2]) + 1, CHUNK)
 
 
@@ -110,6 +111,10 @@ class _Runs:
     left: np.ndarray | None
     right: np.ndarray | None
 
+    def where(self, some: np.ndarray) -> _Runs:
+        """Some of the runs."""
+        return replace(self, **{k: getattr(self, k)[some] for k in ("own", "piece", "first", "unit", "n", "begin", "end", "recurs")})
+
     def bounds(self, k: int, w: int) -> Iterator[tuple[int, int]]:
         """The bytes of each window of run k."""
         for u in range(int(self.first[k]), int(self.first[k] + self.n[k])):
@@ -235,11 +240,11 @@ def _unpack(packed: bytes) -> tuple[list[list[np.ndarray]], memoryview]:
     return out, memoryview(raw)[at:]
 
 
-def _packer(scheme: Scheme, n_buckets: int, hot: np.ndarray) -> Callable:
-    """hot: the hot owners, sorted."""
+def _flusher(scheme: Scheme, n_buckets: int) -> Callable:
+    """Packs documents' strings by bucket; state(owners): 0 those that are left out, 2 hot ones, 1 all others."""
     w = scheme.window
 
-    def flush(docs: list[tuple[Doc, bytes, int]]) -> pa.RecordBatch:
+    def flush(docs: list[tuple], state: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
         docs.sort(key=lambda d: d[0])
         seen: dict[bytes | tuple, int] = {}
         strings: list[list] = []
@@ -276,7 +281,8 @@ def _packer(scheme: Scheme, n_buckets: int, hot: np.ndarray) -> Callable:
             r = _runs(pieces, scheme)
             if r is None:
                 continue
-            warm = np.isin(r.own, hot).tolist() if len(hot) else [False] * len(r.own)
+            states = state(r.own)
+            r, warm = r.where(states > 0), (states[states > 0] > 1).tolist()
             for k, (own, piece, unit, n, begin, end, recurs) in enumerate(zip(r.own.tolist(), r.piece.tolist(), r.unit.tolist(), r.n.tolist(), r.begin.tolist(), r.end.tolist(), r.recurs.tolist(), strict=True)):
                 doc, unit = pieces[piece][0], pieces[piece][1] + unit
                 key = own & 0xFFFFFFFF
@@ -322,9 +328,16 @@ def _packer(scheme: Scheme, n_buckets: int, hot: np.ndarray) -> Callable:
         out = [(home, _pack(*rows)) for home, rows in by.items()]
         return pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "packed"])
 
+    return flush
+
+
+def _packer(scheme: Scheme, n_buckets: int, hot: np.ndarray) -> Callable:
+    """hot: the hot owners, sorted."""
+    flush = _flusher(scheme, n_buckets)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in groups_of(_rows(batches, scheme), lambda r: len(r[1]), FLUSH):
-            yield flush(docs)
+            yield flush(docs, lambda own: 1 + np.isin(own, hot) if len(hot) else np.ones(len(own), np.int64))
 
     return run
 
@@ -490,6 +503,125 @@ def covered(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: s
     return packed.groupBy("bucket").applyInArrow(_resolver(scheme, n), PACKED), n
 
 
+#: Bits of an owner that are its name.
+NAME = 40
+_HEAVY = np.dtype([("at", "<u4"), ("n", "<u4")])
+
+
+def _pack_names(name: np.ndarray, flag: np.ndarray, heavy: np.ndarray) -> bytes:
+    """Sorted names, a flag for each, and the windows of some: planes of the bytes of their differences."""
+    z = zstandard.ZstdCompressor(level=3)
+    step = np.diff(name, prepend=U64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[: NAME // 8]
+    parts = [z.compress(x) for x in (*(np.ascontiguousarray(p).tobytes() for p in step), np.packbits(flag).tobytes(), heavy.tobytes())]
+    return struct.pack(f"<{1 + len(parts)}I", len(name), *map(len, parts)) + b"".join(parts)
+
+
+def _unpack_names(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    many = NAME // 8 + 2
+    count, *sizes = struct.unpack_from(f"<{1 + many}I", packed)
+    at, parts = 4 * (1 + many), []
+    for size in sizes:
+        parts.append(zstandard.ZstdDecompressor().decompress(packed[at : at + size]))
+        at += size
+    step = np.zeros((count, 8), np.uint8)
+    for k, plane in enumerate(parts[:-2]):
+        step[:, k] = np.frombuffer(plane, np.uint8)
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64), np.unpackbits(np.frombuffer(parts[-2], np.uint8), count=count).astype(bool), np.frombuffer(parts[-1], _HEAVY)
+
+
+def _named_owners(scheme: Scheme, docs: list[tuple], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the owners in documents, whether two of these have them, and the windows of those with `least` windows."""
+    own, who, n, ids = [], [], [], {}
+    for pieces in _pieces(docs, scheme):
+        r = _runs(pieces, scheme, marked=False)
+        if r:
+            own.append(r.own >> U64(64 - NAME))
+            who.append(np.array([ids.setdefault(p[0], len(ids)) for p in pieces])[r.piece])
+            n.append(r.n)
+    if not own:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, _HEAVY)
+    own, who, n = map(np.concatenate, (own, who, n))
+    order = np.argsort(own, kind="stable")
+    own, who = own[order], who[order]
+    edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    many = np.add.reduceat(n[order], edge)
+    at = np.flatnonzero(many >= least)
+    heavy = np.empty(len(at), _HEAVY)
+    heavy["at"], heavy["n"] = at, np.minimum(many[at], 2**32 - 1)
+    return own[edge], np.minimum.reduceat(who, edge) != np.maximum.reduceat(who, edge), heavy
+
+
+def shared(packs: DataFrame, n: int, docs_of: Callable[[bytes], list[tuple]], scheme: Scheme) -> DataFrame:
+    """As `covered`, for pages=True and texts in n packs or sets of packs (bucket, packed), by homes_of(doc, tie): the texts stay there.
+
+    docs_of(packed): (doc, text, salt, first unit) of each text.  Each bucket
+    tells the names of its owners, 40 bits each; only strings of owners whose
+    name two documents have travel.  No window that two documents have is lost
+    so: its owner is in both.  A name that two owners share costs a string that
+    the resolver finds to be alone.
+    """
+    lists = max(1, buckets(packs.sparkSession, 1), n // 4)
+    hot_from, least = HOT, TOLD
+    flush = _flusher(scheme, n)
+
+    def texts(group: pa.Table) -> list[tuple]:
+        return [d for packed in group.column("packed").to_pylist() for d in docs_of(packed) if d[1]]
+
+    def tell(group: pa.Table) -> pa.Table:
+        name, flag, heavy = _named_owners(scheme, texts(group), least)
+        edge = np.searchsorted(name * U64(lists) >> U64(NAME), np.arange(lists + 1, dtype=np.uint64))
+        out = []
+        for k in range(lists):
+            a, b = edge[k], edge[k + 1]
+            if a < b:
+                some = heavy[(heavy["at"] >= a) & (heavy["at"] < b)].copy()
+                some["at"] -= np.uint32(a)
+                out.append((k, group.column("bucket")[0].as_py(), _pack_names(name[a:b], flag[a:b], some)))
+        return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "home", "packed"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        homes = group.column("home").to_pylist()
+        got = [_unpack_names(p) for p in group.column("packed").to_pylist()]
+        name, flag = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        base = np.cumsum([0, *(len(g[0]) for g in got)])
+        many = np.zeros(len(name), np.int64)
+        for at, g in zip(base.tolist(), got, strict=False):
+            many[at + g[2]["at"].astype(np.int64)] = g[2]["n"]
+        order = np.argsort(name, kind="stable")
+        new = np.ones(len(name), bool)
+        new[1:] = name[order][1:] != name[order][:-1]
+        edge, kind = np.flatnonzero(new), np.cumsum(new) - 1
+        two = (np.diff(np.append(edge, len(name))) > 1) | np.logical_or.reduceat(flag[order], edge)
+        hot = np.add.reduceat(many[order], edge) >= hot_from
+        two_of, hot_of = np.empty(len(name), bool), np.empty(len(name), bool)
+        two_of[order], hot_of[order] = two[kind], hot[kind]
+        out = []
+        for home, a, b in zip(homes, base[:-1].tolist(), base[1:].tolist(), strict=True):
+            some = two_of[a:b]
+            if some.any():
+                out.append((home, _pack_names(name[a:b][some], hot_of[a:b][some], np.zeros(0, _HEAVY))))
+        return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int32(), pa.binary()))], names=["bucket", "packed"])
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = [_unpack_names(p) for p in right.column("packed").to_pylist()]
+        if not got:
+            return pa.table([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["bucket", "packed"])
+        name, hot = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        order = np.argsort(name)
+        name, hot = name[order], hot[order]
+
+        def state(own: np.ndarray) -> np.ndarray:
+            own = own >> U64(64 - NAME)
+            at = np.minimum(np.searchsorted(name, own), len(name) - 1)
+            return (name[at] == own) * (1 + hot[at])
+
+        return pa.Table.from_batches([flush(texts(left), state)])
+
+    told = packs.groupBy("bucket").applyInArrow(tell, "bucket int, home int, packed binary").groupBy("bucket").applyInArrow(answer, PACKED)
+    strings = packs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(send, PACKED)
+    return strings.groupBy("bucket").applyInArrow(_resolver(scheme, n), PACKED)
+
+
 def ranges(found: DataFrame) -> DataFrame:
     """(doc_key, tie, first, last) of what `covered` found, a row each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

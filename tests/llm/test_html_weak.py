@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 
-from skyframe.llm import html, weak
+from skyframe.llm import html, spans, weak
 from skyframe.llm.html import DROP, KEEP, OPEN, blocks, main_text
 from skyframe.llm.spans import merged, ranges
 
@@ -179,3 +179,35 @@ def test_streams_hold_all_tokens_of_every_page(spark, monkeypatch):
     for r in ranges(found).collect():
         spans.setdefault(r["doc_key"], []).append((r["first"], r["last"]))
     assert {k: merged(v) for k, v in spans.items()} == {0: [(0, 21)], 1: [(0, 21)]}
+
+
+def test_pages_are_shuffled_once(spark):
+    """Before, pages were spooled, shuffled to meet the ranges, and all strings of all streams were shuffled beside them."""
+    words = [" ".join(f"w{i}x{k}" for k in range(2000)) for i in range(40)]
+    rows = [(i, f"http://a/{i}", f"<article><p>{w}</p></article>") for i, w in enumerate(words)]
+    df = main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert [r["text"] for r in sorted(df.collect())] == words
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    sent = []
+    flush = spans._flusher(spans.Scheme("word", 8, 5, pages=True, order=html.host_order), 4)
+    docs = [((i, 0), w.encode(), 0, 0) for i, w in enumerate(words[:4])]
+    for state in (lambda own: np.ones(len(own), np.int64), lambda own: np.zeros(len(own), np.int64)):
+        sent.append(sum(map(len, flush(list(docs), state).column(1).to_pylist())))
+    assert sent[0] > 0 == sent[1]
+
+
+def test_hot_owners_of_hosts(spark, monkeypatch):
+    """Windows of hot owners go one by one, with the same answer."""
+    monkeypatch.setattr(spans, "HOT", 3)
+    monkeypatch.setattr(spans, "TOLD", 1)
+    test_host_stage_against_brute_force(spark)
+    test_host_boilerplate(spark)
+
+
+def test_names_of_owners():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 3000):
+        name = np.unique(rng.integers(0, 1 << spans.NAME, size, dtype=np.uint64))
+        flag, heavy = rng.random(len(name)) < 0.2, np.zeros(min(2, len(name)), spans._HEAVY)
+        got = spans._unpack_names(spans._pack_names(name, flag, heavy))
+        assert all(np.array_equal(a, b) for a, b in zip(got, (name, flag, heavy), strict=True))
