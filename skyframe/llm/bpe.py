@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import sys
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-NONE, LIVE, TOP = -1, -1, 1 << 60
+NONE, TOP = -1, 1 << 60
 #: Transitions and pieces kept by a process at most; beyond that they are forgotten and built again.
 KEEP_STEPS, KEEP_PIECES, KEEP_PAIRS = 300_000, 500_000, 400_000
 #: Bytes of a piece after which what is certain leaves.
@@ -72,12 +73,12 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        first = (self._start(0, NONE),)
-        gc.collect()  # states refer to each other
-        #: A state is a dict from a byte to (state, last token of the prefix, its length); LIVE gives its starts.
-        self.root: dict = {LIVE: first}
-        self.states = {first: self.root}
-        self.grown = 0
+        first = self._start(0, NONE).to_bytes(8, sys.byteorder)
+        #: A state is a number, the root's is 0, and known by its live starts of 8 bytes each.
+        self.states: dict[bytes, int] = {first: 0}
+        self.live: list[bytes] = [first]
+        #: From state << 8 | byte to the next state << 32 | the last token of the prefix.  Nothing but numbers and bytes: an object for each would take twice the memory.
+        self.steps: dict[int, int] = {}
 
     @staticmethod
     def _start(node: int, last: int) -> int:
@@ -148,10 +149,13 @@ class Transducer:
             else:
                 j += 1
 
-    def _grow(self, state: dict, byte: int) -> tuple[dict, int, int]:
+    def _starts(self, state: int) -> memoryview:
+        return memoryview(self.live[state]).cast("Q")
+
+    def _grow(self, state: int, byte: int) -> int:
         """The transition that is missing."""
-        live, token = [], NONE
-        for start in state[LIVE]:
+        live, token = array("Q"), NONE
+        for start in self._starts(state):
             to, last = self.trie.get(start >> 32 << 8 | byte), (start & 0xFFFFFFFF) - 1
             if to is None:
                 continue
@@ -163,12 +167,12 @@ class Transducer:
         if token == NONE:
             raise ValueError("no token ends here")
         live.append(self._start(0, token))
-        key = tuple(live)
+        key = live.tobytes()
         to = self.states.get(key)
         if to is None:
-            to = self.states[key] = {LIVE: key}
-        self.grown += 1
-        step = state[byte] = (to, token, len(self.tokens[token]))
+            to = self.states[key] = len(self.live)
+            self.live.append(key)
+        step = self.steps[state << 8 | byte] = to << 32 | token
         return step
 
     def encode(self, piece: bytes) -> list[int]:
@@ -176,48 +180,49 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if self.grown > KEEP_STEPS:
+        if len(self.steps) > KEEP_STEPS:
             self._clear()
         if not piece:
             return []
         out: list[int] = []
-        path: list[tuple[dict, int, int]] = []  # transitions after what has left
-        state, last = self.root, piece[-1]
+        path: list[int] = []  # transitions after what has left
+        state, last, known = 0, piece[-1], self.steps.get
         for byte in piece[:-1]:
-            step = state.get(byte) or self._grow(state, byte)
-            state = step[0]
+            step = known(state << 8 | byte)
+            if step is None:
+                step = self._grow(state, byte)
+            state = step >> 32
             path.append(step)
             if len(path) >= DRAIN:
                 out += self._drain(state, path)
-        step = state.get(last)
-        token = step[1] if step else self._last(state, last)
+        step = known(state << 8 | last)
+        token = self._last(state, last) if step is None else step & 0xFFFFFFFF
         out += self._back(path, len(path) + 1 - len(self.tokens[token]))
         out.append(token)
         return out
 
-    def _last(self, state: dict, byte: int) -> int:
+    def _last(self, state: int, byte: int) -> int:
         """The token that ends with the last byte of a piece: no state is built behind it, as few pieces go on from there."""
         trie, ends = self.trie, self.ends
-        for start in state[LIVE]:
+        for start in self._starts(state):
             to = trie.get(start >> 32 << 8 | byte)
             if to is not None and ends[to] != NONE and self._may_follow((start & 0xFFFFFFFF) - 1, ends[to]):
                 return ends[to]
         raise ValueError("no token ends here")
 
-    @staticmethod
-    def _back(path: list[tuple[dict, int, int]], at: int) -> list[int]:
+    def _back(self, path: list[int], at: int) -> list[int]:
         ids = []
         while at > 0:
-            _, token, n = path[at - 1]
+            token = path[at - 1] & 0xFFFFFFFF
             ids.append(token)
-            at -= n
+            at -= len(self.tokens[token])
         ids.reverse()
         return ids
 
-    def _drain(self, state: dict, path: list[tuple[dict, int, int]]) -> list[int]:
+    def _drain(self, state: int, path: list[int]) -> list[int]:
         """What all live starts agree on leaves the path."""
         reach = {len(path)}
-        for start in state[LIVE][:-1]:
+        for start in self._starts(state)[:-1]:
             node, at = start >> 32, len(path)
             while node:
                 node, at = self.up[node], at - 1
@@ -225,7 +230,7 @@ class Transducer:
         while len(reach) > 1:  # walk the furthest start back until all meet
             at = max(reach)
             reach.discard(at)
-            reach.add(at - path[at - 1][2])
+            reach.add(at - len(self.tokens[path[at - 1] & 0xFFFFFFFF]))
         meet = reach.pop()
         ids = self._back(path, meet)
         del path[:meet]
@@ -320,7 +325,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         was = gc.isenabled()
-        gc.disable()  # a large cache of what lives on makes each collection slow; only forgotten states need one
+        gc.disable()  # a large cache of what lives on makes each collection slow, and nothing here refers to itself
         try:
             yield from coded(c, batches)
         finally:

@@ -111,6 +111,15 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trim_heaps(spark: SparkSession) -> None:
+    """Have each executor collect its heap, which then shrinks: what earlier stages have filled stays beside the Python workers otherwise.
+
+    A task for each core, so that idle executors get some each; nothing depends on it where one gets none, or ignores the request.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, keep: bool = False) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values, a bounded slice at a time.  keep: the worker's token tables stay."""
     if not keep:

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 import tiktoken
 
-from skyframe.llm import bpe, langid, pii
+from skyframe.llm import bpe, common, langid, pii
 from tests.conftest import SF
 from tests.llm.test_decontam import brute
 from tests.llm.test_nearcopies import grams, groups_of
@@ -85,3 +85,11 @@ def test_repeated_and_long_rows(spark):
     assert sorted((r["doc_id"], len(r["text"])) for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == [(1, len(long)), (3, len(t))]
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, df, SF).count() == len(rows)
+
+
+def test_heaps_are_trimmed_before_the_workers_fill(spark, monkeypatch):
+    """Before, tokens began beside heaps as large as the stages before had made them."""
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "trim_heaps", lambda s: (calls.append(1), common.trim_heaps(s)))
+    docs = spark.createDataFrame([(1, "Hello wörld")], "doc_id long, text string")
+    assert corpus_pipeline.tokens(spark, docs, SF).first()["n_tokens"] > 0 and len(calls) == 1
