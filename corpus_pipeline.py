@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyframe.llm import bpe, decontam, langid, nearcopies, pii
-from skyframe.llm.common import doc_key, fresh, small, spool, trim_heaps
+from skyframe.llm.common import doc_key, fresh, small, spool, trim_driver, trim_heaps
 
 #: A language is accepted if its calibrated probability is at least this.
 SURE = 0.5
@@ -27,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null id is the smallest.  Of different texts with that id in one group, any one stays, the same each time.
     What goes is decided on ids and hashes; texts are shuffled only if more rows go than a broadcast may hold.
     """
+    trim_driver(spark)
     trim_heaps(spark)
     at, text = fresh(docs, "at"), fresh(docs, "node")
     groups = spool(nearcopies.near_copies(docs), "groups")
@@ -45,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window with a benchmark item go; rows with one id are told apart by their texts."""
+    trim_driver(spark)
     at, text = fresh(docs, "bad"), fresh(docs, "hash")
     found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_hash=True).where("contaminated")
     bad = spool(found.select(F.col("doc_id").alias(at), F.col("text_hash").alias(text)).distinct(), "contaminated")
@@ -63,6 +65,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), their digest, and whether decoding gives the text back."""
     import public_tokenizers
 
+    trim_driver(spark)
     trim_heaps(spark)
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")

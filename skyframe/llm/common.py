@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,6 +121,25 @@ def trim_heaps(spark: SparkSession) -> None:
     spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
 
 
+def trim_driver(spark: SparkSession) -> str | None:
+    """Have the driver collect its garbage and give freed memory back, that of its hundreds of threads for exchanges too; what its JVM says to that.
+
+    A request as in trim_heaps: a JVM without that command keeps its memory, and None is returned.
+    """
+    gc.collect()
+    trim()
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):
+        kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)  # by the interface: the server's own class is closed to calls
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = of(name)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    return None
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str, keep: bool = False) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples of Python values, a bounded slice at a time.  keep: the worker's token tables stay."""
     if not keep:

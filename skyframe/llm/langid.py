@@ -66,37 +66,38 @@ class Model:
     bias: np.ndarray
     heat: float
 
-    def vector(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(n)
-        x = np.log1p(n[at]) * self.idf[at]
+    def vector(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of the counts n at these places, others being 0."""
+        x = np.log1p(n) * self.idf[at]
         size = np.sqrt((x * x).sum())
-        return at, x / size if size else x
+        return x / size if size else x
 
-    def scores(self, n: np.ndarray) -> np.ndarray:
-        at, x = self.vector(n)
-        return x @ self.weights[at] + self.bias
+    def scores(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.vector(at, n) @ self.weights[at] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         n = counts(text) if text and self.langs else None
         if n is None:
             return UNKNOWN, 0.0
-        s = self.scores(n) / self.heat
+        at = np.flatnonzero(n)
+        s = self.scores(at, n[at]) / self.heat
         p = np.exp(s - s.max())
         k = int(s.argmax())
         return self.langs[k], float(p[k] / p.sum())
 
 
-def fit(rows: list[tuple[str, np.ndarray]], epochs: int = 4, rate: float = 0.5, l1: float = 2e-3, l2: float = 1e-3) -> Model:
-    """rows: (language, counts).  Every fifth row sets the temperature, the others the weights."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 4, rate: float = 0.5, l1: float = 2e-3, l2: float = 1e-3) -> Model:
+    """rows: (language, places of counts, counts there: none is 0).  Every fifth row sets the temperature, the others the weights."""
     langs = sorted({r[0] for r in rows})
     held = rows[::5] if len(rows) >= 50 else []
     train = [r for i, r in enumerate(rows) if i % 5] if held else rows
-    seen = sum((r[1] > 0 for r in train), np.zeros(DIMS))
+    seen = np.zeros(DIMS)
+    for _, at, _ in train:
+        seen[at] += 1
     model = Model(langs, np.log((1 + len(train)) / (1 + seen)) + 1, np.zeros((DIMS, len(langs))), np.zeros(len(langs)), 1.0)
     if len(langs) < 2:
         return model
-    data = [(*model.vector(n), langs.index(lang)) for lang, n in train]
-    data = [(np.append(at, DIMS), np.append(x, 1.0), k) for at, x, k in data]  # the last coordinate is the bias
+    data = [(np.append(at, at.dtype.type(DIMS)), np.append(model.vector(at, n), 1.0), langs.index(lang)) for lang, at, n in train]  # the last coordinate is the bias
     z, q = np.zeros((DIMS + 1, len(langs))), np.zeros((DIMS + 1, len(langs)))
     edge = np.append(np.full(DIMS, l1), 0.0)[:, None]
 
@@ -120,8 +121,8 @@ def fit(rows: list[tuple[str, np.ndarray]], epochs: int = 4, rate: float = 0.5,
     every = weights(np.arange(DIMS + 1))
     model.weights, model.bias = every[:DIMS], every[DIMS]
     if held:
-        s = np.array([model.scores(n) for _, n in held])
-        k = np.array([langs.index(lang) if lang in langs else 0 for lang, _ in held])
+        s = np.array([model.scores(at, n) for _, at, n in held])
+        k = np.array([langs.index(lang) if lang in langs else 0 for lang, *_ in held])
 
         def loss(t):
             v = s / t
@@ -162,11 +163,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         few = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2.0 * share / n) * 2**62))).otherwise(few)
     rows = rows.withColumn("h", low).where(F.col("h") < few).withColumn("at", F.row_number().over(by)).where(F.col("at") <= share).drop("at", "h")
     got = sorted(rows.mapInArrow(run, "id string, lang string, at binary, n binary").collect())  # at most `sample` rows
-    full = []
-    for _, lang, at, n in got:
-        row = np.zeros(DIMS, np.int64)
-        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u4")
-        full.append((lang, row))
+    full = [(lang, np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4")) for _, lang, at, n in got]
+    del got
     order = np.random.default_rng(1).permutation(len(full))
     return fit([full[i] for i in order])
 

@@ -45,6 +45,16 @@ def test_sample_is_bounded_and_columns_are_kept(spark, monkeypatch):
     out = langid.identify(df, model)
     assert {(r["_said"], r["said"]) for r in out.collect()} == {("kept", "also")} and out.count() == 3001
 
+
+def test_the_driver_holds_what_the_sample_has(spark, monkeypatch):
+    """Before, each sampled document was a row of DIMS numbers on the driver: 64 KB of memory however short it was."""
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda rows, real=langid.fit: seen.extend(rows) or real(rows))
+    langid.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert len(seen) > 100
+    assert sum(x.nbytes for r in seen for x in r[1:]) < len(seen) * langid.DIMS
+
+
 def test_language_edges(spark):
     rows = [(i, "the cat and the dog " * 3, "en", 0.5) for i in range(30)] + [(i + 30, "der hund und die katze " * 3, "de", 0.1) for i in range(30)]
     rows += [(None, "der und die", None, 0.0), (70, None, "en", 0.0), (71, "123 %%", "en", 0.0), (72, "", "de", 0.0), (73, "the and " * 90_000, None, 0.0)]

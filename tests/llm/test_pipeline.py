@@ -93,3 +93,22 @@ def test_heaps_are_trimmed_before_the_workers_fill(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "trim_heaps", lambda s: (calls.append(1), common.trim_heaps(s)))
     docs = spark.createDataFrame([(1, "Hello wörld")], "doc_id long, text string")
     assert corpus_pipeline.tokens(spark, docs, SF).first()["n_tokens"] > 0 and len(calls) == 1
+
+
+def test_the_driver_is_trimmed_between_stages(spark, monkeypatch):
+    """Before, what the exchanges of a stage had allocated outside of the heap stayed on the driver to the end."""
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "trim_driver", lambda s: calls.append(common.trim_driver(s)))
+    docs = spark.createDataFrame([(1, "Hello wörld")], "doc_id long, text string")
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.tokens):
+        assert stage(spark, docs, SF).count() == 1
+    assert len(calls) == 3 and all("rim native heap" in c for c in calls)
+
+
+def test_run_by_a_path_that_only_spark_reads(spark, tmp_path):
+    (tmp_path / "sf").symlink_to(SF)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    row = lambda r: (r["doc_id"], bytes(r["ids"]))
+    got, want = (sorted(map(row, corpus_pipeline.run(spark, d).collect())) for d in ("viewfs://store/in/sf", SF))
+    assert got == want and len(got) > 100
